@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .entropy_mix import entropy_mix
+from .golay import simhash_classes
 from .slack_packing import slack_packing
 from .token_counts import token_counts
 
 
+def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix(table(spark, sf_dir, "documents"))
+
+
 def op5_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack_packing(table(spark, sf_dir, "documents"))
 
 
+def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_slack_packing, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_entropy_mix, op5_slack_packing, op8_golay_simhash, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
