@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .entropy_mix import entropy_mix
 from .golay import simhash_classes
+from .hd_langid import language_id
+from .line_chunks import line_chunk_dedup
 from .slack_packing import slack_packing
 from .token_counts import token_counts
 
@@ -15,10 +17,18 @@ def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix(table(spark, sf_dir, "documents"))
 
 
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunk_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_removed", "n_chunks_removed")
+
+
 def op5_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack_packing(table(spark, sf_dir, "documents"))
 
 
+def op6_hd_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
 
@@ -27,6 +37,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_entropy_mix, op5_slack_packing, op8_golay_simhash, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_entropy_mix, op4_line_chunks, op5_slack_packing, op6_hd_langid, op8_golay_simhash, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}

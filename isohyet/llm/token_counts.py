@@ -5,7 +5,7 @@ broadcast to the workers; tier two is each worker's cache, which encodes what th
 corpus is shuffled. The table only saves time: whatever it holds, results are the library's.
 
 Size of the broadcast: at most `table_pieces` pieces of at most 32 characters. Its pieces are the most frequent ones of
-`table_documents` documents, chosen over the whole table by a hash of their id.
+a random sample of about `table_documents` documents.
 
 Null text counts as empty (0 bytes, 0 tokens); rows are neither joined nor grouped, so repeated rows stay repeated and
 an empty table gives an empty result. Other columns of the input are ignored.
@@ -40,7 +40,8 @@ def _frequent(batches):
 
 def frequent_table(documents: DataFrame, path: str, table_documents: int, table_pieces: int) -> dict[str, int]:
     """The first tier: frequent pieces and their numbers of tokens."""
-    sample = documents.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(table_documents).select("text")
+    texts = documents.select("text")
+    sample = texts.sample(min(1.0, table_documents / max(1, texts.count())), seed=1)
     rows = sample.mapInArrow(_frequent, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table_pieces).collect()
     pieces = [r.piece for r in rows]
     return dict(zip(pieces, (len(x.ids) for x in tokenizer(path).encode_batch_fast(pieces, add_special_tokens=False)))) if pieces else {}
