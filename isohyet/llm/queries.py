@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decision_list import quality_rules
 from .entropy_mix import entropy_mix
 from .golay import simhash_classes
 from .hd_langid import language_id
@@ -13,6 +14,10 @@ from .slack_packing import slack_packing
 from .token_counts import token_counts
 
 
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_entropy_mix, op4_line_chunks, op5_slack_packing, op6_hd_langid, op8_golay_simhash, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_decision_list, op3_entropy_mix, op4_line_chunks, op5_slack_packing, op6_hd_langid, op8_golay_simhash, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
