@@ -10,12 +10,17 @@ from .decision_list import quality_rules
 from .entropy_mix import entropy_mix
 from .golay import simhash_classes
 from .hd_langid import language_id
+from .html_blocks import extract_main_text
 from .line_chunks import line_chunk_dedup
 from .maxscore import top_k
 from .slack_packing import slack_packing
 from .token_counts import token_counts
 
 
+def op1_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
@@ -52,7 +57,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decision_list, op3_entropy_mix, op4_line_chunks, op5_slack_packing, op6_hd_langid, op7_maxscore, op8_golay_simhash, op9_token_counts, op10_bloom_lm)}
+QUERIES = {f.__name__: f for f in (op1_block_lstm, op2_decision_list, op3_entropy_mix, op4_line_chunks, op5_slack_packing, op6_hd_langid, op7_maxscore, op8_golay_simhash, op9_token_counts, op10_bloom_lm)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_maxscore": """
