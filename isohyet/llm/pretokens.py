@@ -1,19 +1,23 @@
 """Worker side of the operators that tokenize: encodings of pieces between white space, kept in a bounded cache.
 
 The tokenizer's pattern never matches across white space, so a text's tokens are those of its pieces between white
-space, one after another. That holds as long as normalising a piece does not depend on its neighbours: texts with
-characters outside PLAIN (combining marks, final sigma, separators that differ between libraries) or with something
-like a special token's string are given to the library whole.
+space, one after another, and a piece's are those of its pattern's matches. That holds as long as normalising a piece does
+not depend on its neighbours: texts with characters outside PLAIN (combining marks, final sigma, separators that differ
+between libraries) or with something like a special token's string are given to the library whole. Misses are encoded by the
+same vocabulary and merges without the normaliser and the pattern, which a lower-cased match of the pattern no longer needs.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
-import re
 
-#: What must not be in a text that is encoded piece by piece.
-UNPLAIN = re.compile("[^\t\n\r -~¡-¬®-įı-ɏ]|<\\|")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: What must not be in a text that is encoded piece by piece (RE2 syntax).
+UNPLAIN = "[^\t\n\r -~¡-¬®-įı-ɏ]|<\\|"
 
 
 def vocabulary_path(name: str) -> str:
@@ -33,33 +37,53 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.lru_cache(2)
+def _parts(path: str):
+    """The vocabulary's own pattern, as a function from a piece to its matches, and an encoder for one match. None and
+    None for a tokenizer that isn't normaliser NFC + white space + lower case, then one pattern, then bytes."""
+    import regex
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    steps = [x["type"] for x in (own["normalizer"] or {}).get("normalizers", [])]
+    split, *level = (own["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    if steps != ["NFC", "Replace", "Lowercase"] or split.get("type") != "Split" or [x["type"] for x in level] != ["ByteLevel"]:
+        return None, None
+    own |= {"normalizer": None, "pre_tokenizer": level[0]}
+    return regex.compile(split["pattern"]["Regex"]).findall, Tokenizer.from_str(json.dumps(own))
+
+
 class PieceCache(dict):
-    """Piece -> value of its ids. Starts from a table of frequent pieces, encodes misses in batches, and falls back
-    to that table when it holds more than `most` pieces."""
+    """Piece -> value of its ids, for pieces of plain lower-case text; empty + one value is that value. At most
+    `most` pieces since the last turnover and `most` from before it, so that pieces in use stay."""
 
-    def __init__(self, path: str, value, table: dict, most: int):
+    def __init__(self, path: str, value, empty, table: dict, most: int):
         super().__init__(table)
-        self.path, self.value, self.table, self.most = path, value, table, most
-
-    def learn(self, pieces: list[list[str]]) -> None:
-        """Makes sure that all these pieces are there."""
-        if len(self) > self.most:
-            self.clear()
-            self.update(self.table)
-        misses = list(set().union(*pieces).difference(self))
-        for i in range(0, len(misses), 4096):
-            part = misses[i : i + 4096]
-            self.update(zip(part, (self.value(x.ids) for x in tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False))))
-
-    def values_of(self, texts: list[str], join):
-        """join() of the values of each text's pieces, in blocks of about a million characters. A text that is not plain is encoded whole."""
-        block, n = [], 0
-        for i, text in enumerate(texts):
-            block.append(text)
-            n += len(text)
-            if n > 1 << 20 or i == len(texts) - 1:
-                pieces = [None if UNPLAIN.search(x) else x.lower().split() for x in block]
-                self.learn([x for x in pieces if x is not None])
-                for x, own in zip(block, pieces):
-                    yield join([self.value(tokenizer(self.path).encode(x, add_special_tokens=False).ids)] if own is None else map(self.__getitem__, own))
-                block, n = [], 0
+        self.path, self.value, self.empty, self.most, self.old = path, value, empty, most, {}
+        self.matches, self.encoder = _parts(path)
+
+    def __missing__(self, piece: str):
+        found = self.old.get(piece)
+        if found is None:
+            if piece.isalpha() or len(own := self.matches(piece)) == 1 and own[0] == piece:
+                found = self.value(self.encoder.encode(piece, add_special_tokens=False).ids)
+            else:
+                found = self.empty
+                for x in own:
+                    found = found + self[x]
+        self[piece] = found
+        return found
+
+    def values_of(self, texts: pa.Array, join):
+        """join() of the values of each text's pieces. A text that is not plain is encoded whole."""
+        plain = pc.invert(pc.match_substring_regex(texts, UNPLAIN)).to_pylist() if self.encoder else [False] * len(texts)
+        for text, is_plain in zip(texts, plain):
+            text = text.as_py()
+            if is_plain:
+                yield join(map(self.__getitem__, text.lower().split()))
+                if len(self) > self.most:
+                    self.old = dict(self)
+                    self.clear()
+            else:
+                yield join([self.value(tokenizer(self.path).encode(text, add_special_tokens=False).ids)])

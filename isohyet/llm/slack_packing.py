@@ -18,6 +18,7 @@ ids are kept. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import functools
+import struct
 import uuid
 import zlib
 from array import array
@@ -36,18 +37,17 @@ _CACHES: dict = {}
 
 
 def _bytes_of(ids: list[int]) -> bytes:
-    a = np.asarray(ids, dtype="<u4")
-    return a.tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _cut(batches, path, tag, capacity, end_id, most):
     if tag not in _CACHES:
         _CACHES.clear()
-        _CACHES[tag] = PieceCache(path, _bytes_of, {}, most)
+        _CACHES[tag] = PieceCache(path, _bytes_of, b"", {}, most)
     cache, end, step = _CACHES[tag], _bytes_of([end_id]), 4 * capacity
     for batch in batches:
         rows, pieces, starts, lengths, sums = (array("q") for _ in range(5))
-        for row, ids in enumerate(cache.values_of(pc.fill_null(batch.column(1), "").to_pylist(), b"".join)):
+        for row, ids in enumerate(cache.values_of(pc.fill_null(batch.column(1), ""), b"".join)):
             ids += end
             for piece, at in enumerate(range(0, len(ids), step)):
                 own = ids[at : at + step]
@@ -60,7 +60,7 @@ def _cut(batches, path, tag, capacity, end_id, most):
         yield pa.RecordBatch.from_arrays([ids, pa.array(np.asarray(pieces, dtype=np.int32)), *(pa.array(np.asarray(x, dtype=np.int64)) for x in (starts, lengths, sums))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def cut_documents(documents: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 0, cache_pieces: int = 200_000) -> DataFrame:
+def cut_documents(documents: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 0, cache_pieces: int = 300_000) -> DataFrame:
     """The pieces of all documents: doc_id, piece, start, length, ids_crc32."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     cut = functools.partial(_cut, path=vocabulary_path(vocabulary), tag=uuid.uuid4().hex, capacity=capacity, end_id=end_id, most=cache_pieces)

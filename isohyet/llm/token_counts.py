@@ -31,9 +31,9 @@ _CACHES: dict = {}
 def _frequent(batches):
     counts: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if text and not UNPLAIN.search(text):
-                counts.update(text.lower().split())
+        text = pc.fill_null(batch.column(0), "")
+        for x in text.filter(pc.invert(pc.match_substring_regex(text, UNPLAIN))).to_pylist():
+            counts.update(x.lower().split())
     rows = [(k, n) for k, n in counts.items() if n > 1 and len(k) <= 32]
     yield pa.RecordBatch.from_pydict({"piece": pa.array([x[0] for x in rows], pa.string()), "n": pa.array([x[1] for x in rows], pa.int64())})
 
@@ -50,12 +50,12 @@ def frequent_table(documents: DataFrame, path: str, table_documents: int, table_
 def _count(batches, path, table, tag, most):
     if tag not in _CACHES:
         _CACHES.clear()
-        _CACHES[tag] = PieceCache(path, len, table.value, most)
+        _CACHES[tag] = PieceCache(path, len, 0, table.value, most)
     cache = _CACHES[tag]
     for batch in batches:
         text = pc.fill_null(batch.column(1), "")
         sizes = pc.binary_length(text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary()))
-        counts = pa.array(list(cache.values_of(text.to_pylist(), sum)), pa.int64())
+        counts = pa.array(list(cache.values_of(text, sum)), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), sizes.cast(pa.int64()), counts], names=["doc_id", "n_bytes", "n_tokens"])
 
 
