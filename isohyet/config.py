@@ -51,9 +51,13 @@ def localize_time(value: Any, zone: str) -> datetime:
 
 def _parse(text: str) -> datetime:
     """Day first, as in 01/02/2026 and 01.02.2026; ISO dates too are read with the day second where that is a date."""
+    import warnings
+
     import pandas as pd
 
-    return pd.to_datetime(text, dayfirst=True).to_pydatetime()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # pandas warns where an ISO date is read day first
+        return pd.to_datetime(text, dayfirst=True).to_pydatetime()
 
 
 def _required(section: dict, name: str, *keys: str) -> None:

@@ -80,7 +80,7 @@ class Manifest:
     def from_json(cls, text: str) -> Manifest:
         own = json.loads(text)
         chunks = {k: tuple(v) for k, v in own["chunks"].items()} if own["chunks"] else None
-        return cls(own["start"], own["end"], own["freq"], tuple(own["variables"]), GridMeta.from_json(json.dumps(own["grid"])), chunks, Encoding(**own["encoding"]), own["attributes"])
+        return cls(own["start"], own["end"], own["freq"], tuple(own["variables"]), GridMeta.from_json(json.dumps(own["grid"])), chunks, Encoding(**own["encoding"]), {k: v for k, v in own["attributes"].items() if k != "crs"})
 
     def axis(self, spark: SparkSession) -> DataFrame:
         """The time axis, column time."""

@@ -16,7 +16,6 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from isohyet.functions.frequency import Frequency
@@ -26,7 +25,7 @@ from isohyet.sources.chunks import date_chunks
 from isohyet.sources.registry import Source
 
 STATION_SCHEMA = "features array<struct<properties struct<SCODE string, LAT double, LONG double, ALT double, NAME_D string>>>"
-SERIES_SCHEMA = T.StructType.fromDDL("DATE string, VALUE double, sensor string, station_id string, _seq long, _error string")
+SERIES_SCHEMA = "DATE string, VALUE double, sensor string, station_id string, _seq long, _error string"
 
 
 def read_stations(frame: DataFrame) -> DataFrame:
@@ -84,10 +83,10 @@ class ProvinceSeries(DataSource):
     def name(cls) -> str:
         return "province_series"
 
-    def schema(self) -> T.StructType:
+    def schema(self) -> str:
         return SERIES_SCHEMA
 
-    def reader(self, schema: T.StructType) -> DataSourceReader:
+    def reader(self, schema) -> DataSourceReader:
         return _SeriesReader(dict(self.options))
 
 
