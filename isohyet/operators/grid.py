@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import os
 from collections.abc import Sequence
 from dataclasses import replace
@@ -80,16 +81,17 @@ def needs_regrid(meta: GridMeta, crs: int | None, res: float | tuple[float, floa
 
 
 def target_grid(meta: GridMeta, crs: int | None, res: float | tuple[float, float] | None) -> GridMeta:
-    """The grid that covers the source's box in another system and resolution. A change of system needs a resolution."""
+    """The grid that covers the source's box in another system and resolution. Without a resolution a change of system keeps
+    the number of cells on the box's diagonal."""
     crs = meta.crs if crs is None else proj.check(crs)
-    if res is None and crs != meta.crs:
-        raise ValueError("a change of CRS needs a target resolution")
-    rx, ry = meta.res if res is None else (res, res) if isinstance(res, (int, float)) else res
     minx, miny, maxx, maxy = meta.bounds
     if crs != meta.crs:
         from isohyet.operators.aoi import AOI
 
         minx, miny, maxx, maxy = AOI(minx, miny, maxx, maxy, meta.crs).to_crs(crs, densify=16).bounds
+        if res is None:
+            res = math.hypot(maxx - minx, maxy - miny) / math.hypot(meta.nx, meta.ny)
+    rx, ry = meta.res if res is None else (res, res) if isinstance(res, (int, float)) else res
     nx, ny = max(1, round((maxx - minx) / rx)), max(1, round((maxy - miny) / ry))
     return GridMeta(minx + rx / 2, maxy - ry / 2, rx, -ry, nx, ny, crs, meta.x_dim, meta.y_dim)
 

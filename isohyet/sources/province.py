@@ -11,6 +11,7 @@ import json
 import time
 import urllib.parse
 import urllib.request
+import warnings
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
@@ -24,6 +25,10 @@ from isohyet.operators.tidy import tidy_province
 from isohyet.sources.chunks import date_chunks
 from isohyet.sources.registry import Source
 
+#: The service's address, and that of an elevation service for stations that lack theirs.
+BASE_URL = "http://daten.buergernetz.bz.it/services/meteo/v1"
+ELEVATION_URL = "https://api.opentopodata.org/v1/eudem25m?locations={lat},{lon}"
+
 STATION_SCHEMA = "features array<struct<properties struct<SCODE string, LAT double, LONG double, ALT double, NAME_D string>>>"
 SERIES_SCHEMA = "DATE string, VALUE double, sensor string, station_id string, _seq long, _error string"
 
@@ -48,6 +53,15 @@ def fetch(url: str, timeout: float) -> object:
         return json.load(answer)
 
 
+def look_up_elevation(x: float, y: float, url: str, timeout: float) -> float | None:
+    """Elevation of a place from a service; None, with a warning, if it doesn't say."""
+    try:
+        return float(fetch(url.format(lat=y, lon=x), timeout)["results"][0]["elevation"])
+    except Exception as e:  # noqa: BLE001
+        warnings.warn(f"no elevation for {x}, {y}: {type(e).__name__}: {e}", stacklevel=2)
+        return None
+
+
 class _Request(InputPartition):
     def __init__(self, queries: list[dict]):
         super().__init__(0)
@@ -95,12 +109,12 @@ class ProvinceSource(Source):
     freq = "10min"
     inclusive = "both"
 
-    def __init__(self, base_url: str = "", chunk_size_days: int = 365, timeout: float = 20, max_concurrent_requests: int = 5, sleep_time: float = 1, target_zone: str = "UTC", elevation_table: DataFrame | None = None, address=None):
+    def __init__(self, base_url: str = BASE_URL, chunk_size_days: int = 365, timeout: float = 20, max_concurrent_requests: int = 5, sleep_time: float = 1, target_zone: str = "UTC", elevation_table: DataFrame | None = None, elevation_url: str | None = ELEVATION_URL, address=None):
         if max_concurrent_requests < 1:
             raise ValueError("max_concurrent_requests must be at least 1")
         self.base_url, self.chunk_size_days, self.timeout = base_url.rstrip("/"), chunk_size_days, timeout
         self.max_concurrent_requests, self.sleep_time, self.target_zone = max_concurrent_requests, sleep_time, target_zone
-        self.elevation_table, self.address = elevation_table, address or self._address
+        self.elevation_table, self.elevation_url, self.address = elevation_table, elevation_url, address or self._address
         self._stations: DataFrame | None = None
         self._sensors: dict[str, list[str]] = {}
 
@@ -113,7 +127,11 @@ class ProvinceSource(Source):
             if not (answer or {}).get("features"):
                 raise ValueError("the station list is empty")
             found = read_stations(spark.createDataFrame([(json.dumps(answer),)], "a string").select(F.from_json("a", STATION_SCHEMA).alias("j")).select("j.*"))
-            self._stations = (fill_elevation(found, self.elevation_table) if self.elevation_table is not None else found).cache()
+            found = fill_elevation(found, self.elevation_table) if self.elevation_table is not None else found
+            if self.elevation_url:
+                asked = [(r.id, look_up_elevation(r.x, r.y, self.elevation_url, self.timeout)) for r in found.filter("elevation IS NULL").collect()]
+                found = fill_elevation(found, spark.createDataFrame(asked, "id string, elevation double")) if asked else found
+            self._stations = found.cache()
         return self._stations
 
     def station_codes(self, spark: SparkSession) -> list[str]:

@@ -54,6 +54,19 @@ def test_source(spark, service):
     assert own.raw(spark, ["S1"], datetime(2025, 1, 1), datetime(2025, 1, 2), ["snow_height"]) is None
 
 
+def test_elevation_of_stations_that_lack_it(spark, tmp_path):
+    stations = [{"properties": {"SCODE": c, "LAT": 46.5, "LONG": x, "ALT": None, "NAME_D": c}} for c, x in (("A", 11.0), ("B", 12.0), ("C", 13.0))]
+    (tmp_path / "stations.json").write_text(json.dumps({"features": stations}))
+    (tmp_path / "46.5,12.0").write_text(json.dumps({"results": [{"elevation": 700}]}))
+    table = spark.createDataFrame([("A", 300.0)], "id string, elevation double")
+    own = ProvinceSource(elevation_table=table, elevation_url=f"file://{tmp_path}/{{lat}},{{lon}}", address=lambda what, **q: f"file://{tmp_path}/{what}.json")
+    with pytest.warns(UserWarning, match="no elevation"):
+        assert {r.id: r.elevation for r in own.stations(spark).collect()} == {"A": 300.0, "B": 700.0, "C": None}
+    (tmp_path / "stations.json").write_text('{"features": []}')
+    with pytest.raises(ValueError, match="empty"):
+        ProvinceSource(address=lambda what, **q: f"file://{tmp_path}/{what}.json").stations(spark)
+
+
 def test_workflow(spark, service, tmp_path):
     import yaml
 
