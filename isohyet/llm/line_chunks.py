@@ -9,6 +9,9 @@ occurrence (smallest doc_id, then place; null ids last). Equal hashes only propo
 byte by byte (smallest = largest text of a hash, aggregated on the map side), and a hash whose texts differ is resolved by grouping
 on the texts themselves.
 
+Texts are shuffled twice, by id: once for the comparison and once for the removal. These joins are sort-merge joins at every size,
+as neither side is bounded.
+
 Null text stays null, empty text empty. A document that loses all its chunks keeps its row with an empty text. Rows that
 share an id are told apart by their texts; rows equal in both are one document, so all of them keep a first occurrence. An empty
 table gives an empty result. Other columns are kept; names beginning with `_lc_` are ours.
@@ -111,10 +114,10 @@ def repeated_chunks(documents: DataFrame, least_lines: int, options: dict) -> Da
     found = written(rows.mapInArrow(functools.partial(_rows, options=options, least_lines=least_lines, only=False), schema))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content", "place"))
     many = written(found.groupBy("high", "low").agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1").drop("n"))
-    proposed = written(found.join(many, ["high", "low"]))
+    proposed = written(found.join(many.hint("merge"), ["high", "low"]))
     # The byte comparison: every proposed chunk's text, from the documents that have one.
     of = proposed.groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.collect_set("place").alias("places"))
-    texts = rows.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))).select("doc_id", "content", "text", "places")
+    texts = rows.join(of.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))).select("doc_id", "content", "text", "places")
     texts = texts.mapInArrow(functools.partial(_rows, options=options, least_lines=least_lines, only=True), schema + ", chunk string")
     compared = written(texts.groupBy("high", "low").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).filter("a <> b").select("high", "low"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("content") == F.col("first.content")) & (F.col("place") == F.col("first.place"))
@@ -132,7 +135,7 @@ def line_chunk_dedup(documents: DataFrame, least_lines: int = 2, window: int = 2
     options = {"window": window, "divisor": divisor, "longest": longest}
     drop = repeated_chunks(documents, least_lines, options).select(F.col("doc_id").alias("_lc_id"), F.col("content").alias("_lc_content"), F.col("places").alias("_lc_places"))
     kept = [c for c in documents.columns if c not in ("text", "n_lines_removed", "n_chunks_removed")]
-    joined = documents.join(drop, F.col("doc_id").eqNullSafe(F.col("_lc_id")) & (F.xxhash64("text") == F.col("_lc_content")), "left").select("text", "_lc_places", *kept)
+    joined = documents.join(drop.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_lc_id")) & (F.xxhash64("text") == F.col("_lc_content")), "left").select("text", "_lc_places", *kept)
     fields = [documents.schema[c] for c in kept] + [T.StructField("_lc_text", T.StringType()), T.StructField("_lc_lines", T.LongType()), T.StructField("_lc_chunks", T.LongType())]
     cut = joined.mapInArrow(functools.partial(_cut, options=options), T.StructType(fields)).withColumnRenamed("_lc_text", "text")
     if "n_chars" in kept:
