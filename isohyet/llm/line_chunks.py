@@ -1,8 +1,8 @@
 """Line dedup by content-defined chunks of lines.
 
 A text's lines (split at \\n; one without a word belongs to the chunk around it) are hashed; a rolling hash over the last
-`window` line hashes ends a chunk where it is 0 modulo `divisor`, or after `longest` lines. Boundaries so depend on nearby lines only: lines
-inserted before a shared passage move its chunks but don't change them. A line whose own hash is 0 modulo `divisor` ends a chunk even at a passage's start.
+`window` line hashes ends a chunk where it is 0 modulo `divisor` and the chunk has `shortest` lines, or after `longest` lines. Boundaries so
+depend on nearby lines only: lines inserted before a shared passage move its chunks but, after the first one or two, don't change them.
 
 Chunks of at least `least_lines` lines with words that occur more than once in the corpus are removed but for the first
 occurrence (smallest doc_id, then place; null ids last). Equal hashes only propose: the texts of proposed chunks are compared
@@ -37,7 +37,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def chunk_bounds(hashes: np.ndarray, window: int, divisor: int, longest: int) -> list[int]:
+def chunk_bounds(hashes: np.ndarray, window: int, divisor: int, shortest: int, longest: int) -> list[int]:
     """Ends (exclusive) of the chunks of lines with these hashes."""
     if not len(hashes):
         return []
@@ -47,6 +47,8 @@ def chunk_bounds(hashes: np.ndarray, window: int, divisor: int, longest: int) ->
     cut = _mixed(rolling) % np.uint64(divisor) == 0
     ends, start = [], 0
     for end in [*(np.flatnonzero(cut) + 1).tolist(), len(hashes)]:
+        if end - start < shortest and end < len(hashes):
+            continue
         ends += range(start + longest, end, longest)
         if end > start:
             ends.append(end)
@@ -54,7 +56,7 @@ def chunk_bounds(hashes: np.ndarray, window: int, divisor: int, longest: int) ->
     return ends
 
 
-def chunks_of(text: str, window: int = 2, divisor: int = 4, longest: int = 64) -> list[tuple[str, int]]:
+def chunks_of(text: str, window: int = 2, divisor: int = 2, shortest: int = 2, longest: int = 64) -> list[tuple[str, int]]:
     """The chunks of a text and their numbers of lines with words; joined by \\n they give the text."""
     import xxhash
 
@@ -62,7 +64,7 @@ def chunks_of(text: str, window: int = 2, divisor: int = 4, longest: int = 64) -
     encoded = [x.encode("utf-8", "surrogatepass") for x in lines]
     worded = np.array([bool(x.split()) for x in encoded])
     own = np.flatnonzero(worded)
-    ends = chunk_bounds(np.fromiter((xxhash.xxh64_intdigest(encoded[i]) for i in own), np.uint64, len(own)), window, divisor, longest)
+    ends = chunk_bounds(np.fromiter((xxhash.xxh64_intdigest(encoded[i]) for i in own), np.uint64, len(own)), window, divisor, shortest, longest)
     starts = [0, *(int(own[e]) for e in ends[:-1])]
     stops = [*starts[1:], len(lines)]
     return [("\n".join(lines[s:e]), int(worded[s:e].sum())) for s, e in zip(starts, stops)]
@@ -130,9 +132,9 @@ def repeated_chunks(documents: DataFrame, least_lines: int, options: dict) -> Da
     return checkpoint(extra.groupBy("doc_id", "content").agg(F.collect_set("place").alias("places")))
 
 
-def line_chunk_dedup(documents: DataFrame, least_lines: int = 2, window: int = 2, divisor: int = 4, longest: int = 64) -> DataFrame:
+def line_chunk_dedup(documents: DataFrame, least_lines: int = 2, window: int = 2, divisor: int = 2, shortest: int = 2, longest: int = 64) -> DataFrame:
     """documents with shortened texts, and n_lines_removed, n_chunks_removed. n_chars, if there, is counted anew."""
-    options = {"window": window, "divisor": divisor, "longest": longest}
+    options = {"window": window, "divisor": divisor, "shortest": shortest, "longest": longest}
     drop = repeated_chunks(documents, least_lines, options).select(F.col("doc_id").alias("_lc_id"), F.col("content").alias("_lc_content"), F.col("places").alias("_lc_places"))
     kept = [c for c in documents.columns if c not in ("text", "n_lines_removed", "n_chunks_removed")]
     joined = documents.join(drop.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_lc_id")) & (F.xxhash64("text") == F.col("_lc_content")), "left").select("text", "_lc_places", *kept)
