@@ -113,10 +113,10 @@ def entropy_mix(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it. Rows that share an id share its copies evenly."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    plan = checkpoint(entropy_mix(documents, **options).groupBy(key.alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")))
-    total = plan.agg(F.max("_rows"), F.sum("_rows")).first()
-    documents_, rank = documents.withColumn("_id", key), F.lit(0)
+    plan = checkpoint(entropy_mix(documents, **options).groupBy(key.alias("_mix_id")).agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows")))
+    total = plan.agg(F.max("_mix_rows"), F.sum("_mix_rows")).first()
+    documents_, rank = documents.withColumn("_mix_id", key), F.lit(0)
     if (total[0] or 0) > 1:
-        documents_, rank = numbered(documents_, ["_id"], ["source", "text"], total[1], "_rank"), F.col("_rank")
-    times = (F.floor(F.col("_copies") / F.col("_rows")) + F.when(rank < F.col("_copies") % F.col("_rows"), 1).otherwise(0)).cast("int")
-    return documents_.join(plan.filter("_copies > 0"), "_id").withColumn("_again", F.explode(F.array_repeat(F.lit(1), times))).select(*documents.columns)
+        documents_, rank = numbered(documents_, ["_mix_id"], ["source", "text"], total[1], "_mix_rank"), F.col("_mix_rank")
+    times = (F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + F.when(rank < F.col("_mix_copies") % F.col("_mix_rows"), 1).otherwise(0)).cast("int")
+    return documents_.join(plan.filter("_mix_copies > 0"), "_mix_id").withColumn("_mix_again", F.explode(F.array_repeat(F.lit(1), times))).select(*documents.columns)

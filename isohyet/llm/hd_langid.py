@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_remainder
 
@@ -110,11 +111,12 @@ def prototypes(labelled: DataFrame, dimensions: int, seed: int) -> dict[str, np.
     return {k: (found[k] / n).astype(np.float32) for k in sorted(found) if (n := np.linalg.norm(found[k])) > 0}
 
 
-def _predict(batches, model, dimensions, seed):
+def _predict(batches, model, dimensions, seed, keep, fields):
+    """The columns at the places `keep`, then language and score of the last column's texts; named `fields`."""
     names, vectors = model.value
     for batch in batches:
         best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-        for at, grams, counts, sizes in _blocks(batch.column(2).to_pylist()):
+        for at, grams, counts, sizes in _blocks(batch.column(batch.num_columns - 1).to_pylist()):
             if not len(grams) or not len(names):
                 continue
             own = counts @ bound(grams, dimensions, seed).astype(np.float32)
@@ -124,20 +126,29 @@ def _predict(batches, model, dimensions, seed):
             best[at[some]] = cosine.argmax(axis=1)[some]
             score[at[some]] = np.clip(cosine.max(axis=1)[some], 0.0, 1.0)
         chosen = pa.array([names[x] if x >= 0 else "und" for x in best], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), chosen, pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), chosen, pa.array(score, pa.float64())], names=fields)
 
 
-def language_id(documents: DataFrame, dimensions: int = 1024, held_out: int = 5, seed: int = 7) -> DataFrame:
-    """One row per row of documents: doc_id, held_out (the id's crc32 modulo held_out is 0), lang_pred, score."""
+def predicted(documents: DataFrame, kept: DataFrame, dimensions: int, held_out: int, seed: int, text_too: bool) -> DataFrame:
+    """The columns of kept, whose last is the text (left out unless text_too), with _hd_lang and _hd_score; learned from documents."""
     out = F.coalesce(id_remainder("doc_id", held_out) == 0, F.lit(False))
     learned = prototypes(documents.filter(~out & F.col("lang").isNotNull()).select("text", "lang"), dimensions, seed)
     model = documents.sparkSession.sparkContext.broadcast((list(learned), np.stack(list(learned.values())) if learned else np.zeros((0, dimensions), np.float32)))
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    predict = functools.partial(_predict, model=model, dimensions=dimensions, seed=seed)
-    return documents.select("doc_id", out.alias("held_out"), "text").mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    fields = kept.schema.fields if text_too else kept.schema.fields[:-1]
+    schema = T.StructType([*fields, T.StructField("_hd_lang", T.StringType()), T.StructField("_hd_score", T.DoubleType())])
+    predict = functools.partial(_predict, model=model, dimensions=dimensions, seed=seed, keep=list(range(len(fields))), fields=schema.names)
+    return kept.mapInArrow(predict, schema)
+
+
+def language_id(documents: DataFrame, dimensions: int = 1024, held_out: int = 5, seed: int = 7) -> DataFrame:
+    """One row per row of documents: doc_id, held_out (the id's crc32 modulo held_out is 0), lang_pred, score."""
+    out = F.coalesce(id_remainder("doc_id", held_out) == 0, F.lit(False))
+    found = predicted(documents, documents.select("doc_id", out.alias("held_out"), "text"), dimensions, held_out, seed, False)
+    return found.withColumnsRenamed({"_hd_lang": "lang_pred", "_hd_score": "score"})
 
 
-def known_language(documents: DataFrame, least: float = 0.02, **options) -> DataFrame:
-    """The documents whose language is recognised: `und` and cosines under `least` go."""
-    found = language_id(documents, **options).groupBy("doc_id").agg(F.max(F.when(F.col("lang_pred") != "und", F.col("score")).otherwise(-1.0)).alias("_score"))
-    return documents.join(found.filter(F.col("_score") >= least).select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def known_language(documents: DataFrame, least: float = 0.02, dimensions: int = 1024, held_out: int = 5, seed: int = 7) -> DataFrame:
+    """The documents whose language is recognised: `und` and cosines under `least` go. One pass, without a shuffle."""
+    others = [c for c in documents.columns if c != "text"]
+    found = predicted(documents, documents.select(*others, "text"), dimensions, held_out, seed, True)
+    return found.filter((F.col("_hd_lang") != "und") & (F.col("_hd_score") >= least)).select(*documents.columns)
