@@ -17,6 +17,7 @@ from isohyet.operators.model import LeaveOneOut, VerticalModel, fill_gaps
 from isohyet.operators.resample import Resampler
 from isohyet.operators.sensors import normalize_codes
 from isohyet.sinks.registry import Writer, create_writer
+from isohyet.sinks.scores import ScoreStore
 from isohyet.sources.registry import Source, create_source
 
 
@@ -85,6 +86,7 @@ class Runtime:
     cross_validator: LeaveOneOut | None = None
     gap_filler: Any = None
     writer: Writer | None = None
+    score_store: ScoreStore | None = None
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @classmethod
@@ -104,7 +106,9 @@ class Runtime:
         resampling, output = config.get("resampling") or {}, config.get("output")
         if output is not None:
             _required(output, "output", "format")
-        gaps = config.get("gapfilling")
+        gaps, database = config.get("gapfilling"), config.get("database")
+        if database is not None:
+            _required(database, "database", "path")
         return cls(
             spark, config, localize_time(general["start"], zone), localize_time(general["end"], zone), zone, aoi,
             BaseGrid(spark, aoi=aoi, **config["base_grid"]),
@@ -116,6 +120,7 @@ class Runtime:
             LeaveOneOut() if config.get("cross_validation") is not None else None,
             (lambda frame, column: fill_gaps(frame, column, **gaps)) if gaps is not None else None,
             create_writer(output["format"], **(output.get("options") or {})) if output is not None else None,
+            ScoreStore(database["path"]) if database is not None else None,
         )
 
     def update(self, path: str) -> Runtime:

@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 
 def localize(wall: Column, zone: str, is_summer: Column) -> Column:
-    """UTC wall time (timestamp_ntz) of a wall time in a zone with whole-hour offsets.
+    """UTC wall time (timestamp_ntz) of a wall time (timestamp_ntz) in a zone with whole-hour offsets.
 
     A time that the clock skips becomes the first one after the gap. One that it shows twice is the first (summer time) if is_summer
-    holds, else the second. `to_utc_timestamp` gives the earlier of two and an hour that doesn't exist in the gap;
-    converting back shows which case it is.
+    holds, else the second. Conversion gives the earlier of two, and moves a skipped time on by the gap; converting
+    back shows which case it is. The session's own zone has no part in it.
     """
-    at = F.to_utc_timestamp(wall.cast("timestamp"), zone)
-    back = F.from_utc_timestamp(at, zone)
+    at = F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
     later = at + F.expr("INTERVAL 1 HOUR")
-    skipped = back != wall.cast("timestamp")
-    twice = F.from_utc_timestamp(later, zone) == wall.cast("timestamp")
-    return F.when(skipped, F.date_trunc("hour", at)).when(twice & ~is_summer, later).otherwise(at).cast("timestamp_ntz")
+    skipped = at_zone(at, zone) != wall
+    twice = at_zone(later, zone) == wall
+    whole_hour = F.make_timestamp_ntz(F.year(at), F.month(at), F.dayofmonth(at), F.hour(at), F.lit(0), F.lit(0))
+    return F.when(skipped, whole_hour).when(twice & ~is_summer, later).otherwise(at)
 
 
 def at_zone(utc: Column, zone: str) -> Column:
-    """Wall time (timestamp_ntz) in a zone of a UTC wall time."""
-    return F.from_utc_timestamp(utc.cast("timestamp"), zone).cast("timestamp_ntz")
+    """Wall time (timestamp_ntz) in a zone of a UTC wall time (timestamp_ntz)."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
 def floor_seconds(column: Column, step: int, kind: str) -> Column:

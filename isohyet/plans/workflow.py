@@ -46,4 +46,6 @@ def run_workflow(runtime: Runtime, min_samples: int = MIN_SAMPLES, freq: str = F
     written = None
     if runtime.writer is not None:
         written = runtime.writer.write(field.select(F.col("param").alias("var"), F.col("interp_date").alias("time"), "y_idx", "x_idx", "value"), runtime.grid.meta, overwrite=overwrite)
+    if runtime.score_store is not None and scores is not None:
+        runtime.score_store.append(scores, runtime.run_id)
     return Result(runtime.model.fit(samples), field, scores, written)

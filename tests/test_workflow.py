@@ -78,7 +78,7 @@ def test_workflow(spark, service, tmp_path):
         "aoi": {"minx": 10.2, "miny": 46.2, "maxx": 11.6, "maxy": 46.9},
         "base_grid": {"path": str(tmp_path / "dem"), "crs": 4326, "cache_folder": str(tmp_path / "cache")},
         "meteo_input": {"handler": "province_api", "sleep_time": 0, "chunk_size_days": 1, "address": None},
-        "resampling": {"default_aggfunc": None}, "cross_validation": {},
+        "resampling": {"default_aggfunc": None}, "cross_validation": {}, "database": {"path": str(tmp_path / "scores")}, "gapfilling": {"most_rows": 2},
         "output": {"format": "zarr", "options": {"path": str(tmp_path / "cube"), "start": "2025-01-01", "end": "2025-01-31", "freq": "D", "variables": ["tair_2m"]}},
     }
     path = tmp_path / "config.yaml"
@@ -91,6 +91,7 @@ def test_workflow(spark, service, tmp_path):
     for day, top in (("2025-01-01", 20.0), ("2025-01-02", 15.0)):
         assert fits[day].slope == pytest.approx(-0.006) and fits[day].intercept == pytest.approx(top)
     assert all(r.rmse == pytest.approx(0, abs=1e-6) for r in result.scores.collect())
+    assert runtime.score_store.read(spark, runtime.run_id).count() == 2
     cube = runtime.writer.read(spark)
     assert cube.count() == 2 * runtime.grid.meta.nx * runtime.grid.meta.ny
     joined = cube.join(runtime.grid.cells.select("y_idx", "x_idx", F.col("value").alias("e")), ["y_idx", "x_idx"]).filter("time = timestamp_ntz'2025-01-02'").toPandas()
