@@ -71,8 +71,11 @@ def file_name(data: DataFrame):
 def tiff_files(data: DataFrame, meta: GridMeta) -> DataFrame:
     """(name, content, cells): one file per variable and time. data: var (default `var`), time (optional), y_idx, x_idx,
     value. A group is one raster, so its size is the grid's."""
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        return _file(meta, group)
+
     own = data.select(file_name(data).alias("name"), "y_idx", "x_idx", F.col("value").cast("double").alias("value"))
-    return own.groupBy("name").applyInPandas(functools.partial(_file, meta), "name string, content binary, cells long")
+    return own.groupBy("name").applyInPandas(one, "name string, content binary, cells long")
 
 
 def _put(batches, folder: str):
