@@ -36,10 +36,13 @@ def checkpoint(frame: DataFrame) -> DataFrame:
 
 
 def written(frame: DataFrame) -> DataFrame:
-    """As checkpoint(), but as Parquet: for many rows."""
-    path = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    """As checkpoint(), but as Parquet: for many rows. The table goes when the application ends, as results are lazy."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.parquet(path)
 
 
 def id_remainder(column: str, modulus: int):
