@@ -20,7 +20,8 @@ DEFAULT_AGGREGATES = {
     "solar_radiation": ["sum"],
 }
 
-#: A name, or a function from the value column (and, if it takes two, the time column) to an aggregate.
+#: A name, or a function from the value column (and, if it takes two, the time column) to an aggregate. A grouped-aggregate
+#: pandas UDF is one too, if all aggregates are (Spark doesn't mix them with its own) and nothing is masked.
 Aggregate = str | Callable[..., Column]
 
 #: Missing values are skipped throughout; a sum of none is 0; first and last follow time.

@@ -164,7 +164,9 @@ class ProvinceSource(Source):
 
     def raw(self, spark: SparkSession, station_ids: Sequence[str] | None, start: datetime, end: datetime, sensors=None) -> DataFrame | None:
         """All answers, with `_error` rows for requests that failed; see errors()."""
-        own, _ = self.requests(spark, station_ids, start, end, sensors)
+        own, missing = self.requests(spark, station_ids, start, end, sensors)
+        if missing:
+            warnings.warn(f"sensors that stations don't have: {missing}", stacklevel=2)
         if not own:
             return None
         spark.dataSource.register(ProvinceSeries)

@@ -77,6 +77,24 @@ def test_guards(hourly):
     assert apply_resampling(data.limit(0).select("datetime", "tair_2m"), "D").count() == 0
 
 
+def test_functions_as_aggregates(hourly):
+    frame, data = hourly
+
+    @F.pandas_udf("double")
+    def spread(v: pd.Series) -> float:
+        return float(v.max() - v.min())
+
+    def weighted(c, t):
+        return F.max_by(c, t) - F.min_by(c, t)
+
+    own = data.select("datetime", "station_id", "tair_2m")
+    want = frame.groupby(frame.datetime.dt.date)["tair_2m"].agg(lambda v: v.max() - v.min())
+    for f in (spread, weighted):
+        out = Resampler({"tair_2m": f}).apply(own, "D", groupby_cols=["station_id"]).toPandas()
+        assert np.allclose(out["tair_2m"], want)
+    assert Resampler({"tair_2m": [weighted, lambda c: F.avg(c)]}).apply(own, "D", groupby_cols=["station_id"]).columns[2:] == ["tair_2m_weighted", "tair_2m_custom"]
+
+
 def test_text_times_and_keys_only(spark):
     data = spark.createDataFrame([("2024-01-01 03:00:00", 1.0), ("no time", 2.0), (None, 3.0), ("2024-01-01T05:00:00", 5.0)], "datetime string, v double")
     out = Resampler({"v": "sum"}).apply(data, "D").collect()

@@ -51,7 +51,8 @@ def test_source(spark, service):
         ProvinceSource(max_concurrent_requests=0)
     with pytest.raises(ValueError, match="unknown source"):
         create_source("elsewhere")
-    assert own.raw(spark, ["S1"], datetime(2025, 1, 1), datetime(2025, 1, 2), ["snow_height"]) is None
+    with pytest.warns(UserWarning, match="HS"):
+        assert own.raw(spark, ["S1"], datetime(2025, 1, 1), datetime(2025, 1, 2), ["snow_height"]) is None
 
 
 def test_elevation_of_stations_that_lack_it(spark, tmp_path):
