@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder, written
 
-SEGMENT_SHIFT = np.uint64(54)  # 1024 segments
+#: 65,536 segments: so many tasks can share the counting.
+SEGMENTS, SEGMENT_SHIFT = 1 << 16, np.uint64(48)
 HASHES = 4
 
 
@@ -113,55 +114,57 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[starts], np.add.reduceat(n, starts) if len(key) else n
 
 
-def _positions(key: np.ndarray, level: np.ndarray, i: int) -> np.ndarray:
-    return _mix(key + level.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(i) * np.uint64(0x8CB92BA72F3D8DD7))
-
-
-def build_segment(key: np.ndarray, n: np.ndarray, bits_per_entry: int, segment_bits: int) -> bytes:
-    """The part of the filter for these keys; its size in bits is a power of two."""
-    level, least = quantised(n), 1
-    while level.sum() * bits_per_entry > segment_bits * 1.5 and len(level):
-        least += 1
-        keep = level >= least
-        key, level = key[keep], level[keep]
-    size = 64
-    while size < min(segment_bits, level.sum() * bits_per_entry):
-        size *= 2
-    bits = np.zeros(size, bool)
+def _positions(key: np.ndarray, level: int, i: int) -> np.ndarray:
+    step = (level * 0xD1B54A32D192ED03 + i * 0x8CB92BA72F3D8DD7) & (1 << 64) - 1
+    return _mix(key + np.uint64(step))
+
+
+def build_segments(key: np.ndarray, n: np.ndarray, bits_per_entry: int, segment_bits: int) -> tuple[np.ndarray, list[bytes]]:
+    """Segments that these keys belong to, and their bits; a segment's size in bits is a power of two from 64 to segment_bits."""
+    segments, own = np.unique((key >> SEGMENT_SHIFT).astype(np.int64), return_inverse=True)
+    level, least = quantised(n), np.ones(len(segments), np.int64)
+    while True:
+        admitted = level >= least[own]
+        entries = np.bincount(own, weights=level * admitted, minlength=len(segments))
+        over = entries * bits_per_entry > 1.5 * segment_bits
+        if not over.any():
+            break
+        least[over] += 1
+    key, level, own = key[admitted], level[admitted], own[admitted]
+    wanted = np.clip(entries * bits_per_entry, 64, segment_bits)
+    sizes = (64 * 2 ** np.ceil(np.log2(wanted / 64))).astype(np.int64)
+    ends = np.cumsum(sizes)
+    start, mask = (ends - sizes)[own], (sizes - 1).astype(np.uint64)[own]
+    bits = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
-        own = key[level >= j]
+        at = np.flatnonzero(level >= j)
         for i in range(HASHES):
-            bits[_positions(own, np.array([j]), i) & np.uint64(size - 1)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+            bits[start[at] + (_positions(key[at], j, i) & mask[at]).astype(np.int64)] = True
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    return segments, [packed[(e - size) // 8 : e // 8] for e, size in zip(ends.tolist(), sizes.tolist())]
 
 
 def _build(batches, bits_per_entry, segment_bits):
-    """Of all counts of some segments: the summed counts of words (row kind 0) and the segments (kind 1)."""
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for b in batches]
+    """Of all counts of some segments: the summed counts of words (segment -1), and the segments' bits."""
+    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)] for b in batches]
     if not parts:
         return
-    segment, key, n, word = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    key, n, word = (np.concatenate([p[i] for p in parts]) for i in range(3))
     del parts
-    for part in (True, False):
-        if part:
-            k, c = _summed(key[word].view(np.uint64), n[word])
-            for i in range(0, len(k), 1 << 18):
-                m = len(k[i : i + (1 << 18)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1, np.int32)), pa.array(k[i : i + m].view(np.int64)), pa.array(c[i : i + m]), pa.nulls(m, pa.binary())], names=["segment", "key", "n", "bits"])
-        else:
-            order = np.argsort(segment, kind="stable")
-            segment, key, n = segment[order], key[order], n[order]
-            cuts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1], [True]]))
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                k, c = _summed(key[s:e].view(np.uint64), n[s:e])
-                yield pa.RecordBatch.from_arrays([pa.array([segment[s]], pa.int32()), pa.nulls(1, pa.int64()), pa.array([len(k)], pa.int64()), pa.array([build_segment(k, c, bits_per_entry, segment_bits)], pa.binary())], names=["segment", "key", "n", "bits"])
+    names = ["segment", "key", "n", "bits"]
+    k, c = _summed(key[word].view(np.uint64), n[word])
+    for i in range(0, len(k), 1 << 18):
+        own = k[i : i + (1 << 18)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), -1, np.int32)), pa.array(own.view(np.int64)), pa.array(c[i : i + len(own)]), pa.nulls(len(own), pa.binary())], names=names)
+    segments, bits = build_segments(*_summed(key.view(np.uint64), n), bits_per_entry, segment_bits)
+    yield pa.RecordBatch.from_arrays([pa.array(segments.astype(np.int32)), pa.nulls(len(bits), pa.int64()), pa.nulls(len(bits), pa.int64()), pa.array(bits, pa.binary())], names=names)
 
 
 class Filter:
     """The assembled filter."""
 
     def __init__(self, segments: dict[int, bytes]):
-        own = [segments.get(i, b"\0" * 8) for i in range(1024)]
+        own = [segments.get(i, b"\0" * 8) for i in range(SEGMENTS)]
         self.starts = np.cumsum([0, *(8 * len(x) for x in own[:-1])]).astype(np.uint64)
         self.masks = np.array([8 * len(x) - 1 for x in own], np.uint64)
         self.bits = np.frombuffer(b"".join(own), np.uint8)
@@ -173,7 +176,7 @@ class Filter:
         while len(at) and j < len(EDGES):
             j += 1
             for i in range(HASHES):
-                place = start[at] + (_positions(key[at], np.array([j]), i) & mask[at])
+                place = start[at] + (_positions(key[at], j, i) & mask[at])
                 at = at[(self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             level[at] = j
         return level
@@ -230,6 +233,19 @@ def _score(batches, model, prior):
                 yield pa.RecordBatch.from_arrays([pa.array(rare_text), pa.nulls(len(rare), ids.column(0).type), pa.nulls(len(rare), pa.bool_()), whole, whole, null, null, pa.array(rare_key)], names=names)
 
 
+def least_frequent(words: DataFrame, most: int) -> int:
+    """A count that at most `most` words reach, from the number of words per eighth of a power of two."""
+    step = F.floor(8 * F.log2("n")).cast("int")
+    steps = sorted(((r.step, r.words) for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, total = 1 << 62, 0
+    for at, n in steps:
+        total += n
+        if total > most:
+            break
+        least = int(np.ceil(2 ** (at / 8) - 1e-9))
+    return least
+
+
 def train(texts: DataFrame, bits_per_entry: int, segment_bits: int, frequent: int) -> tuple[Filter, DataFrame, np.ndarray, np.ndarray, int, int]:
     """The filter, the table (key, n) of words, the most frequent words and their counts, N and V."""
     counted = texts.select("text").mapInArrow(_count, "segment int, key long, n long, word boolean").repartition("segment")
@@ -237,13 +253,13 @@ def train(texts: DataFrame, bits_per_entry: int, segment_bits: int, frequent: in
     words = built.filter("segment < 0").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     segments = {r.segment: bytes(r.bits) for r in built.filter("segment >= 0").select("segment", "bits").toLocalIterator()}
-    top = words.orderBy(F.desc("n"), "key").limit(frequent).toArrow()
+    top = words.filter(F.col("n") >= least_frequent(words, frequent)).toArrow()
     keys = top["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return Filter(segments), words, keys[order], top["n"].to_numpy()[order], int(total), int(distinct)
 
 
-def lm_scores(documents: DataFrame, held_out: int = 10, prior: float = 4.0, frequent: int = 1 << 19, bits_per_entry: int = 8, segment_bits: int = 1 << 19) -> DataFrame:
+def lm_scores(documents: DataFrame, held_out: int = 10, prior: float = 100.0, frequent: int = 1 << 19, bits_per_entry: int = 8, segment_bits: int = 1 << 13) -> DataFrame:
     """One row per row of documents: doc_id, held_out (the id's crc32 modulo held_out is 0), n_tokens, n_known, train_tokens, base_score, score."""
     out = F.coalesce(id_remainder("doc_id", held_out) == 0, F.lit(False))
     filter_, words, keys, counts, total, distinct = train(documents.filter(~out), bits_per_entry, segment_bits, frequent)

@@ -181,22 +181,32 @@ def test_filter_keeps_counts():
     rng = np.random.default_rng(6)
     key = np.unique(rng.integers(0, 1 << 62, 20000).astype(np.uint64) * np.uint64(3))
     n = rng.geometric(0.3, len(key)) * rng.integers(1, 50, len(key))
-    segment = (key >> bloom_lm.SEGMENT_SHIFT).astype(int)
-    own = bloom_lm.Filter({s: bloom_lm.build_segment(key[segment == s], n[segment == s], 8, 1 << 19) for s in np.unique(segment)})
+    own = bloom_lm.Filter(dict(zip(*bloom_lm.build_segments(key, n, 16, 1 << 13))))
     level = own.levels(key)
     assert (level >= bloom_lm.quantised(n)).all() and (level == bloom_lm.quantised(n)).mean() > 0.9
     assert (own.levels(rng.integers(0, 1 << 62, 20000).astype(np.uint64)) > 0).mean() < 0.1
     exact = bloom_lm.quantised(n)
     assert (bloom_lm.low_edge(exact) <= n).all() and (bloom_lm.high_edge(exact) >= n).all()
-    small = bloom_lm.build_segment(key, n, 8, 1 << 12)  # too many entries: the rarest are left out, the size holds
-    assert len(small) == (1 << 12) // 8
+    one = key % np.uint64(1 << 48)  # too many entries for one segment: the rarest are left out, the size holds
+    segments, bits = bloom_lm.build_segments(one, n, 8, 1 << 12)
+    assert segments.tolist() == [0] and len(bits[0]) == (1 << 12) // 8
+    kept = bloom_lm.Filter({0: bits[0]}).levels(one)
+    assert (kept[np.argsort(n)[-20:]] >= bloom_lm.quantised(np.sort(n)[-20:])).all()
+
+
+def test_frequent_words_are_bounded(spark):
+    words = spark.createDataFrame([(i, 1 + 1000 // (i + 1)) for i in range(500)], "key long, n long")
+    for most in (0, 1, 10, 100, 499, 500):
+        least = bloom_lm.least_frequent(words, most)
+        assert words.filter(F.col("n") >= least).count() <= most
+    assert bloom_lm.least_frequent(words, 500) <= 3
 
 
 def test_model_is_a_distribution(spark):
     """Over all words of the vocabulary and the end, probabilities after a history sum to at most 1, up to wrong hits."""
     texts = [" ".join(np.random.default_rng(i).choice(list("abcdefgh"), 30)) for i in range(40)]
     own = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    filter_, words, keys, counts, total, distinct = bloom_lm.train(own, 16, 1 << 16, 100)
+    filter_, words, keys, counts, total, distinct = bloom_lm.train(own, 16, 1 << 13, 100)
     after = np.array([bloom_lm._hash(c.encode()) for c in "abcdefgh"] + [bloom_lm.END], np.uint64)
     for h in after[:-1]:
         seen = bloom_lm.high_edge(filter_.levels(np.array([h], np.uint64)))[0]
