@@ -7,7 +7,7 @@ final conditions as long as (bad - good) / (bad + good) of what it covers there
 (with one good document added as a prior) reaches `precision`; the documents it covers are removed and the next rule is grown. The ordered rules
 become one CASE expression.
 
-Learning is driver work on a bounded sample: at most `sample_rows` labelled documents, those with the smallest hash of
+Learning is driver work on a bounded sample: at most `sample_rows` labelled documents, chosen by a hash of
 their id. Statistics, thresholds' application and verdicts cover all documents.
 
 Null text has no words (n_words 0, base_failed). Rows with a null id are judged but not learned from. Without labels, or with one quality only, no
@@ -17,6 +17,7 @@ rule is learned and kept = not base_failed. Repeated rows are judged each. An em
 from __future__ import annotations
 
 import math
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,7 +187,11 @@ def quality_rules(documents: DataFrame, labels: DataFrame, sample_rows: int = 20
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality"))
     features = [F.expr(x).cast("double").alias(f) for f, x in FEATURES.items()]
-    sample = stats.filter(~base).join(judged, F.col("doc_id") == F.col("_id")).select("_id", "_quality", *features).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).collect()
+    labelled = stats.filter(~base).join(judged, F.col("doc_id") == F.col("_id")).select("_id", "_quality", *features)
+    # About sample_rows rows by a hash of the id: no task or driver gets more than its share of them.
+    share = min(1.0, 0.97 * sample_rows / max(1, labelled.count()))
+    sample = labelled.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(sample_rows).collect()
+    sample.sort(key=lambda r: zlib.crc32(str(r["_id"]).encode()))
     rules = learn_rules([({f: r[f] for f in FEATURES}, r["_quality"] == 0) for r in sample], precision)
     verdict = stats.withColumn("base_failed", base).withColumn("rule", list_expression(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
     return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"), rules
