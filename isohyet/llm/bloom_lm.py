@@ -107,11 +107,15 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array((key >> SEGMENT_SHIFT).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(np.concatenate([w, p])), pa.array(np.arange(len(key)) < len(words))], names=["segment", "key", "n", "word"])
 
 
-def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _summed(key: np.ndarray, n: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys in order, their counts, and whether each is a word's."""
     order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[starts], np.add.reduceat(n, starts) if len(key) else n
+    key, n, word = key[order], n[order], word[order]
+    del order
+    if not len(key):
+        return key, n, word
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[starts], np.add.reduceat(n, starts), word[starts]
 
 
 def _positions(key: np.ndarray, level: int, i: int) -> np.ndarray:
@@ -152,11 +156,12 @@ def _build(batches, bits_per_entry, segment_bits):
     key, n, word = (np.concatenate([p[i] for p in parts]) for i in range(3))
     del parts
     names = ["segment", "key", "n", "bits"]
-    k, c = _summed(key[word].view(np.uint64), n[word])
+    key, n, word = _summed(key.view(np.uint64), n, word)
+    k, c = key[word], n[word]
     for i in range(0, len(k), 1 << 18):
         own = k[i : i + (1 << 18)]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), -1, np.int32)), pa.array(own.view(np.int64)), pa.array(c[i : i + len(own)]), pa.nulls(len(own), pa.binary())], names=names)
-    segments, bits = build_segments(*_summed(key.view(np.uint64), n), bits_per_entry, segment_bits)
+    segments, bits = build_segments(key, n, bits_per_entry, segment_bits)
     yield pa.RecordBatch.from_arrays([pa.array(segments.astype(np.int32)), pa.nulls(len(bits), pa.int64()), pa.nulls(len(bits), pa.int64()), pa.array(bits, pa.binary())], names=names)
 
 
@@ -196,7 +201,7 @@ def _score(batches, model, prior):
     floor = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
     row = 0
     for batch in batches:
-        for first, block in _in_blocks(batch.column(2).to_pylist()):
+        for first, block in _in_blocks(batch.column(2).to_pylist(), 1 << 19):
             sizes = np.array([len(x) for x in block])
             starts = np.cumsum(sizes) - sizes
             own, before = np.concatenate(block), np.concatenate([_histories(x) for x in block])
