@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that an earlier document has are cut out of the later ones."""
-    return line_chunk_dedup(docs).select(*docs.columns)
+    """Chunks of lines, and runs of lines of over 50 words, that an earlier document has are cut out of the later ones."""
+    return line_chunk_dedup(docs, run_words=50).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,11 @@ occurrence (smallest doc_id, then place; null ids last). Equal hashes only propo
 byte by byte (smallest = largest text of a hash, aggregated on the map side), and a hash whose texts differ is resolved by grouping
 on the texts themselves.
 
+With `run_words`, every run of lines of more than so many words that an earlier document has too goes as well, wherever chunks end.
+Such a run is the union of its shortest runs of more than `run_words` words from each line on and up to each line, and these follow from
+the lines alone: they are hashed, proposed and compared as the chunks are. All of a run's occurrences in its first document stay. Lines without a word are
+ignored in comparing, and go with the line before them.
+
 Texts are shuffled twice, by id: once for the comparison and once for the removal. These joins are sort-merge joins at every size,
 as neither side is bounded.
 
@@ -70,10 +75,42 @@ def chunks_of(text: str, window: int = 2, divisor: int = 2, shortest: int = 2, l
     return [("\n".join(lines[s:e]), int(worded[s:e].sum())) for s, e in zip(starts, stops)]
 
 
+def _units(text: str) -> list[str]:
+    """A text's lines with words, each with the lines without one that follow it (the first: also those before); joined by \\n they give the text."""
+    lines = text.split("\n")
+    own = [i for i, x in enumerate(lines) if x.encode("utf-8", "surrogatepass").split()]
+    starts = [0, *own[1:]]
+    return ["\n".join(lines[s:e]) for s, e in zip(starts, [*starts[1:], len(lines)])]
+
+
+def runs_of(text: str, run_words: int) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """The lines with words, and the shortest runs (start, end) of them that have more than run_words words, from each line on and up to each."""
+    lines = [x for x in (y.encode("utf-8", "surrogatepass") for y in text.split("\n")) if x.split()]
+    total = np.cumsum([0, *(len(x.split()) for x in lines)])
+    if total[-1] <= run_words:
+        return lines, []
+    ends = np.searchsorted(total, total[:-1] + run_words, "right")
+    starts = np.searchsorted(total, total[1:] - run_words, "left") - 1
+    return lines, sorted({(i, e) for i, e in enumerate(ends.tolist()) if e <= len(lines)} | {(s, j + 1) for j, s in enumerate(starts.tolist()) if s >= 0})
+
+
+def _run_rows(text: str, run_words: int, keep: set | None, body: bool):
+    """(place, hash, text) of the runs; places are -1, -2, ..."""
+    import xxhash
+
+    lines, runs = runs_of(text, run_words)
+    digests = [xxhash.xxh3_128_digest(x) for x in lines] if runs else []
+    for k, (s, e) in enumerate(runs):
+        if keep is None or -1 - k in keep:
+            yield -1 - k, xxhash.xxh3_128_intdigest(b"run" + b"".join(digests[s:e])), b"\n".join(lines[s:e]).decode("utf-8", "surrogatepass") if body else None
+
+
 def _rows(batches, options, least_lines, only):
-    """(id, content, place, hash[, text]) of the chunks with enough lines; with `only`, of those places that the row's list names."""
+    """(id, content, place, hash[, text]) of the chunks with enough lines and of the runs; with `only`, of those places that the row's list names."""
     import xxhash
 
+    options = dict(options)
+    run_words = options.pop("run_words", None)
     for batch in batches:
         texts = batch.column(2).to_pylist()
         wanted = batch.column(3).to_pylist() if only else [None] * len(texts)
@@ -89,6 +126,13 @@ def _rows(batches, options, least_lines, only):
                     low.append(h & (1 << 64) - 1)
                     if only:
                         body.append(chunk)
+            for k, h, run in _run_rows(text, run_words, keep, only) if text and run_words is not None else ():
+                row.append(i)
+                place.append(k)
+                high.append(h >> 64)
+                low.append(h & (1 << 64) - 1)
+                if only:
+                    body.append(run)
         at = pa.array(row, pa.int64())
         out = {"doc_id": batch.column(0).take(at), "content": batch.column(1).take(at), "place": pa.array(place, pa.int32()), "high": pa.array(np.array(high, np.uint64).view(np.int64)), "low": pa.array(np.array(low, np.uint64).view(np.int64))}
         if only:
@@ -96,15 +140,33 @@ def _rows(batches, options, least_lines, only):
         yield pa.RecordBatch.from_pydict(out)
 
 
+def _without(text: str, drop: set, options: dict, run_words: int | None) -> tuple[str, int, int]:
+    """The text without the chunks and runs of these places, and the numbers of lines with words and of chunks that went."""
+    parts = chunks_of(text, **options)
+    chunks = sum(k >= 0 for k in drop)
+    if chunks == len(drop):
+        return "\n".join(x for k, (x, _) in enumerate(parts) if k not in drop), sum(n for k, (_, n) in enumerate(parts) if k in drop), chunks
+    units = _units(text)
+    gone, at = np.zeros(len(units), bool), 0
+    for k, (_, n) in enumerate(parts):
+        gone[at : at + n] = k in drop
+        at += n
+    for k, (s, e) in enumerate(runs_of(text, run_words)[1]):
+        if -1 - k in drop:
+            gone[s:e] = True
+    return "\n".join(x for x, g in zip(units, gone) if not g), int(gone.sum()), chunks
+
+
 def _cut(batches, options):
+    options = dict(options)
+    run_words = options.pop("run_words", None)
     for batch in batches:
         texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out, lines, gone = [], [], []
         for text, own in zip(texts, wanted):
-            drop, parts = set(own or ()), [] if text is None else chunks_of(text, **options) if own else [(text, 0)]
-            out.append(None if text is None else "\n".join(x for k, (x, _) in enumerate(parts) if k not in drop))
-            lines.append(sum(n for k, (_, n) in enumerate(parts) if k in drop))
-            gone.append(len(drop))
+            cut = _without(text, set(own), options, run_words) if text and own else (text, 0, 0)
+            for values, x in zip((out, lines, gone), cut):
+                values.append(x)
         yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=[*batch.schema.names[2:], "_lc_text", "_lc_lines", "_lc_chunks"])
 
 
@@ -122,19 +184,20 @@ def repeated_chunks(documents: DataFrame, least_lines: int, options: dict) -> Da
     texts = rows.join(of.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))).select("doc_id", "content", "text", "places")
     texts = texts.mapInArrow(functools.partial(_rows, options=options, least_lines=least_lines, only=True), schema + ", chunk string")
     compared = written(texts.groupBy("high", "low").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).filter("a <> b").select("high", "low"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("content") == F.col("first.content")) & (F.col("place") == F.col("first.place"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("content") == F.col("first.content")) & ((F.col("place") == F.col("first.place")) | (F.col("place") < 0))
     extra = proposed.filter(~is_first)
     if compared.limit(1).count():  # different texts with one hash: their groups are told apart by the texts
         own = texts.join(compared, ["high", "low"], "left_semi")
-        firsts = own.groupBy("chunk").agg(first.alias("first"))
-        real = own.join(firsts, "chunk").filter(~is_first)
+        own = own.withColumn("run", F.col("place") < 0)
+        firsts = own.groupBy("chunk", "run").agg(first.alias("first"))
+        real = own.join(firsts, ["chunk", "run"]).filter(~is_first)
         extra = extra.join(compared, ["high", "low"], "left_anti").select("doc_id", "content", "place").unionByName(real.select("doc_id", "content", "place"))
     return checkpoint(extra.groupBy("doc_id", "content").agg(F.collect_set("place").alias("places")))
 
 
-def line_chunk_dedup(documents: DataFrame, least_lines: int = 2, window: int = 2, divisor: int = 2, shortest: int = 2, longest: int = 64) -> DataFrame:
-    """documents with shortened texts, and n_lines_removed, n_chunks_removed. n_chars, if there, is counted anew."""
-    options = {"window": window, "divisor": divisor, "shortest": shortest, "longest": longest}
+def line_chunk_dedup(documents: DataFrame, least_lines: int = 2, window: int = 2, divisor: int = 2, shortest: int = 2, longest: int = 64, run_words: int | None = None) -> DataFrame:
+    """documents with shortened texts, and n_lines_removed, n_chunks_removed (whole chunks). n_chars, if there, is counted anew."""
+    options = {"window": window, "divisor": divisor, "shortest": shortest, "longest": longest, "run_words": run_words}
     drop = repeated_chunks(documents, least_lines, options).select(F.col("doc_id").alias("_lc_id"), F.col("content").alias("_lc_content"), F.col("places").alias("_lc_places"))
     kept = [c for c in documents.columns if c not in ("text", "n_lines_removed", "n_chunks_removed")]
     joined = documents.join(drop.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_lc_id")) & (F.xxhash64("text") == F.col("_lc_content")), "left").select("text", "_lc_places", *kept)

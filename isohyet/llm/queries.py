@@ -30,7 +30,7 @@ def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunk_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_removed", "n_chunks_removed")
+    return line_chunk_dedup(table(spark, sf_dir, "documents"), run_words=50).select("doc_id", "text", "n_lines_removed", "n_chunks_removed")
 
 
 def op5_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
