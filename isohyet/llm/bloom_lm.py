@@ -4,9 +4,10 @@ Training texts give counts of words and of word pairs. A count is quantised on a
 4, 6, 8, 12, ...: EDGES); a key of quantised count j is entered j times, as (key, 1) to (key, j). A lookup probes (key, 1), (key, 2), ...
 until one is missing: the last one found is the quantised count. A wrong hit (odds about 1 to 3 in 100 a probe) so adds one step.
 
-The filter is cut into segments by the key's leading bits, so that it is built by many tasks, each for its own keys. Its size is
-bounded: `bits_per_entry` bits for each entry, up to segments * segment_bits in all (64 MB); a segment whose entries would need
-more leaves out the rarest pairs and words, the same way for all keys: its least admitted count is raised. At most so much is collected and broadcast.
+The filter is cut into segments by the key's leading bits, so that it is built by many tasks, each for its own keys. It has all entries, with
+`bits_per_entry` bits for each, so it grows with the number of different pairs. Memory is bounded another way: segments are collected and broadcast
+in shards of `shard_bytes` (or one segment, if that is larger), and a block of texts probes one shard after the other. A worker has one shard in memory at a
+time; all of them lie on each executor's disk. Only if `segment_bits` is given, a segment has at most so many, and leaves out its rarest pairs and words.
 
 Model: P(w | h) = (pairs(h, w) + m * P(w)) / (words(h) + m), P(w) = (words(w) + 0.1) / (N + 0.1 * (V + 1)), h the previous word or the
 text's start, w a word or the text's end. Where counts are summed over w, the lower edge of the quantised count is used, for words(h) the upper edge, so that
@@ -123,19 +124,19 @@ def _positions(key: np.ndarray, level: int, i: int) -> np.ndarray:
     return _mix(key + np.uint64(step))
 
 
-def build_segments(key: np.ndarray, n: np.ndarray, bits_per_entry: int, segment_bits: int) -> tuple[np.ndarray, list[bytes]]:
-    """Segments that these keys belong to, and their bits; a segment's size in bits is a power of two from 64 to segment_bits."""
+def build_segments(key: np.ndarray, n: np.ndarray, bits_per_entry: int, segment_bits: int | None = None) -> tuple[np.ndarray, list[bytes]]:
+    """Segments that these keys belong to, and their bits; a segment's size in bits is a power of two from 64 on, up to segment_bits if that is given."""
     segments, own = np.unique((key >> SEGMENT_SHIFT).astype(np.int64), return_inverse=True)
     level, least = quantised(n), np.ones(len(segments), np.int64)
     while True:
         admitted = level >= least[own]
         entries = np.bincount(own, weights=level * admitted, minlength=len(segments))
-        over = entries * bits_per_entry > 1.5 * segment_bits
+        over = entries * bits_per_entry > 1.5 * (segment_bits or np.inf)
         if not over.any():
             break
         least[over] += 1
     key, level, own = key[admitted], level[admitted], own[admitted]
-    wanted = np.clip(entries * bits_per_entry, 64, segment_bits)
+    wanted = np.clip(entries * bits_per_entry, 64, segment_bits or np.inf)
     sizes = (64 * 2 ** np.ceil(np.log2(wanted / 64))).astype(np.int64)
     ends = np.cumsum(sizes)
     start, mask = (ends - sizes)[own], (sizes - 1).astype(np.uint64)[own]
@@ -165,8 +166,20 @@ def _build(batches, bits_per_entry, segment_bits):
     yield pa.RecordBatch.from_arrays([pa.array(segments.astype(np.int32)), pa.nulls(len(bits), pa.int64()), pa.nulls(len(bits), pa.int64()), pa.array(bits, pa.binary())], names=names)
 
 
+def _probed(bits: np.ndarray, key: np.ndarray, start: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Quantised counts (0: none) by repeated probes, of keys whose segments begin at these bits."""
+    level, at, j = np.zeros(len(key), np.int64), np.arange(len(key)), 0
+    while len(at) and j < len(EDGES):
+        j += 1
+        for i in range(HASHES):
+            place = start[at] + (_positions(key[at], j, i) & mask[at])
+            at = at[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        level[at] = j
+    return level
+
+
 class Filter:
-    """The assembled filter."""
+    """A filter in one piece."""
 
     def __init__(self, segments: dict[int, bytes]):
         own = [segments.get(i, b"\0" * 8) for i in range(SEGMENTS)]
@@ -176,14 +189,41 @@ class Filter:
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         """Quantised counts (0: none) by repeated probes."""
-        level, at, j = np.zeros(len(key), np.int64), np.arange(len(key)), 0
-        start, mask = self.starts[(key >> SEGMENT_SHIFT).astype(np.int64)], self.masks[(key >> SEGMENT_SHIFT).astype(np.int64)]
-        while len(at) and j < len(EDGES):
-            j += 1
-            for i in range(HASHES):
-                place = start[at] + (_positions(key[at], j, i) & mask[at])
-                at = at[(self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-            level[at] = j
+        segment = (key >> SEGMENT_SHIFT).astype(np.int64)
+        return _probed(self.bits, key, self.starts[segment], self.masks[segment])
+
+
+class ShardedFilter:
+    """A filter whose shards are broadcast each by itself; without them (`parts`) it is small."""
+
+    def __init__(self, segments, broadcast, shard_bytes: int):
+        """segments: pairs of a segment and its bits, in any order; only those of one shard are kept at a time."""
+        self.shard = np.full(SEGMENTS, -1, np.int32)
+        self.starts, self.masks = np.zeros(SEGMENTS, np.uint64), np.zeros(SEGMENTS, np.uint64)
+        self.parts, own = [], bytearray()
+        for segment, bits in segments:
+            if own and len(own) + len(bits) > shard_bytes:
+                self.parts.append(broadcast(bytes(own)))
+                own = bytearray()
+            self.shard[segment], self.starts[segment], self.masks[segment] = len(self.parts), 8 * len(own), 8 * len(bits) - 1
+            own += bits
+        if own:
+            self.parts.append(broadcast(bytes(own)))
+
+    def __getstate__(self):
+        return self.__dict__ | {"parts": None}
+
+    def levels(self, key: np.ndarray, parts: list | None = None) -> np.ndarray:
+        """Quantised counts (0: none), shard by shard."""
+        parts = self.parts if parts is None else parts
+        segment, level = (key >> SEGMENT_SHIFT).astype(np.int64), np.zeros(len(key), np.int64)
+        shard = self.shard[segment]
+        for k, part in enumerate(parts):
+            at = np.flatnonzero(shard == k)
+            if len(at):
+                level[at] = _probed(np.frombuffer(part.value, np.uint8), key[at], self.starts[segment[at]], self.masks[segment[at]])
+                if len(parts) > 1 and getattr(part, "_path", None):  # value keeps what it has read; it is read again from the file
+                    vars(part).pop("_value", None)
         return level
 
 
@@ -195,7 +235,7 @@ def high_edge(level: np.ndarray) -> np.ndarray:
     return EDGES[level] - 1
 
 
-def _score(batches, model, prior):
+def _score(batches, model, parts, prior):
     filter_, words, counts, total, distinct = model.value
     below = total + 0.1 * (distinct + 1)
     floor = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
@@ -206,16 +246,17 @@ def _score(batches, model, prior):
             starts = np.cumsum(sizes) - sizes
             own, before = np.concatenate(block), np.concatenate([_histories(x) for x in block])
             text = np.repeat(np.arange(len(block)), sizes)
-            # The model: probes for each different word and pair of the block.
+            # The model: probes for each different word and pair of the block, all at once, as each call reads all shards.
             distinct_words, place = np.unique(own, return_inverse=True)
-            level = filter_.levels(distinct_words)
+            pairs, pair_place = np.unique(pair_keys(before, own), return_inverse=True)
+            level = filter_.levels(np.concatenate([np.array([START], np.uint64), distinct_words, pairs]), parts)
+            start_level, level, pair_level = level[0], level[1 : 1 + len(distinct_words)], level[1 + len(distinct_words) :]
             plain = (low_edge(level) + 0.1) / below if below else np.ones(len(level))
-            seen_before = np.concatenate([[high_edge(filter_.levels(np.array([START], np.uint64)))[0]], high_edge(level)])
+            seen_before = np.concatenate([[high_edge(start_level)], high_edge(level)])
             history = np.concatenate([[0], place[:-1] + 1])
             history[starts] = 0
-            pairs, pair_place = np.unique(pair_keys(before, own), return_inverse=True)
             # A pair can't be more frequent than its rarer word: that corrects some wrong hits.
-            together = np.minimum(low_edge(filter_.levels(pairs))[pair_place], np.minimum(high_edge(level)[place], seen_before[history]))
+            together = np.minimum(low_edge(pair_level)[pair_place], np.minimum(high_edge(level)[place], seen_before[history]))
             probability = (together + prior * plain[place]) / (seen_before[history] + prior)
             score = np.add.reduceat(np.log10(probability), starts)
             # The base: words of the broadcast table here, others by a join.
@@ -251,27 +292,28 @@ def least_frequent(words: DataFrame, most: int) -> int:
     return least
 
 
-def train(texts: DataFrame, bits_per_entry: int, segment_bits: int, frequent: int) -> tuple[Filter, DataFrame, np.ndarray, np.ndarray, int, int]:
+def train(texts: DataFrame, bits_per_entry: int, segment_bits: int | None, frequent: int, shard_bytes: int = 1 << 26) -> tuple[ShardedFilter, DataFrame, np.ndarray, np.ndarray, int, int]:
     """The filter, the table (key, n) of words, the most frequent words and their counts, N and V."""
     counted = texts.select("text").mapInArrow(_count, "segment int, key long, n long, word boolean").repartition("segment")
     built = written(counted.mapInArrow(functools.partial(_build, bits_per_entry=bits_per_entry, segment_bits=segment_bits), "segment int, key long, n long, bits binary"))
     words = built.filter("segment < 0").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    segments = {r.segment: bytes(r.bits) for r in built.filter("segment >= 0").select("segment", "bits").toLocalIterator()}
+    segments = ((r.segment, r.bits) for r in built.filter("segment >= 0").select("segment", "bits").toLocalIterator())
+    filter_ = ShardedFilter(segments, texts.sparkSession.sparkContext.broadcast, shard_bytes)
     top = words.filter(F.col("n") >= least_frequent(words, frequent)).toArrow()
     keys = top["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return Filter(segments), words, keys[order], top["n"].to_numpy()[order], int(total), int(distinct)
+    return filter_, words, keys[order], top["n"].to_numpy()[order], int(total), int(distinct)
 
 
-def lm_scores(documents: DataFrame, held_out: int = 10, prior: float = 100.0, frequent: int = 1 << 19, bits_per_entry: int = 8, segment_bits: int = 1 << 13) -> DataFrame:
+def lm_scores(documents: DataFrame, held_out: int = 10, prior: float = 100.0, frequent: int = 1 << 19, bits_per_entry: int = 8, segment_bits: int | None = None, shard_bytes: int = 1 << 26) -> DataFrame:
     """One row per row of documents: doc_id, held_out (the id's crc32 modulo held_out is 0), n_tokens, n_known, train_tokens, base_score, score."""
     out = F.coalesce(id_remainder("doc_id", held_out) == 0, F.lit(False))
-    filter_, words, keys, counts, total, distinct = train(documents.filter(~out), bits_per_entry, segment_bits, frequent)
+    filter_, words, keys, counts, total, distinct = train(documents.filter(~out), bits_per_entry, segment_bits, frequent, shard_bytes)
     model = documents.sparkSession.sparkContext.broadcast((filter_, keys, counts, total, distinct))
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, key long"
-    scored = written(documents.select("doc_id", out.alias("held_out"), "text").mapInArrow(functools.partial(_score, model=model, prior=prior), schema))
+    scored = written(documents.select("doc_id", out.alias("held_out"), "text").mapInArrow(functools.partial(_score, model=model, parts=filter_.parts, prior=prior), schema))
     # A rare word: how often a text has it, then its count in training (none: 0).
     below = float(total) + 0.1 * (distinct + 1)
     rare = scored.filter("key is not null").groupBy("uid", "key").agg(F.count("*").alias("times")).join(words, "key", "left")
