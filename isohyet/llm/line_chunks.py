@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks of lines.
 
 A text's lines (split at \\n; one without a word belongs to the chunk around it) are hashed; a rolling hash over the last
-`window` line hashes ends a chunk where it is 0 modulo `divisor` and the chunk has `shortest` lines, or after `longest` lines. Boundaries so
+`window` line hashes ends a chunk where it is 0 modulo `divisor` and the chunk has `shortest` lines, or after `longest` lines; what is shorter at the text's end joins the chunk before. Boundaries so
 depend on nearby lines only: lines inserted before a shared passage move its chunks but, after the first one or two, don't change them.
 
 Chunks of at least `least_lines` lines with words that occur more than once in the corpus are removed but for the first
@@ -58,6 +58,8 @@ def chunk_bounds(hashes: np.ndarray, window: int, divisor: int, shortest: int, l
         if end > start:
             ends.append(end)
         start = end
+    if len(ends) > 1 and ends[-1] - ends[-2] < shortest:  # what is too short at the end belongs to the chunk before
+        del ends[-2]
     return ends
 
 

@@ -60,3 +60,20 @@ def test_runs_of_a_whole_table(spark, sf_dir):
     want = dict(zip((d for d, _ in own), expected(texts, brute_shared(texts))))
     rows = queries.op4_line_chunks(spark, sf_dir).collect()
     assert len(rows) == len(own) and all(lines_of(r.text) == want[r.doc_id] for r in rows)
+
+
+def test_copies_keep_no_last_line(spark):
+    """Of an exact copy nothing stays, however many lines it has, even with few words in each."""
+    texts = ["\n".join(f"t{n} line {i}" for i in range(n)) for n in range(2, 80)]
+    assert all(n >= 2 for t in texts for _, n in line_chunks.chunks_of(t))
+    rows = spark.createDataFrame(list(enumerate(texts + texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_chunks.line_chunk_dedup(rows).collect()}
+    assert [got[d] for d in range(2 * len(texts))] == texts + [""] * len(texts)
+
+
+def test_repeated_single_lines(spark):
+    """A text of one line of over 50 words is a run too; a shorter one stays."""
+    long, short = " ".join(f"w{i}" for i in range(51)), " ".join(f"w{i}" for i in range(50))
+    rows = spark.createDataFrame(list(enumerate([long, short, long, short, f"own\n{long}"])), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_chunks.line_chunk_dedup(rows, run_words=50).collect()}
+    assert got == {0: long, 1: short, 2: "", 3: short, 4: "own"}
