@@ -1,23 +1,28 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training texts give counts of words and of word pairs. A count is quantised on a roughly geometric scale of whole numbers (1, 2, 3,
+Training texts give counts of words and of runs of 2 to `order` words. A count is quantised on a roughly geometric scale of whole numbers (1, 2, 3,
 4, 6, 8, 12, ...: EDGES); a key of quantised count j is entered j times, as (key, 1) to (key, j). A lookup probes (key, 1), (key, 2), ...
-until one is missing: the last one found is the quantised count. A wrong hit (odds about 1 to 3 in 100 a probe) so adds one step.
+until one is missing: the last one found is the quantised count. A wrong hit (odds about 2 in 100 a probe) so adds one step.
 
-The filter is cut into segments by the key's leading bits, so that it is built by many tasks, each for its own keys. It has all entries, with
-`bits_per_entry` bits for each, so it grows with the number of different pairs. Memory is bounded another way: segments are collected and broadcast
-in shards of `shard_bytes` (or one segment, if that is larger), and a block of texts probes one shard after the other. A worker has one shard in memory at a
-time; all of them lie on each executor's disk. Only if `segment_bits` is given, a segment has at most so many, and leaves out its rarest pairs and words.
+Counting. A block of texts sorts its different keys and sends them on as one blob for each *bucket* (the key's leading bits), so that the
+shuffle moves a few fat rows. A bucket is summed while its blobs come in; what is held is compacted whenever it has doubled, so that memory is that of the bucket's
+different keys. There are as many buckets as the texts have pieces of `bucket_bytes`, so a bucket doesn't grow with the input.
 
-Model: P(w | h) = (pairs(h, w) + m * P(w)) / (words(h) + m), P(w) = (words(w) + 0.1) / (N + 0.1 * (V + 1)), h the previous word or the
-text's start, w a word or the text's end. Where counts are summed over w, the lower edge of the quantised count is used, for words(h) the upper edge, so that
-probabilities sum to at most 1 (but for wrong hits).
+Filter. Keys are cut into 65,536 segments by their leading 16 bits, a segment's size in bits is `bits_per_entry` times its entries: all are entered, and the
+filter grows with the number of different runs. Up to `broadcast_bytes`, a size that is known when the filter is built, it is broadcast to the workers in shards of `shard_bytes`, and a block of texts
+probes one shard after the other; a worker has one shard in memory at a time. A larger filter stays where it is and the probes are sent to it, in the
+same blobs as in counting, and the quantised counts are sent back. Scores are the same either way.
+
+Model. P1(w) = (words(w) + 0.1) / (N + 0.1 * (V + 1)); for a history h of n - 1 words, which the text's start fills up,
+Pn(w | h) = (runs(h, w) + m * Pn-1(w | h without its first word)) / (runs(h) + m), m = priors[n - 2]. w is a word or the text's end. Where counts are summed over w, the lower
+edge of the quantised count is used, for runs(h) the upper edge, so that probabilities sum to at most 1 (but for wrong hits).
 
 The base score needs exact counts: the `frequent` most frequent words are broadcast with their counts (16 bytes each); other words' occurrences
 are joined with the table of counts by key. Words are 64-bit hashes throughout (XXH64; at 10 million different words, odds of a shared hash are 3e-6).
 
 Null text counts as empty: one token, the end. Rows with a null id are never held out. Repeated rows are scored each and learned from as often as
-they occur. An empty table gives an empty result; with no training text N = V = 0. Other columns are ignored.
+they occur. Very long texts are blocks of their own: memory is some 150 bytes a word of the longest text. An empty table gives an empty result; with no training
+text N = V = 0. Equal counts need no order. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +37,12 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder, written
 
-#: 65,536 segments: so many tasks can share the counting.
+#: A key's segment is its leading 16 bits.
 SEGMENTS, SEGMENT_SHIFT = 1 << 16, np.uint64(48)
 HASHES = 4
+#: m of runs of 2, 3, ... words.
+PRIORS = (100.0, 4.0)
+ORDER = len(PRIORS) + 1
 
 
 def _edges() -> np.ndarray:
@@ -59,10 +67,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash(word: bytes) -> int:
-    import xxhash
+class _Hashes(dict):
+    """Word -> its hash; forgets all when it has `most` bytes of words."""
+
+    def __init__(self, most: int = 1 << 24):
+        super().__init__()
+        self.most, self.size = most, 0
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        found = xxhash.xxh64_intdigest(word)
+        self.size += len(word) + 100
+        if self.size > self.most:
+            self.clear()
+            self.size = len(word)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
 
-    return xxhash.xxh64_intdigest(word)
+_HASHES = _Hashes()
+
+
+def _hash(word: bytes) -> int:
+    return _HASHES[word]
 
 
 #: Keys of the text's end and start: no word contains a space.
@@ -71,21 +100,27 @@ END, START = _hash(b"the end"), _hash(b"the start")
 
 def tokens(text: str | None) -> np.ndarray:
     """Keys of a text's words and of its end."""
-    import xxhash
-
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     own = np.empty(len(words) + 1, np.uint64)
-    own[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    own[:-1] = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     own[-1] = END
     return own
 
 
 def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Keys of runs that are one word longer than those with the keys `before`."""
     return _mix(before * np.uint64(0x9E3779B97F4A7C15) + (after << np.uint64(1) | np.uint64(1)))
 
 
-def _histories(own: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.array([START], np.uint64), own[:-1]])
+def run_keys(own: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
+    """Keys of the runs of 1, 2, ..., order words that end at each token; texts begin at starts."""
+    runs = [own]
+    for _ in range(order - 1):
+        before = np.empty_like(own)
+        before[1:] = runs[-1][:-1]
+        before[starts] = START
+        runs.append(pair_keys(before, own))
+    return runs
 
 
 def _in_blocks(texts: list[str | None], most: int = 1 << 20):
@@ -99,98 +134,177 @@ def _in_blocks(texts: list[str | None], most: int = 1 << 20):
             block, n, first = [], 0, i + 1
 
 
-def _count(batches):
-    for batch in batches:
-        for _, block in _in_blocks(batch.column(0).to_pylist()):
-            words, w = np.unique(np.concatenate(block), return_counts=True)
-            pairs, p = np.unique(np.concatenate([pair_keys(_histories(x), x) for x in block]), return_counts=True)
-            key = np.concatenate([words, pairs])
-            yield pa.RecordBatch.from_arrays([pa.array((key >> SEGMENT_SHIFT).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(np.concatenate([w, p])), pa.array(np.arange(len(key)) < len(words))], names=["segment", "key", "n", "word"])
+def _starts(block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in block])
+    return sizes, np.cumsum(sizes) - sizes
 
 
-def _summed(key: np.ndarray, n: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different keys in order, their counts, and whether each is a word's."""
-    order = np.argsort(key, kind="stable")
-    key, n, word = key[order], n[order], word[order]
-    del order
-    if not len(key):
-        return key, n, word
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[starts], np.add.reduceat(n, starts), word[starts]
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and how often each is there."""
+    key = np.sort(key)
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[at], np.diff(np.append(at, len(key)))
 
 
-def _positions(key: np.ndarray, level: int, i: int) -> np.ndarray:
-    step = (level * 0xD1B54A32D192ED03 + i * 0x8CB92BA72F3D8DD7) & (1 << 64) - 1
-    return _mix(key + np.uint64(step))
+def _by_bucket(key: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket's part of ordered keys begins, and the end."""
+    return np.append(np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(key))
+
+
+def _packed(key: np.ndarray, n: np.ndarray | None = None) -> bytes:
+    """The lower seven bytes of each key (a bucket's keys have the first in common), then a byte for each count; counts above 255 take several entries."""
+    if n is not None and len(n) and n.max() > 255:
+        times = (n + 254) // 255
+        key, last = np.repeat(key, times), np.cumsum(times) - 1
+        rest = n - 255 * (times - 1)
+        n = np.full(len(key), 255)
+        n[last] = rest
+    low = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+    return low if n is None else low + n.astype(np.uint8).tobytes()
+
+
+def _unpacked(blob: bytes, bucket: int, bits: int, counted: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    n = len(blob) // (8 if counted else 7)
+    key = np.empty((n, 8), np.uint8)
+    key[:, :7] = np.frombuffer(blob, np.uint8, 7 * n).reshape(-1, 7)
+    key[:, 7] = bucket >> (bits - 8)
+    return key.view("<u8").ravel(), np.frombuffer(blob, np.uint8, n, 7 * n) if counted else None
+
+
+def _count(batches, order, bits):
+    """Of each block and bucket: the words with their counts, and the longer runs."""
+    for batch in batches:
+        for _, block in _in_blocks(batch.column(0).to_pylist()):
+            runs = run_keys(np.concatenate(block), _starts(block)[1], order)
+            words, w = _counted(runs[0])
+            longer, n = _counted(np.concatenate(runs[1:])) if order > 1 else (words[:0], w[:0])
+            at, cut = _by_bucket(words, bits), _by_bucket(longer, bits)
+            own = [_packed(longer[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]]) for i in range(1 << bits)]
+            of_words = [words[at[i] : at[i + 1]].tobytes() + w[at[i] : at[i + 1]].astype(np.int64).tobytes() for i in range(1 << bits)]
+            some = [i for i in range(1 << bits) if own[i] or of_words[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([of_words[i] for i in some], pa.binary()), pa.array([own[i] for i in some], pa.binary())], names=["bucket", "words", "runs"])
+
+
+class _Sums:
+    """Keys and their counts, added up; what is held is compacted whenever it has doubled."""
+
+    def __init__(self):
+        self.parts, self.size, self.compact = [], 0, 1 << 20
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        if len(key):
+            self.parts.append((key, n))
+            self.size += len(key)
+            if self.size > 2 * self.compact:
+                self.result()
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        key = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in self.parts)])
+        n = np.concatenate([np.zeros(0, np.int64), *(c for _, c in self.parts)])
+        if len(self.parts) > 1:
+            place = np.argsort(key)
+            key, n = key[place], n[place]
+        if len(key):
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, n = key[at], np.add.reduceat(n, at)
+        self.parts, self.size = [(key, n)], len(key)
+        self.compact = max(1 << 20, len(key))
+        return key, n
+
+
+def _place(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit halves of a hash of (key, level); the i-th probe is at their combination."""
+    own = _mix(key + np.uint64((level * 0xD1B54A32D192ED03) & (1 << 64) - 1))
+    return own >> np.uint64(32), own & np.uint64(0xFFFFFFFF) | np.uint64(1)
+
+
+def _bit(first: np.ndarray, step: np.ndarray, i: int, size: np.ndarray) -> np.ndarray:
+    """Place of the i-th probe among `size` bits, by a multiplication instead of a remainder."""
+    return ((first + np.uint64(i) * step & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
 
 
 def build_segments(key: np.ndarray, n: np.ndarray, bits_per_entry: int, segment_bits: int | None = None) -> tuple[np.ndarray, list[bytes]]:
-    """Segments that these keys belong to, and their bits; a segment's size in bits is a power of two from 64 on, up to segment_bits if that is given."""
+    """Segments that these keys belong to, and their bits; all keys are entered. A segment's size in bits is a multiple of 8 from 64 on, or segment_bits
+    if that is given: with too few bits counts come out too high, never too low."""
     segments, own = np.unique((key >> SEGMENT_SHIFT).astype(np.int64), return_inverse=True)
-    level, least = quantised(n), np.ones(len(segments), np.int64)
-    while True:
-        admitted = level >= least[own]
-        entries = np.bincount(own, weights=level * admitted, minlength=len(segments))
-        over = entries * bits_per_entry > 1.5 * (segment_bits or np.inf)
-        if not over.any():
-            break
-        least[over] += 1
-    key, level, own = key[admitted], level[admitted], own[admitted]
-    wanted = np.clip(entries * bits_per_entry, 64, segment_bits or np.inf)
-    sizes = (64 * 2 ** np.ceil(np.log2(wanted / 64))).astype(np.int64)
+    level = quantised(n)
+    entries = np.bincount(own, weights=level, minlength=len(segments))
+    sizes = (np.maximum(64, np.ceil(entries * bits_per_entry / 8) * 8) if segment_bits is None else np.full(len(segments), segment_bits)).astype(np.int64)
     ends = np.cumsum(sizes)
-    start, mask = (ends - sizes)[own], (sizes - 1).astype(np.uint64)[own]
+    start, size = (ends - sizes)[own], sizes.astype(np.uint64)[own]
     bits = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
         at = np.flatnonzero(level >= j)
+        first, step = _place(key[at], j)
         for i in range(HASHES):
-            bits[start[at] + (_positions(key[at], j, i) & mask[at]).astype(np.int64)] = True
+            bits[start[at] + _bit(first, step, i, size[at]).astype(np.int64)] = True
     packed = np.packbits(bits, bitorder="little").tobytes()
     return segments, [packed[(e - size) // 8 : e // 8] for e, size in zip(ends.tolist(), sizes.tolist())]
 
 
-def _build(batches, bits_per_entry, segment_bits):
-    """Of all counts of some segments: the summed counts of words (segment -1), and the segments' bits."""
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)] for b in batches]
-    if not parts:
-        return
-    key, n, word = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    del parts
-    names = ["segment", "key", "n", "bits"]
-    key, n, word = _summed(key.view(np.uint64), n, word)
-    k, c = key[word], n[word]
-    for i in range(0, len(k), 1 << 18):
-        own = k[i : i + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), -1, np.int32)), pa.array(own.view(np.int64)), pa.array(c[i : i + len(own)]), pa.nulls(len(own), pa.binary())], names=names)
-    segments, bits = build_segments(key, n, bits_per_entry, segment_bits)
-    yield pa.RecordBatch.from_arrays([pa.array(segments.astype(np.int32)), pa.nulls(len(bits), pa.int64()), pa.nulls(len(bits), pa.int64()), pa.array(bits, pa.binary())], names=names)
-
-
-def _probed(bits: np.ndarray, key: np.ndarray, start: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Quantised counts (0: none) by repeated probes, of keys whose segments begin at these bits."""
-    level, at, j = np.zeros(len(key), np.int64), np.arange(len(key)), 0
+def _summed_buckets(batches, bits):
+    """Of rows ordered by bucket: (bucket, words and their counts, all keys and their counts)."""
+    now, words, runs = None, _Sums(), _Sums()
+
+    def done():
+        key, n = words.result()
+        more, m = runs.result()
+        return now, key, n, np.concatenate([key, more]), np.concatenate([n, m])
+
+    for batch in batches:
+        for bucket, of_words, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if bucket != now:
+                if now is not None:
+                    yield done()
+                now, words, runs = bucket, _Sums(), _Sums()
+            half = len(of_words) // 2
+            words.add(np.frombuffer(of_words, np.uint64, half // 8), np.frombuffer(of_words, np.int64, half // 8, half))
+            key, n = _unpacked(own, bucket, bits, True)
+            runs.add(key, n.astype(np.int64))
+    if now is not None:
+        yield done()
+
+
+def _build(batches, bits, bits_per_entry, segment_bits):
+    """The summed counts of words (segment -1), and the segments' bits."""
+    names = ["bucket", "segment", "key", "n", "bits"]
+    for bucket, k, c, key, n in _summed_buckets(batches, bits):
+        for i in range(0, len(k), 1 << 18):
+            own = k[i : i + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), bucket, np.int32)), pa.array(np.full(len(own), -1, np.int32)), pa.array(own.view(np.int64)), pa.array(c[i : i + len(own)]), pa.nulls(len(own), pa.binary())], names=names)
+        segments, found = build_segments(key, n, bits_per_entry, segment_bits)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), bucket, np.int32)), pa.array(segments.astype(np.int32)), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.array(found, pa.binary())], names=names)
+
+
+def _probed(bits: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Quantised counts (0: none) by repeated probes, of keys whose segments begin at these bits and have these sizes."""
+    level, at, j = np.zeros(len(key), np.int64), np.flatnonzero(size), 0
     while len(at) and j < len(EDGES):
         j += 1
+        first, step = _place(key[at], j)
         for i in range(HASHES):
-            place = start[at] + (_positions(key[at], j, i) & mask[at])
-            at = at[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            place = start[at] + _bit(first, step, i, size[at])
+            hit = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            at, first, step = at[hit], first[hit], step[hit]
         level[at] = j
     return level
 
 
 class Filter:
-    """A filter in one piece."""
+    """A filter, or some segments of one, in one piece."""
 
     def __init__(self, segments: dict[int, bytes]):
-        own = [segments.get(i, b"\0" * 8) for i in range(SEGMENTS)]
-        self.starts = np.cumsum([0, *(8 * len(x) for x in own[:-1])]).astype(np.uint64)
-        self.masks = np.array([8 * len(x) - 1 for x in own], np.uint64)
-        self.bits = np.frombuffer(b"".join(own), np.uint8)
+        self.starts, self.sizes = np.zeros(SEGMENTS, np.uint64), np.zeros(SEGMENTS, np.uint64)
+        at = 0
+        for i, own in segments.items():
+            self.starts[i], self.sizes[i] = at, 8 * len(own)
+            at += 8 * len(own)
+        self.bits = np.frombuffer(b"".join(segments.values()), np.uint8)
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         """Quantised counts (0: none) by repeated probes."""
         segment = (key >> SEGMENT_SHIFT).astype(np.int64)
-        return _probed(self.bits, key, self.starts[segment], self.masks[segment])
+        return _probed(self.bits, key, self.starts[segment], self.sizes[segment])
 
 
 class ShardedFilter:
@@ -199,13 +313,13 @@ class ShardedFilter:
     def __init__(self, segments, broadcast, shard_bytes: int):
         """segments: pairs of a segment and its bits, in any order; only those of one shard are kept at a time."""
         self.shard = np.full(SEGMENTS, -1, np.int32)
-        self.starts, self.masks = np.zeros(SEGMENTS, np.uint64), np.zeros(SEGMENTS, np.uint64)
+        self.starts, self.sizes = np.zeros(SEGMENTS, np.uint64), np.zeros(SEGMENTS, np.uint64)
         self.parts, own = [], bytearray()
         for segment, bits in segments:
             if own and len(own) + len(bits) > shard_bytes:
                 self.parts.append(broadcast(bytes(own)))
                 own = bytearray()
-            self.shard[segment], self.starts[segment], self.masks[segment] = len(self.parts), 8 * len(own), 8 * len(bits) - 1
+            self.shard[segment], self.starts[segment], self.sizes[segment] = len(self.parts), 8 * len(own), 8 * len(bits)
             own += bits
         if own:
             self.parts.append(broadcast(bytes(own)))
@@ -221,7 +335,7 @@ class ShardedFilter:
         for k, part in enumerate(parts):
             at = np.flatnonzero(shard == k)
             if len(at):
-                level[at] = _probed(np.frombuffer(part.value, np.uint8), key[at], self.starts[segment[at]], self.masks[segment[at]])
+                level[at] = _probed(np.frombuffer(part.value, np.uint8), key[at], self.starts[segment[at]], self.sizes[segment[at]])
                 if len(parts) > 1 and getattr(part, "_path", None):  # value keeps what it has read; it is read again from the file
                     vars(part).pop("_value", None)
         return level
@@ -235,48 +349,134 @@ def high_edge(level: np.ndarray) -> np.ndarray:
     return EDGES[level] - 1
 
 
-def _score(batches, model, parts, prior):
-    filter_, words, counts, total, distinct = model.value
-    below = total + 0.1 * (distinct + 1)
-    floor = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
-    row = 0
+_SCORED = "uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, key long"
+
+
+def probes(block: list[np.ndarray], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A block's different keys in order (the end's among them), and for each length the places of its tokens' runs among them."""
+    runs = run_keys(np.concatenate(block), _starts(block)[1], order)
+    key, place = np.unique(np.concatenate(runs), return_inverse=True)
+    return key, np.split(place, order)
+
+
+def block_scores(block: list[np.ndarray], key: np.ndarray, places: list[np.ndarray], level: np.ndarray, below: float, priors: tuple[float, ...]) -> np.ndarray:
+    """log10 probabilities of a block's texts, given the quantised counts of its keys."""
+    sizes, starts = _starts(block)
+    low, high = low_edge(level), high_edge(level)
+    probability = (low[places[0]] + 0.1) / below if below else np.ones(len(places[0]))
+    texts = high[np.searchsorted(key, np.uint64(END))]  # so many texts there are, so often the start
+    together_most = high[places[0]]
+    for n, prior in enumerate(priors, 1):
+        history = np.empty(len(probability))
+        history[1:] = high[places[n - 1]][:-1]
+        history[starts] = texts
+        # A run can't be more frequent than one in it: that corrects some wrong hits.
+        together_most = np.minimum(high[places[n]], np.minimum(together_most, history))
+        probability = (np.minimum(low[places[n]], together_most) + prior * probability) / (history + prior)
+    return np.add.reduceat(np.log10(probability), starts)
+
+
+def _scored_rows(block, ids, held_out, uid, score, table, below):
+    """One row per text, with the base score of the words in the broadcast table, and one per occurrence of another word."""
+    words, counts = table
+    sizes, starts = _starts(block)
+    own = np.concatenate(block)
+    text = np.repeat(np.arange(len(block)), sizes)
+    at = np.searchsorted(words, own)
+    known = (at < len(words)) & (words[np.minimum(at, len(words) - 1)] == own) if len(words) else np.zeros(len(own), bool)
+    c = np.where(known, counts[np.minimum(at, len(words) - 1)] if len(words) else 0, 0)
+    logs = np.where(known, np.log10((c + 0.1) / below) if below else 0.0, 0.0)
+    rare, m = np.flatnonzero(~known), len(block)
+    names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "key"]
+    yield pa.RecordBatch.from_arrays([pa.array(uid), ids, held_out, pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(logs, starts)), pa.array(score), pa.nulls(m, pa.int64())], names=names)
+    if len(rare):
+        k, whole, real = len(rare), pa.nulls(len(rare), pa.int64()), pa.nulls(len(rare), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(uid[text[rare]]), pa.nulls(k, ids.type), pa.nulls(k, pa.bool_()), whole, whole, real, real, pa.array(own[rare].view(np.int64))], names=names)
+
+
+def _partition() -> int:
+    return TaskContext.get().partitionId() if TaskContext.get() else 0
+
+
+def _score(batches, model, parts, priors):
+    """Scores by the broadcast filter."""
+    filter_, *table, below = model.value
+    row = _partition() << 33
     for batch in batches:
         for first, block in _in_blocks(batch.column(2).to_pylist(), 1 << 19):
-            sizes = np.array([len(x) for x in block])
-            starts = np.cumsum(sizes) - sizes
-            own, before = np.concatenate(block), np.concatenate([_histories(x) for x in block])
-            text = np.repeat(np.arange(len(block)), sizes)
-            # The model: probes for each different word and pair of the block, all at once, as each call reads all shards.
-            distinct_words, place = np.unique(own, return_inverse=True)
-            pairs, pair_place = np.unique(pair_keys(before, own), return_inverse=True)
-            level = filter_.levels(np.concatenate([np.array([START], np.uint64), distinct_words, pairs]), parts)
-            start_level, level, pair_level = level[0], level[1 : 1 + len(distinct_words)], level[1 + len(distinct_words) :]
-            plain = (low_edge(level) + 0.1) / below if below else np.ones(len(level))
-            seen_before = np.concatenate([[high_edge(start_level)], high_edge(level)])
-            history = np.concatenate([[0], place[:-1] + 1])
-            history[starts] = 0
-            # A pair can't be more frequent than its rarer word: that corrects some wrong hits.
-            together = np.minimum(low_edge(pair_level)[pair_place], np.minimum(high_edge(level)[place], seen_before[history]))
-            probability = (together + prior * plain[place]) / (seen_before[history] + prior)
-            score = np.add.reduceat(np.log10(probability), starts)
-            # The base: words of the broadcast table here, others by a join.
-            at = np.searchsorted(words, distinct_words)
-            known = (at < len(words)) & (words[np.minimum(at, len(words) - 1)] == distinct_words) if len(words) else np.zeros(len(distinct_words), bool)
-            c = np.where(known, counts[np.minimum(at, len(words) - 1)] if len(words) else 0, 0)
-            logs = np.where(known, np.log10((c + 0.1) / below) if below else 0.0, 0.0)
-            base = np.add.reduceat(logs[place], starts)
-            n_known = np.add.reduceat((c[place] > 0).astype(np.int64), starts)
-            m, uid = len(block), floor + row + np.arange(len(block))
+            key, places = probes(block, len(priors) + 1)
+            # All different keys of the block at once, as each call reads all shards.
+            score = block_scores(block, key, places, filter_.levels(key, parts), below, priors)
+            m = len(block)
+            yield from _scored_rows(block, batch.column(0).slice(first, m), batch.column(1).slice(first, m), row + np.arange(m), score, table, below)
             row += m
-            ids = batch.slice(first, m)
-            rare = np.flatnonzero(~known[place])
-            rare_key, rare_text = own[rare].view(np.int64), uid[text[rare]]
-            null = pa.nulls(len(rare), pa.float64())
-            names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "key"]
-            yield pa.RecordBatch.from_arrays([pa.array(uid), ids.column(0), ids.column(1), pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(score), pa.nulls(m, pa.int64())], names=names)
-            if len(rare):
-                whole = pa.nulls(len(rare), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rare_text), pa.nulls(len(rare), ids.column(0).type), pa.nulls(len(rare), pa.bool_()), whole, whole, null, null, pa.array(rare_key)], names=names)
+
+
+def _blocks(batches, bits, order):
+    """Blocks of texts as they are scored, each one row (kind 0), and their keys, one row per bucket (kind 1)."""
+    at = _partition() << 33
+    for batch in batches:
+        for first, block in _in_blocks(batch.column(2).to_pylist(), 1 << 19):
+            key, _ = probes(block, order)
+            cut = _by_bucket(key, bits)
+            some = [i for i in range(1 << bits) if cut[i] < cut[i + 1]]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch.slice(first, len(block)))
+            blobs = [sink.getvalue().to_pybytes(), *(_packed(key[cut[i] : cut[i + 1]]) for i in some)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), at)), pa.array([-1, *some], pa.int32()), pa.array([0] + [1] * len(some), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "bucket", "kind", "blob"])
+            at += 1
+
+
+def _answer(batches, bits):
+    """Of rows ordered by bucket and kind: for the keys of a block in a bucket (kind 1) their quantised counts, by the bucket's segments (kind 0)."""
+    now, segments, own = None, {}, None
+    for batch in batches:
+        out = []
+        for block, bucket, kind, segment, blob in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if bucket != now:
+                now, segments, own = bucket, {}, None
+            if kind == 0:
+                segments[segment] = blob
+            else:
+                own = own or Filter(segments)
+                out.append((block, bucket, own.levels(_unpacked(blob, bucket, bits, False)[0]).astype(np.uint8).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["block", "bucket", "blob"])
+
+
+def _score_answered(batches, model, priors):
+    """Scores from rows ordered by block and bucket: the block's texts come first, then its keys' quantised counts."""
+    *table, below = model.value
+    now, texts, levels = None, None, []
+
+    def done():
+        batch = pa.ipc.open_stream(texts).read_next_batch()
+        block = [tokens(x) for x in batch.column(2).to_pylist()]
+        key, places = probes(block, len(priors) + 1)
+        score = block_scores(block, key, places, np.frombuffer(b"".join(levels), np.uint8).astype(np.int64), below, priors)
+        yield from _scored_rows(block, batch.column(0), batch.column(1), (now << 20) + np.arange(len(block)), score, table, below)
+
+    for batch in batches:
+        for block, bucket, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if block != now:
+                if now is not None:
+                    yield from done()
+                now, texts, levels = block, blob, []
+            else:
+                levels.append(blob)
+    if now is not None:
+        yield from done()
+
+
+def _scores_by_shuffle(rows: DataFrame, built: DataFrame, bits: int, model, priors: tuple[float, ...], kind: str) -> DataFrame:
+    """The filter's segments stay; each block's keys are sent to them by bucket and the quantised counts sent back to the block."""
+    sent = written(rows.mapInArrow(functools.partial(_blocks, bits=bits, order=len(priors) + 1), "block long, bucket int, kind int, blob binary"))
+    segments = built.filter("segment >= 0").select(F.lit(-1).cast("long").alias("block"), "bucket", F.lit(0).alias("kind"), "segment", F.col("bits").alias("blob"))
+    keys = sent.filter("kind = 1").select("block", "bucket", "kind", F.lit(-1).alias("segment"), "blob")
+    answers = segments.unionByName(keys).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(functools.partial(_answer, bits=bits), "block long, bucket int, blob binary")
+    texts = sent.filter("kind = 0").select("block", "bucket", "blob")
+    together = texts.unionByName(answers).repartition("block").sortWithinPartitions("block", "bucket")
+    return together.mapInArrow(functools.partial(_score_answered, model=model, priors=priors), _SCORED.format(kind=kind))
 
 
 def least_frequent(words: DataFrame, most: int) -> int:
@@ -292,30 +492,58 @@ def least_frequent(words: DataFrame, most: int) -> int:
     return least
 
 
-def train(texts: DataFrame, bits_per_entry: int, segment_bits: int | None, frequent: int, shard_bytes: int = 1 << 26) -> tuple[ShardedFilter, DataFrame, np.ndarray, np.ndarray, int, int]:
-    """The filter, the table (key, n) of words, the most frequent words and their counts, N and V."""
-    counted = texts.select("text").mapInArrow(_count, "segment int, key long, n long, word boolean").repartition("segment")
-    built = written(counted.mapInArrow(functools.partial(_build, bits_per_entry=bits_per_entry, segment_bits=segment_bits), "segment int, key long, n long, bits binary"))
-    words = built.filter("segment < 0").select("key", "n")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+def _bucket_bits(texts: DataFrame, bucket_bytes: int) -> int:
+    """Buckets are a power of two, 256 at least, one for every bucket_bytes of the texts."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(8, int(size // bucket_bytes).bit_length())
+
+
+def _built(texts: DataFrame, bits: int, order: int, bits_per_entry: int, segment_bits: int | None) -> DataFrame:
+    """Rows of words (segment -1: key, n) and of segments (segment, bits), with their bucket."""
+    counted = texts.select("text").mapInArrow(functools.partial(_count, order=order, bits=bits), "bucket int, words binary, runs binary")
+    ordered = counted.repartition("bucket").sortWithinPartitions("bucket")
+    return written(ordered.mapInArrow(functools.partial(_build, bits=bits, bits_per_entry=bits_per_entry, segment_bits=segment_bits), "bucket int, segment int, key long, n long, bits binary"))
+
+
+def _broadcast_filter(built: DataFrame, shard_bytes: int) -> ShardedFilter:
     segments = ((r.segment, r.bits) for r in built.filter("segment >= 0").select("segment", "bits").toLocalIterator())
-    filter_ = ShardedFilter(segments, texts.sparkSession.sparkContext.broadcast, shard_bytes)
+    return ShardedFilter(segments, built.sparkSession.sparkContext.broadcast, shard_bytes)
+
+
+def _frequent_words(words: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndarray]:
     top = words.filter(F.col("n") >= least_frequent(words, frequent)).toArrow()
     keys = top["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return filter_, words, keys[order], top["n"].to_numpy()[order], int(total), int(distinct)
+    place = np.argsort(keys)
+    return keys[place], top["n"].to_numpy()[place]
 
 
-def lm_scores(documents: DataFrame, held_out: int = 10, prior: float = 100.0, frequent: int = 1 << 19, bits_per_entry: int = 8, segment_bits: int | None = None, shard_bytes: int = 1 << 26) -> DataFrame:
+def train(texts: DataFrame, bits_per_entry: int, segment_bits: int | None, frequent: int, shard_bytes: int = 1 << 26, order: int = ORDER, bucket_bytes: int = 1 << 24) -> tuple[ShardedFilter, DataFrame, np.ndarray, np.ndarray, int, int]:
+    """The filter, the table (key, n) of words, the most frequent words and their counts, N and V."""
+    built = _built(texts, _bucket_bits(texts, bucket_bytes), order, bits_per_entry, segment_bits)
+    words = built.filter("segment < 0").select("key", "n")
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    return _broadcast_filter(built, shard_bytes), words, *_frequent_words(words, frequent), int(total), int(distinct)
+
+
+def lm_scores(documents: DataFrame, held_out: int = 10, priors: tuple[float, ...] = PRIORS, frequent: int = 1 << 19, bits_per_entry: int = 8, segment_bits: int | None = None, shard_bytes: int = 1 << 26, broadcast_bytes: int = 1 << 30, bucket_bytes: int = 1 << 24) -> DataFrame:
     """One row per row of documents: doc_id, held_out (the id's crc32 modulo held_out is 0), n_tokens, n_known, train_tokens, base_score, score."""
     out = F.coalesce(id_remainder("doc_id", held_out) == 0, F.lit(False))
-    filter_, words, keys, counts, total, distinct = train(documents.filter(~out), bits_per_entry, segment_bits, frequent, shard_bytes)
-    model = documents.sparkSession.sparkContext.broadcast((filter_, keys, counts, total, distinct))
+    texts, context = documents.filter(~out), documents.sparkSession.sparkContext
+    bits, order = _bucket_bits(documents, bucket_bytes), len(priors) + 1
+    built = _built(texts, bits, order, bits_per_entry, segment_bits)
+    words = built.filter("segment < 0").select("key", "n")
+    total, distinct = map(int, words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
+    below = total + 0.1 * (distinct + 1) if total else 0.0
+    table = _frequent_words(words, frequent)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, key long"
-    scored = written(documents.select("doc_id", out.alias("held_out"), "text").mapInArrow(functools.partial(_score, model=model, parts=filter_.parts, prior=prior), schema))
+    rows = documents.select("doc_id", out.alias("held_out"), "text")
+    if (built.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= broadcast_bytes:
+        filter_ = _broadcast_filter(built, shard_bytes)
+        model = context.broadcast((filter_, *table, below))
+        scored = written(rows.mapInArrow(functools.partial(_score, model=model, parts=filter_.parts, priors=priors), _SCORED.format(kind=kind)))
+    else:
+        scored = written(_scores_by_shuffle(rows, built, bits, context.broadcast((*table, below)), priors, kind))
     # A rare word: how often a text has it, then its count in training (none: 0).
-    below = float(total) + 0.1 * (distinct + 1)
     rare = scored.filter("key is not null").groupBy("uid", "key").agg(F.count("*").alias("times")).join(words, "key", "left")
     c = F.coalesce("n", F.lit(0))
     rare = rare.groupBy("uid").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(below))).alias("more_base"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: the cluster's own setting, or in tests, where it is unset, one of ours."""
+    """The folder that all executors see: the cluster's own setting. Only where driver and executors are one machine, as in tests,
+    one of ours is set instead."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(own or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -35,14 +41,42 @@ def checkpoint(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+#: Frame's id -> its folder, of frames of written() that are not yet released.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(frame: DataFrame) -> DataFrame:
-    """As checkpoint(), but as Parquet: for many rows. The table goes when the application ends, as results are lazy."""
+    """As checkpoint(), but as Parquet: for many rows. The table goes when release() says so, at the latest when the application
+    ends, as results are lazy."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.parquet(path)
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
+    stored = spark.read.parquet(path)
+    _WRITTEN[stored] = path
+    return stored
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the tables of written() frames that nothing lazy needs any more."""
+    for frame in frames:
+        if path := _WRITTEN.pop(frame, None):
+            system, place = _file_system(frame.sparkSession, path)
+            system.delete(place, True)
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has; names are compared without case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def id_remainder(column: str, modulus: int):
@@ -55,22 +89,53 @@ def word_count(text):
     return F.coalesce(F.size(F.filter(F.split(text, f"[{SPACE}]+"), lambda x: x != "")), F.lit(0)).cast("long")
 
 
-def numbered(frame: DataFrame, keys: list[str], order: list[str], n_rows: int, name: str = "rank") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", salts: int = 64, share: int = 256, hint: str | None = None) -> DataFrame:
+    """rows.join(table, keys); table has one row per key, and in `_n` how many rows have it (`total` in all). The result lacks `_n`.
+
+    A key of more than total / share rows would be one task's work: its rows are spread over `salts` tasks and its row of the table is there
+    for each. There are fewer than `share` such keys, so their list is broadcast. rows must be a stored table, as salts follow a row's place.
+    """
+    plain = table.drop("_n")
+    hot = table.filter(F.col("_n") > max(100_000, total // share)).select(*keys).limit(share)
+    if not total > 100_000 or not hot.limit(1).count():
+        return rows.join(plain.hint(hint) if hint else plain, keys, how)
+    hot = checkpoint(hot.withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.monotonically_increasing_id() % salts).otherwise(0).cast("int")
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
+    right = plain.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return left.join(right.hint(hint) if hint else right, [*keys, "_salt"], how).drop("_salt")
+
+
+def numbered(frame: DataFrame, keys: list[str], order: list[str], n_rows: int, name: str = "rank", part: str | None = None) -> DataFrame:
     """Adds a number from 0 to each row among those with equal keys, ascending without gaps.
 
     A plain window would sort a whole group in one task. Here rows of a group go to about sqrt(n_rows) cells by
     a hash of the order columns; a cell is numbered by itself and starts after the cells before it. So the largest
     task has 1 / sqrt(n_rows) of a group, and the table of cells has at most sqrt(n_rows) rows of a group.
+
+    Rows that are equal in the order columns share a cell whatever its number. With `part`, a stored column that says which part of a table a
+    row lies in, a cell that is far too large (fewer than sqrt(n_rows) / 2 can be) is cut further by the rows' whole hash and by part. Numbers of
+    different rows depend on their contents only; equal rows may change places.
     """
     cells = max(1, int(n_rows**0.5))
-    celled = frame.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)))
+    celled = frame.withColumn("_hash", F.xxhash64(*order)).withColumn("_cell", F.pmod("_hash", F.lit(cells)))
+    sub: list[str] = []
+    if part is not None and n_rows > 10_000:
+        sizes = celled.groupBy(*keys, "_cell").count()
+        hot = checkpoint(sizes.filter(F.col("count") > 2 * cells + 1000).select(*keys, "_cell", F.lit(True).alias("_hot")))
+        if hot.limit(1).count():
+            sub = ["_sub_hash", "_sub_part"]
+            same = [celled[c].eqNullSafe(hot[c]) for c in (*keys, "_cell")]
+            joined = celled.join(F.broadcast(hot), reduce(lambda a, b: a & b, same), "left").select(*(celled[c] for c in celled.columns), "_hot")
+            celled = joined.withColumn("_sub_hash", F.when(F.col("_hot"), F.col("_hash")).otherwise(0)).withColumn("_sub_part", F.when(F.col("_hot"), F.col(part)).otherwise(0)).drop("_hot")
+    cell = ["_cell", *sub]
     starts = (
-        celled.groupBy(*keys, "_cell").count()
-        .withColumn("_start", F.sum("count").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)))
-        .select(*keys, "_cell", F.coalesce("_start", F.lit(0)).alias("_start"))
+        celled.groupBy(*keys, *cell).count()
+        .withColumn("_start", F.sum("count").over(Window.partitionBy(*keys).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)))
+        .select(*keys, *cell, F.coalesce("_start", F.lit(0)).alias("_start"))
     )
-    within = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(*order)) - 1
-    return celled.join(starts, [*keys, "_cell"]).withColumn(name, F.col("_start") + within).drop("_cell", "_start")
+    within = F.row_number().over(Window.partitionBy(*keys, *cell).orderBy(*order)) - 1
+    return celled.drop("_hash").join(starts, [*keys, *cell]).withColumn(name, F.col("_start") + within).drop(*cell, "_start")
 
 
 def classes(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -78,22 +143,22 @@ def classes(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     the smallest of its class.
 
     Alternates the large-star and small-star steps: each node passes its smallest neighbour to the others, until
-    every node but the root hangs on the root. Minima are aggregated on the map side and joined back, so that a node
-    of high degree is no task's whole work; the number of rounds grows with the logarithm of a path's length.
+    every node but the root hangs on the root. Minima are aggregated on the map side and joined back; a node of high degree, as the hub of a star, has its
+    edges spread over many tasks there. The number of rounds grows with the logarithm of a path's length.
     """
     edges = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    before = None
+    before, total = None, edges.count()
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(lowest, "a").filter("b > a").select(F.col("m").alias("a"), "b")
-        large = large.filter("a < b").distinct()
-        lowest = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(lowest, "b")
+        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("_n"))
+        large = spread_join(both, lowest, ["a"], 2 * total).filter("b > a").select(F.col("m").alias("a"), "b")
+        large = checkpoint(large.filter("a < b").distinct())
+        lowest = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("_n"))
+        joined = spread_join(large, lowest, ["b"], total)
         small = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(joined.select(F.col("m").alias("a"), "b"))
         edges = checkpoint(small.filter("a < b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        before = now
+        before, total = now, now[0]
     raise RuntimeError(f"the classes did not settle within {most_rounds} rounds")
