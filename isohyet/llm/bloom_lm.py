@@ -2,15 +2,16 @@
 
 Training texts give counts of words and of runs of 2 to `order` words. A count is quantised on a roughly geometric scale of whole numbers (1, 2, 3,
 4, 6, 8, 12, ...: EDGES); a key of quantised count j is entered j times, as (key, 1) to (key, j). A lookup probes (key, 1), (key, 2), ...
-until one is missing: the last one found is the quantised count. A wrong hit (odds about 2 in 100 a probe) so adds one step.
+until one is missing: the last one found is the quantised count. A wrong hit (odds about 3 in 100 a probe) so adds one step. An entry's four bits are in one 64-bit
+word, so that a probe reads one place.
 
 Counting. A block of texts sorts its different keys and sends them on as one blob for each *bucket* (the key's leading bits), so that the
 shuffle moves a few fat rows. A bucket is summed while its blobs come in; what is held is compacted whenever it has doubled, so that memory is that of the bucket's
 different keys. There are as many buckets as the texts have pieces of `bucket_bytes`, so a bucket doesn't grow with the input.
 
-Filter. Keys are cut into 65,536 segments by their leading 16 bits, a segment's size in bits is `bits_per_entry` times its entries: all are entered, and the
+Filter. Keys are cut into 65,536 segments by their leading 16 bits, a segment's size in bits is `bits_per_entry` times its entries, in whole words: all are entered, and the
 filter grows with the number of different runs. Up to `broadcast_bytes`, a size that is known when the filter is built, it is broadcast to the workers in shards of `shard_bytes`, and a block of texts
-probes one shard after the other; a worker has one shard in memory at a time. A larger filter stays where it is and the probes are sent to it, in the
+probes one shard after the other; a worker maps a shard's file and has one mapped at a time. A larger filter stays where it is and the probes are sent to it, in the
 same blobs as in counting, and the quantised counts are sent back. Scores are the same either way.
 
 Model. P1(w) = (words(w) + 0.1) / (N + 0.1 * (V + 1)); for a history h of n - 1 words, which the text's start fills up,
@@ -27,19 +28,21 @@ text N = V = 0. Equal counts need no order. Other columns are ignored, whatever
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import mmap
+import os
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_remainder, written
 
 #: A key's segment is its leading 16 bits.
 SEGMENTS, SEGMENT_SHIFT = 1 << 16, np.uint64(48)
-HASHES = 4
 #: m of runs of 2, 3, ... words.
 PRIORS = (100.0, 4.0)
 ORDER = len(PRIORS) + 1
@@ -174,7 +177,7 @@ def _unpacked(blob: bytes, bucket: int, bits: int, counted: bool) -> tuple[np.nd
 def _count(batches, order, bits):
     """Of each block and bucket: the words with their counts, and the longer runs."""
     for batch in batches:
-        for _, block in _in_blocks(batch.column(0).to_pylist()):
+        for _, block in _in_blocks(batch.column(0).to_pylist(), 1 << 19):
             runs = run_keys(np.concatenate(block), _starts(block)[1], order)
             words, w = _counted(runs[0])
             longer, n = _counted(np.concatenate(runs[1:])) if order > 1 else (words[:0], w[:0])
@@ -212,34 +215,39 @@ class _Sums:
         return key, n
 
 
-def _place(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 32-bit halves of a hash of (key, level); the i-th probe is at their combination."""
-    own = _mix(key + np.uint64((level * 0xD1B54A32D192ED03) & (1 << 64) - 1))
-    return own >> np.uint64(32), own & np.uint64(0xFFFFFFFF) | np.uint64(1)
+def _two_bits() -> np.ndarray:
+    """For each 12-bit number: a word with the two bits that its halves name."""
+    x = np.arange(1 << 12, dtype=np.uint64)
+    return np.uint64(1) << (x & np.uint64(63)) | np.uint64(1) << (x >> np.uint64(6))
+
 
+_TWO_BITS = _two_bits()
 
-def _bit(first: np.ndarray, step: np.ndarray, i: int, size: np.ndarray) -> np.ndarray:
-    """Place of the i-th probe among `size` bits, by a multiplication instead of a remainder."""
-    return ((first + np.uint64(i) * step & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
+
+def _word_and_hash(key: np.ndarray, level: int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `size` words an entry's bits are in (by a multiplication instead of a remainder), and the hash whose low 24 bits name them."""
+    own = _mix(key + np.uint64((level * 0xD1B54A32D192ED03) & (1 << 64) - 1))
+    return ((own >> np.uint64(32)) * size) >> np.uint64(32), own
 
 
 def build_segments(key: np.ndarray, n: np.ndarray, bits_per_entry: int, segment_bits: int | None = None) -> tuple[np.ndarray, list[bytes]]:
-    """Segments that these keys belong to, and their bits; all keys are entered. A segment's size in bits is a multiple of 8 from 64 on, or segment_bits
-    if that is given: with too few bits counts come out too high, never too low."""
+    """Segments that these keys belong to, and their bits; all keys are entered. A segment's size in bits is a multiple of 64, or segment_bits
+    (one too) if that is given: with too few bits counts come out too high, never too low."""
     segments, own = np.unique((key >> SEGMENT_SHIFT).astype(np.int64), return_inverse=True)
     level = quantised(n)
     entries = np.bincount(own, weights=level, minlength=len(segments))
-    sizes = (np.maximum(64, np.ceil(entries * bits_per_entry / 8) * 8) if segment_bits is None else np.full(len(segments), segment_bits)).astype(np.int64)
-    ends = np.cumsum(sizes)
-    start, size = (ends - sizes)[own], sizes.astype(np.uint64)[own]
-    bits = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+    words = (np.maximum(1, np.ceil(entries * bits_per_entry / 64)) if segment_bits is None else np.full(len(segments), segment_bits // 64)).astype(np.int64)
+    ends = np.cumsum(words)
+    start, size = (ends - words).astype(np.uint64)[own], words.astype(np.uint64)[own]
+    bits = np.zeros(64 * int(ends[-1]) if len(ends) else 0, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
         at = np.flatnonzero(level >= j)
-        first, step = _place(key[at], j)
-        for i in range(HASHES):
-            bits[start[at] + _bit(first, step, i, size[at]).astype(np.int64)] = True
+        word, hashed = _word_and_hash(key[at], j, size[at])
+        base = (start[at] + word) << np.uint64(6)
+        for i in (0, 6, 12, 18):
+            bits[(base + (hashed >> np.uint64(i) & np.uint64(63))).astype(np.int64)] = True
     packed = np.packbits(bits, bitorder="little").tobytes()
-    return segments, [packed[(e - size) // 8 : e // 8] for e, size in zip(ends.tolist(), sizes.tolist())]
+    return segments, [packed[8 * (e - size) : 8 * e] for e, size in zip(ends.tolist(), words.tolist())]
 
 
 def _summed_buckets(batches, bits):
@@ -276,16 +284,17 @@ def _build(batches, bits, bits_per_entry, segment_bits):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), bucket, np.int32)), pa.array(segments.astype(np.int32)), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.array(found, pa.binary())], names=names)
 
 
-def _probed(bits: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Quantised counts (0: none) by repeated probes, of keys whose segments begin at these bits and have these sizes."""
+def _probed(words: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Quantised counts (0: none) by repeated probes, of keys whose segments begin at these words and have so many."""
     level, at, j = np.zeros(len(key), np.int64), np.flatnonzero(size), 0
+    key, start, size = key[at], start[at], size[at]
+    low = np.uint64(4095)
     while len(at) and j < len(EDGES):
         j += 1
-        first, step = _place(key[at], j)
-        for i in range(HASHES):
-            place = start[at] + _bit(first, step, i, size[at])
-            hit = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            at, first, step = at[hit], first[hit], step[hit]
+        word, hashed = _word_and_hash(key, j, size)
+        wanted = _TWO_BITS[hashed & low] | _TWO_BITS[hashed >> np.uint64(12) & low]
+        hit = words[start + word] & wanted == wanted
+        at, key, start, size = at[hit], key[hit], start[hit], size[hit]
         level[at] = j
     return level
 
@@ -297,14 +306,33 @@ class Filter:
         self.starts, self.sizes = np.zeros(SEGMENTS, np.uint64), np.zeros(SEGMENTS, np.uint64)
         at = 0
         for i, own in segments.items():
-            self.starts[i], self.sizes[i] = at, 8 * len(own)
-            at += 8 * len(own)
-        self.bits = np.frombuffer(b"".join(segments.values()), np.uint8)
+            self.starts[i], self.sizes[i] = at, len(own) // 8
+            at += len(own) // 8
+        self.words = np.frombuffer(b"".join(segments.values()), "<u8")
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         """Quantised counts (0: none) by repeated probes."""
         segment = (key >> SEGMENT_SHIFT).astype(np.int64)
-        return _probed(self.bits, key, self.starts[segment], self.sizes[segment])
+        return _probed(self.words, key, self.starts[segment], self.sizes[segment])
+
+
+#: What the file of broadcast bytes begins with (then four bytes of their number), if they are fewer than 2 ** 32.
+_PICKLED = b"\x80\x05B"
+
+
+@contextlib.contextmanager
+def _mapped(part):
+    """The words of a broadcast shard, which are behind one byte. On a worker its file is mapped, so that nothing is copied or kept."""
+    path = getattr(part, "_path", None)
+    if path and os.path.getsize(path) > 8:
+        with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as file:
+            n = int.from_bytes(file[3:7], "little") - 1
+            if file[:3] == _PICKLED and len(file) >= 8 + n:
+                words = np.frombuffer(file, "<u8", n // 8, 8)
+                yield words
+                del words
+                return
+    yield np.frombuffer(part.value, "<u8", offset=1)
 
 
 class ShardedFilter:
@@ -314,14 +342,14 @@ class ShardedFilter:
         """segments: pairs of a segment and its bits, in any order; only those of one shard are kept at a time."""
         self.shard = np.full(SEGMENTS, -1, np.int32)
         self.starts, self.sizes = np.zeros(SEGMENTS, np.uint64), np.zeros(SEGMENTS, np.uint64)
-        self.parts, own = [], bytearray()
+        self.parts, own = [], bytearray(1)
         for segment, bits in segments:
-            if own and len(own) + len(bits) > shard_bytes:
+            if len(own) > 1 and len(own) - 1 + len(bits) > shard_bytes:
                 self.parts.append(broadcast(bytes(own)))
-                own = bytearray()
-            self.shard[segment], self.starts[segment], self.sizes[segment] = len(self.parts), 8 * len(own), 8 * len(bits)
+                own = bytearray(1)
+            self.shard[segment], self.starts[segment], self.sizes[segment] = len(self.parts), len(own) // 8, len(bits) // 8
             own += bits
-        if own:
+        if len(own) > 1:
             self.parts.append(broadcast(bytes(own)))
 
     def __getstate__(self):
@@ -335,9 +363,9 @@ class ShardedFilter:
         for k, part in enumerate(parts):
             at = np.flatnonzero(shard == k)
             if len(at):
-                level[at] = _probed(np.frombuffer(part.value, np.uint8), key[at], self.starts[segment[at]], self.sizes[segment[at]])
-                if len(parts) > 1 and getattr(part, "_path", None):  # value keeps what it has read; it is read again from the file
-                    vars(part).pop("_value", None)
+                with _mapped(part) as words:
+                    level[at] = _probed(words, key[at], self.starts[segment[at]], self.sizes[segment[at]])
+                    del words
         return level
 
 
@@ -470,12 +498,13 @@ def _score_answered(batches, model, priors):
 
 def _scores_by_shuffle(rows: DataFrame, built: DataFrame, bits: int, model, priors: tuple[float, ...], kind: str) -> DataFrame:
     """The filter's segments stay; each block's keys are sent to them by bucket and the quantised counts sent back to the block."""
+    n = _partitions(rows.sparkSession, bits)
     sent = written(rows.mapInArrow(functools.partial(_blocks, bits=bits, order=len(priors) + 1), "block long, bucket int, kind int, blob binary"))
     segments = built.filter("segment >= 0").select(F.lit(-1).cast("long").alias("block"), "bucket", F.lit(0).alias("kind"), "segment", F.col("bits").alias("blob"))
     keys = sent.filter("kind = 1").select("block", "bucket", "kind", F.lit(-1).alias("segment"), "blob")
-    answers = segments.unionByName(keys).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(functools.partial(_answer, bits=bits), "block long, bucket int, blob binary")
+    answers = segments.unionByName(keys).repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(functools.partial(_answer, bits=bits), "block long, bucket int, blob binary")
     texts = sent.filter("kind = 0").select("block", "bucket", "blob")
-    together = texts.unionByName(answers).repartition("block").sortWithinPartitions("block", "bucket")
+    together = texts.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "bucket")
     return together.mapInArrow(functools.partial(_score_answered, model=model, priors=priors), _SCORED.format(kind=kind))
 
 
@@ -498,10 +527,15 @@ def _bucket_bits(texts: DataFrame, bucket_bytes: int) -> int:
     return max(8, int(size // bucket_bytes).bit_length())
 
 
+def _partitions(spark: SparkSession, bits: int) -> int:
+    """Tasks for a shuffle by bucket or block: as buckets grow in number, not in size, so do they."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << bits >> 2, 100_000))
+
+
 def _built(texts: DataFrame, bits: int, order: int, bits_per_entry: int, segment_bits: int | None) -> DataFrame:
     """Rows of words (segment -1: key, n) and of segments (segment, bits), with their bucket."""
     counted = texts.select("text").mapInArrow(functools.partial(_count, order=order, bits=bits), "bucket int, words binary, runs binary")
-    ordered = counted.repartition("bucket").sortWithinPartitions("bucket")
+    ordered = counted.repartition(_partitions(texts.sparkSession, bits), "bucket").sortWithinPartitions("bucket")
     return written(ordered.mapInArrow(functools.partial(_build, bits=bits, bits_per_entry=bits_per_entry, segment_bits=segment_bits), "bucket int, segment int, key long, n long, bits binary"))
 
 
