@@ -551,7 +551,7 @@ def _frequent_words(words: DataFrame, frequent: int) -> tuple[np.ndarray, np.nda
     return keys[place], top["n"].to_numpy()[place]
 
 
-def train(texts: DataFrame, bits_per_entry: int, segment_bits: int | None, frequent: int, shard_bytes: int = 1 << 26, order: int = ORDER, bucket_bytes: int = 1 << 24) -> tuple[ShardedFilter, DataFrame, np.ndarray, np.ndarray, int, int]:
+def train(texts: DataFrame, bits_per_entry: int, segment_bits: int | None, frequent: int, shard_bytes: int = 1 << 26, order: int = ORDER, bucket_bytes: int = 1 << 22) -> tuple[ShardedFilter, DataFrame, np.ndarray, np.ndarray, int, int]:
     """The filter, the table (key, n) of words, the most frequent words and their counts, N and V."""
     built = _built(texts, _bucket_bits(texts, bucket_bytes), order, bits_per_entry, segment_bits)
     words = built.filter("segment < 0").select("key", "n")
@@ -559,7 +559,7 @@ def train(texts: DataFrame, bits_per_entry: int, segment_bits: int | None, frequ
     return _broadcast_filter(built, shard_bytes), words, *_frequent_words(words, frequent), int(total), int(distinct)
 
 
-def lm_scores(documents: DataFrame, held_out: int = 10, priors: tuple[float, ...] = PRIORS, frequent: int = 1 << 19, bits_per_entry: int = 8, segment_bits: int | None = None, shard_bytes: int = 1 << 26, broadcast_bytes: int = 1 << 30, bucket_bytes: int = 1 << 24) -> DataFrame:
+def lm_scores(documents: DataFrame, held_out: int = 10, priors: tuple[float, ...] = PRIORS, frequent: int = 1 << 19, bits_per_entry: int = 8, segment_bits: int | None = None, shard_bytes: int = 1 << 26, broadcast_bytes: int = 1 << 30, bucket_bytes: int = 1 << 22) -> DataFrame:
     """One row per row of documents: doc_id, held_out (the id's crc32 modulo held_out is 0), n_tokens, n_known, train_tokens, base_score, score."""
     out = F.coalesce(id_remainder("doc_id", held_out) == 0, F.lit(False))
     texts, context = documents.filter(~out), documents.sparkSession.sparkContext

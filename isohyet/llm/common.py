@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,19 @@ def written(frame: DataFrame) -> DataFrame:
     return stored
 
 
+def written_parts(spark: SparkSession, parts: Iterable[tuple[DataFrame, object]]) -> DataFrame:
+    """One table of many frames, written one after the other; what is broadcast for a frame is released once it is written."""
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
+    for frame, held in parts:
+        frame.write.mode("append").parquet(path)
+        held.unpersist()
+    stored = spark.read.parquet(path)
+    _WRITTEN[stored] = path
+    return stored
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes the tables of written() frames that nothing lazy needs any more."""
     for frame in frames:
@@ -89,21 +103,24 @@ def word_count(text):
     return F.coalesce(F.size(F.filter(F.split(text, f"[{SPACE}]+"), lambda x: x != "")), F.lit(0)).cast("long")
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", salts: int = 64, share: int = 256, hint: str | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", salt=None, salts: int = 64, share: int = 256, least: int = 100_000, hint: str | None = None) -> DataFrame:
     """rows.join(table, keys); table has one row per key, and in `_n` how many rows have it (`total` in all). The result lacks `_n`.
 
-    A key of more than total / share rows would be one task's work: its rows are spread over `salts` tasks and its row of the table is there
-    for each. There are fewer than `share` such keys, so their list is broadcast. rows must be a stored table, as salts follow a row's place.
+    A key of more than total / share (and `least`) rows would be one task's work: its rows are spread over `salts` tasks and its row of the table is there
+    for each. There are fewer than `share` such keys, so their list is broadcast. salt: a whole number that rows of a key differ in; by default
+    a row's place, for which rows must be a stored table.
     """
     plain = table.drop("_n")
-    hot = table.filter(F.col("_n") > max(100_000, total // share)).select(*keys).limit(share)
-    if not total > 100_000 or not hot.limit(1).count():
+    crowded = table.filter(F.col("_n") > max(least, total // share)).select(*keys).limit(share)
+    if total <= least or not crowded.limit(1).count():
         return rows.join(plain.hint(hint) if hint else plain, keys, how)
-    hot = checkpoint(hot.withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.monotonically_increasing_id() % salts).otherwise(0).cast("int")
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
-    right = plain.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return left.join(right.hint(hint) if hint else right, [*keys, "_salt"], how).drop("_salt")
+    hot, by = free_name("_hot", rows, table), free_name("_salt", rows, table)
+    crowded = checkpoint(crowded.withColumn(hot, F.lit(True)))
+    spread = F.pmod(F.monotonically_increasing_id() if salt is None else salt, F.lit(salts))
+    left = rows.join(F.broadcast(crowded), keys, "left").withColumn(by, F.when(F.col(hot), spread).otherwise(0).cast("int")).drop(hot)
+    every = F.when(F.col(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = plain.join(F.broadcast(crowded), keys, "left").withColumn(by, F.explode(every)).drop(hot)
+    return left.join(right.hint(hint) if hint else right, [*keys, by], how).drop(by)
 
 
 def numbered(frame: DataFrame, keys: list[str], order: list[str], n_rows: int, name: str = "rank", part: str | None = None) -> DataFrame:

@@ -11,7 +11,8 @@ Learning is driver work on a bounded sample: at most `sample_rows` labelled docu
 their id. Statistics, thresholds' application and verdicts cover all documents.
 
 Null text has no words (n_words 0, base_failed). Rows with a null id are judged but not learned from. Without labels, or with one quality only, no
-rule is learned and kept = not base_failed. Repeated rows are judged each. An empty table gives an empty result. Other columns are ignored.
+rule is learned and kept = not base_failed. Of contradicting labels of an id the lowest counts; of conditions with equal gains the first by feature and threshold. Repeated rows are judged
+each. Very long texts are judged whole, in memory of some 60 bytes a word. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, release, written
 
 #: Statistics that rules may use: name -> expression over the base columns.
 FEATURES = {
@@ -44,9 +45,9 @@ def _bind(value: Column, body) -> Column:
 def _repeated(words: Column) -> Column:
     """Words in windows of three that occur twice or more, the first occurrence included.
 
-    Each window becomes one long, its hash above its place; after sorting, windows that are equal are neighbours. Their places,
-    sorted again, cover min(3, distance to the next) words each. A place takes as many bits as the text's length
-    needs, the hash all others (50 bits up to 16,000 words, so that a false match in such a text has odds below 2e-7).
+    Each window becomes one long, its hash above its place; after sorting, windows with equal hashes are neighbours. Places take as many bits as the text's length
+    needs, the hash all others. Equal hashes only propose (and a text without any, the usual case, is done): in the order of (hash, words) a window is
+    repeated if a neighbour has the same three words. The places of these, sorted again, cover min(3, distance to the next) words each.
     """
 
     def covered(bits: Column) -> Column:
@@ -54,20 +55,33 @@ def _repeated(words: Column) -> Column:
             F.sequence(F.lit(0), F.size(words) - 3),
             lambda i: F.call_function("shiftleft", F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), bits).bitwiseOR(i.cast("long")),
         )
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
 
-        def places(ordered: Column) -> Column:
+        def proposed(ordered: Column) -> Column:
             def twin(x: Column, i: Column) -> Column:
                 same = F.call_function("shiftrightunsigned", x, bits)
                 return (same == F.call_function("shiftrightunsigned", F.get(ordered, i - 1), bits)) | (same == F.call_function("shiftrightunsigned", F.get(ordered, i + 1), bits))
 
-            mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-            return F.sort_array(F.transform(F.filter(ordered, lambda x, i: F.coalesce(twin(x, i), F.lit(False))), lambda x: x.bitwiseAND(mask)))
+            return F.transform(F.filter(ordered, lambda x, i: F.coalesce(twin(x, i), F.lit(False))), lambda x: x.bitwiseAND(mask).cast("int"))
+
+        def places(found: Column) -> Column:
+            def with_words(x: Column) -> Column:
+                return F.struct(F.get(words, x).alias("a"), F.get(words, x + 1).alias("b"), F.get(words, x + 2).alias("c"), x.alias("at"))
+
+            def verified(ordered: Column) -> Column:
+                def same(x: Column, y: Column) -> Column:
+                    return (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+
+                real = F.filter(ordered, lambda x, i: F.coalesce(same(x, F.get(ordered, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(ordered, i + 1)), F.lit(False)))
+                return F.sort_array(F.transform(real, lambda x: x["at"]))
+
+            return _bind(F.sort_array(F.transform(found, with_words)), verified)
 
         def total(at: Column) -> Column:
-            own = F.transform(at, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, i + 1), x + 3) - x))
+            own = F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1), x + 3) - x))
             return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x)
 
-        return _bind(_bind(F.sort_array(windows), places), total)
+        return _bind(_bind(F.sort_array(windows), proposed), lambda found: F.when(F.size(found) == 0, F.lit(0).cast("long")).otherwise(_bind(places(found), total)))
 
     bits = F.ceil(F.log2(F.size(words).cast("double") + 1)).cast("int")
     return F.when(F.size(words) < 6, _few(words)).otherwise(_bind(bits, covered))
@@ -188,9 +202,11 @@ def quality_rules(documents: DataFrame, labels: DataFrame, sample_rows: int = 20
     judged = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality"))
     features = [F.expr(x).cast("double").alias(f) for f, x in FEATURES.items()]
     labelled = stats.filter(~base).join(judged, F.col("doc_id") == F.col("_id")).select("_id", "_quality", *features)
+    labelled = written(labelled)
     # About sample_rows rows by a hash of the id: no task or driver gets more than its share of them.
     share = min(1.0, 0.97 * sample_rows / max(1, labelled.count()))
     sample = labelled.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(sample_rows).collect()
+    release(labelled)
     sample.sort(key=lambda r: zlib.crc32(str(r["_id"]).encode()))
     rules = learn_rules([({f: r[f] for f in FEATURES}, r["_quality"] == 0) for r in sample], precision)
     verdict = stats.withColumn("base_failed", base).withColumn("rule", list_expression(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

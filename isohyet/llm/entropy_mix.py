@@ -16,7 +16,8 @@ Targets: sources by code point (null last) weigh 1, 2, 3, 1, ...; together they
 stops at `most` times the words of its source and the excess goes to the others by weight, until none is above.
 
 Null text has size 0; documents of size 0 are taken 0 times; a source without words has target 0. Repeated rows are separate
-documents. An empty table gives an empty result. A null id is kept.
+documents, numbered in cells that even a million equal rows are cut into (common.numbered). Very long texts are large sizes: only their number of words is kept. Of documents with equal sizes
+and equal hashes of their ids the smaller id comes first. An empty table gives an empty result. A null id is kept. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,22 +28,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, numbered, word_count, written
+from .common import checkpoint, free_name, numbered, spread_join, word_count, written
+
+
+def _ranked(sources: DataFrame) -> DataFrame:
+    """Adds place: the sources' number from 0 by code point, null last. Sorted in many tasks; each task's rows count on from those before it."""
+    at = written(sources.orderBy(F.col("source").isNull(), "source").withColumn("_at", F.monotonically_increasing_id()))
+    task = F.shiftright("_at", 33)
+    sizes = at.groupBy(task.alias("_task")).agg(F.max(F.col("_at").bitwiseAND((1 << 33) - 1)).alias("_last")).orderBy("_task").collect()  # one row per task
+    starts, total = [], 0
+    for r in sizes:
+        starts.append((r["_task"], total))
+        total += r["_last"] + 1
+    first = sources.sparkSession.createDataFrame(starts, "_task long, _first long")
+    return at.withColumn("_task", task).join(F.broadcast(first), "_task").withColumn("place", F.col("_first") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_task", "_first", "_at")
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0) -> DataFrame:
-    """sources: one row (source, source_size) per source. Adds weight and target."""
-    everything = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    weighed = sources.withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
-    # The level t that the targets min(cap, weight * t) need: those with the lowest cap / weight are full first.
-    upto = Window.orderBy(F.col("cap") / F.col("weight"), "source").rowsBetween(Window.unboundedPreceding, -1)
-    full = F.coalesce(F.sum("cap").over(upto), F.lit(0.0))
-    rest = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
-    level = (share * F.sum("source_size").over(everything) - full) / rest
-    levelled = weighed.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(everything))
-    return levelled.withColumn("target", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("level")))).drop("cap", "level")
+    """sources: one row (source, source_size) per source. Adds weight and target.
+
+    Targets are min(cap, weight * level); the level rises step by step, each step one aggregation that finds the sources which are full at it,
+    until no more are. No task sees all sources.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    weighed = checkpoint(_ranked(sources).withColumn("weight", weight).withColumn("cap", most * F.col("source_size")).drop("place"))
+    whole, level, before = weighed.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:
+        is_full = F.col("cap") / F.col("weight") < F.lit(level)
+        found = weighed.agg(F.count_if(is_full).alias("n"), F.coalesce(F.sum(F.when(is_full, F.col("cap"))), F.lit(0.0)).alias("full"), F.coalesce(F.sum(F.when(~is_full, F.col("weight"))), F.lit(0.0)).alias("rest")).first()
+        if found.n == before or not found.rest:
+            break
+        before, level = found.n, (share * whole - found.full) / found.rest
+    target = F.least("cap", F.col("weight") * F.lit(level)) if found.rest else F.col("cap")
+    return weighed.withColumn("target", target).drop("cap")
 
 
 def tilts(histogram: DataFrame, targets: DataFrame, most: float, tolerance: float = 1e-7, most_steps: int = 60) -> DataFrame:
@@ -74,6 +92,8 @@ def tilts(histogram: DataFrame, targets: DataFrame, most: float, tolerance: floa
         if (state.agg(F.max("error")).first()[0] or 0) <= tolerance:
             break
         state = state.drop("error")
+    else:
+        raise RuntimeError(f"the rates did not settle within {most_steps} steps")
     return state.select("source_key", "tilt", "mean")
 
 
@@ -92,7 +112,7 @@ def _round(most: int):
 
 def entropy_mix(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: int = 3) -> DataFrame:
     """One row per row of documents: doc_id, size, source_size, target, rate, copies (0 to most), taken = copies * size."""
-    sized = written(documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    sized = written(documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.spark_partition_id().alias("_part")))
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
     sized = sized.withColumn("source_key", key)
     histogram = checkpoint(sized.groupBy("source_key", "source", "size").agg(F.count("*").alias("n")))
@@ -105,18 +125,26 @@ def entropy_mix(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.
     rated = positive.join(tilt, "source_key").join(targets.select("source_key", "target"), "source_key").select("source_key", "size", "n", rate.alias("rate"))
     classes = rated.groupBy("source_key").applyInPandas(_round(most), "source_key string, size long, n long, rate double, copies long")
     dealt = histogram.select("source_key", "size", F.col("n").alias("n_all")).join(classes, ["source_key", "size"], "left").join(targets.select("source_key", "source_size", "target"), "source_key")
-    ranked = numbered(sized.withColumn("_mixed", F.xxhash64("doc_id")), ["source_key", "size"], ["_mixed", "doc_id"], n_rows)
+    ranked = numbered(sized.withColumn("_mixed", F.xxhash64("doc_id")), ["source_key", "size"], ["_mixed", "doc_id"], n_rows, part="_part")
     copies = F.coalesce(F.floor(F.col("copies") / F.col("n")) + F.when(F.col("rank") < F.col("copies") % F.col("n"), 1).otherwise(0), F.lit(0)).cast("long")
-    return ranked.join(dealt, ["source_key", "size"]).select("doc_id", "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    joined = spread_join(ranked, dealt.withColumnRenamed("n_all", "_n"), ["source_key", "size"], n_rows, salt=F.col("rank"))
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it. Rows that share an id share its copies evenly."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    plan = checkpoint(entropy_mix(documents, **options).groupBy(key.alias("_mix_id")).agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows")))
-    total = plan.agg(F.max("_mix_rows"), F.sum("_mix_rows")).first()
-    documents_, rank = documents.withColumn("_mix_id", key), F.lit(0)
-    if (total[0] or 0) > 1:
-        documents_, rank = numbered(documents_, ["_mix_id"], ["source", "text"], total[1], "_mix_rank"), F.col("_mix_rank")
-    times = (F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + F.when(rank < F.col("_mix_copies") % F.col("_mix_rows"), 1).otherwise(0)).cast("int")
-    return documents_.join(plan.filter("_mix_copies > 0"), "_mix_id").withColumn("_mix_again", F.explode(F.array_repeat(F.lit(1), times))).select(*documents.columns)
+    """The documents themselves, each as often as the mix takes it. Rows that share an id (null is one too) share its copies as evenly as possible, by the
+    hashes of their texts. Null and empty texts are taken 0 times; an empty table gives an empty one. Extra columns are kept, whatever their names."""
+    id_, copies, rows, place, rank = (free_name(x, documents) for x in ("mix_id", "mix_copies", "mix_rows", "mix_place", "mix_rank"))
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    plan = checkpoint(entropy_mix(documents, **options).groupBy(key.alias(id_)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)))
+    named, number = documents.withColumn(id_, key), F.lit(0)
+    total = plan.filter(F.col(rows) > 1).agg(F.sum(rows)).first()[0] or 0
+    if total:  # only rows that share an id are numbered, and without their texts
+        stored = written(named.withColumn(place, F.monotonically_increasing_id()))
+        shared = stored.select(id_, place, F.xxhash64("text").alias(rank)).join(plan.filter(F.col(rows) > 1).select(id_), id_, "left_semi")
+        numbers = numbered(shared, [id_], [rank, place], total, place + "_").select(place, F.col(place + "_").alias(rank))
+        named, number = stored.join(numbers, place, "left").drop(place), F.coalesce(F.col(rank), F.lit(0))
+    times = (F.floor(F.col(copies) / F.col(rows)) + F.when(number < F.col(copies) % F.col(rows), 1).otherwise(0)).cast("int")
+    n_rows = plan.agg(F.sum(rows)).first()[0] or 0
+    taken = spread_join(named, plan.filter(F.col(copies) > 0).withColumn("_n", F.col(rows)), [id_], n_rows)
+    return taken.withColumn(place, F.explode(F.array_repeat(F.lit(1), times))).select(*documents.columns)

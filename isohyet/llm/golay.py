@@ -11,19 +11,23 @@ C (18), with a, b and c differing bits, a + b + c <= 3. Every such pair agrees i
 * c > 0, a = 0, so b <= 2: A exactly, a key of B;     * c > 0, b = 0, so a <= 2: B exactly, a key of A;
 * a = b = c = 1: a key of A, and exactly one half of B and one half of C (four choices).
 
-That is about 38 keys of at least 30 bits for each different fingerprint (documents with equal fingerprints are one).
+That is about 38 keys of at least 30 bits for each different fingerprint (documents with equal fingerprints are one). Keys that more than `crowd`
+fingerprints have are cut further: of six blocks of the 64 bits at least three agree, so each of the 20 choices of three blocks makes a finer key, with
+32 more bits.
 
 Links. Fingerprints that share a key are compared exactly. In one key's group the links form a graph of which only a spanning forest
 is returned: a breadth-first search that compares one fingerprint with those not reached yet, all at once. A group of k
 near copies so gives k - 1 rows, not k * k / 2, and memory is 16 bytes a fingerprint. No link is lost, as classes are all that is asked.
 
 Null text has no words: fingerprint zero, linked like any other. Repeated rows and ties give equal fingerprints, so one
-class. A null id is kept with its fingerprint and class, and isn't the smallest id. An empty table gives an empty result.
+class, whose rows are spread over many tasks where a class or a fingerprint has very many. A very long text is hashed by itself, 16 bytes a word. A null id is kept with its
+fingerprint and class, and isn't the smallest id. An empty table gives an empty result. Other columns are ignored, whatever their names; one_of_each() keeps them.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, classes, written
+from .common import checkpoint, classes, free_name, spread_join, written
 
 #: The Golay code's generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -126,6 +130,30 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[i : i + 4096][row])], names=["key", "fp"])
 
 
+#: The bits of six blocks (first, number), and the choices of three of them.
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+CHOICES = tuple(itertools.combinations(BLOCKS, 3))
+
+
+def finer_keys(key: np.ndarray, fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of rows (key, fingerprint): 20 each, hashes of the key, the choice and the chosen bits."""
+    out = []
+    for i, choice in enumerate(CHOICES):
+        mask = np.uint64(sum(((1 << n) - 1) << s for s, n in choice))
+        x = (key ^ (fingerprints & mask) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(i)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(x ^ (x >> np.uint64(31)))
+    return np.tile(np.arange(len(key)), len(CHOICES)), np.concatenate(out)
+
+
+def _finer(batches):
+    for batch in batches:
+        key, fp = (batch.column(i).to_numpy() for i in (0, 1))
+        for i in range(0, len(fp), 4096):
+            row, own = finer_keys(key[i : i + 4096].view(np.uint64), fp[i : i + 4096].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(fp[i : i + 4096][row])], names=["key", "fp"])
+
+
 def forest(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the graph that links different fingerprints at `most` or fewer differing bits."""
     edges, left = [], fp
@@ -170,39 +198,52 @@ def _links(batches, most):
         yield found(rest_key, rest_fp.view(np.uint64))
 
 
-def near_links(distinct: DataFrame, most: int = 3) -> DataFrame:
+def near_links(distinct: DataFrame, most: int = 3, crowd: int = 1 << 14) -> DataFrame:
     """distinct: different fingerprints, column fp. Rows (x, y): a set of links that connects what all links connect."""
     if most > 3:
         raise ValueError("the keys find fingerprints at 3 or fewer differing bits")
     keys = distinct.select("fp").mapInArrow(_keys, "key long, fp long")
+    crowded = checkpoint(keys.groupBy("key").count().filter(F.col("count") > crowd).select("key"))
+    if n := crowded.count():
+        crowded = F.broadcast(crowded) if n <= 1 << 20 else crowded
+        finer = keys.join(crowded, "key", "left_semi").mapInArrow(_finer, "key long, fp long")
+        keys = keys.join(crowded, "key", "left_anti").unionByName(finer)
     grouped = keys.repartition("key").sortWithinPartitions("key")
     return grouped.mapInArrow(functools.partial(_links, most=most), "x long, y long").distinct()
 
 
-def fingerprint_classes(distinct: DataFrame, most: int = 3) -> DataFrame:
+def fingerprint_classes(distinct: DataFrame, most: int = 3, crowd: int = 1 << 14) -> DataFrame:
     """distinct: different fingerprints, column fp. Adds root, the same for all of a class."""
-    root = classes(near_links(distinct, most).select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "fp")
+    root = classes(near_links(distinct, most, crowd).select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "fp")
     return distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def simhash_classes(documents: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
+def simhash_classes(documents: DataFrame, words: int = 3, most: int = 3, crowd: int = 1 << 14) -> DataFrame:
     """One row per row of documents: doc_id, fingerprint (16 hex digits), component_id (the smallest id of its class)."""
     rows = written(fingerprints(documents, words))
-    first = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    named = checkpoint(fingerprint_classes(first, most))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = named.join(lowest, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    first = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
+    named = checkpoint(fingerprint_classes(first, most, crowd))
+    lowest = checkpoint(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_n"), F.sum("rows").alias("rows")))
+    total = lowest.agg(F.sum("_n"), F.sum("rows")).first()
+    of = spread_join(named, lowest.drop("rows"), ["root"], total[0] or 0).select("fp", "component_id", F.col("rows").alias("_n"))
+    return spread_join(rows, of, ["fp"], total[1] or 0).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(documents: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
-    """The documents without near copies: of each class the row with the smallest id stays (null last; of repeated
-    rows one)."""
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("content"))
-    rows = fingerprints(documents.withColumn("_order", order), words, ("_order",))
-    first = checkpoint(rows.groupBy("fp").agg(F.min("_order").alias("first"), F.count("*").alias("n")))
-    kept = checkpoint(fingerprint_classes(first, most).groupBy("root").agg(F.min("first").alias("kept")).select(F.col("kept.doc_id").alias("_id"), F.col("kept.content").alias("_content")))
-    content = F.xxhash64(documents["text"])
-    left = documents.join(kept, documents["doc_id"].eqNullSafe(kept["_id"]) & (content == kept["_content"]), "left_semi")
-    repeated = documents.select("doc_id", F.xxhash64("text").alias("content")).groupBy("doc_id", "content").count().filter("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
+    """The documents without near copies: of each class the row with the smallest id stays (null last, then by the text's hash; of repeated
+    rows one). Null and empty texts are one class. An empty table gives an empty one. Extra columns are kept, whatever their names."""
+    id_, content, order = (free_name(x, documents) for x in ("gs_id", "gs_content", "gs_order"))
+    hashed = F.xxhash64("text")
+    rows = fingerprints(documents.withColumn(order, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", hashed.alias("content"))), words, (order,))
+    first = checkpoint(rows.groupBy("fp").agg(F.min(order).alias("first")))
+    kept = checkpoint(fingerprint_classes(first, most).groupBy("root").agg(F.min("first").alias("kept")).select(F.col("kept.doc_id").alias(id_), F.col("kept.content").alias(content)))
+
+    def like(other: DataFrame, how: str, own: DataFrame = documents) -> DataFrame:
+        return own.join(other, own["doc_id"].eqNullSafe(other[id_]) & (F.xxhash64(own["text"]) == other[content]), how)
+
+    counts = documents.select(F.col("doc_id").alias(id_), hashed.alias(content)).groupBy(id_, content).count()
+    repeated = checkpoint(counts.filter("count > 1").select(id_, content))
+    if not repeated.limit(1).count():
+        return like(kept, "left_semi")
+    once, again = like(repeated, "left_anti"), like(repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return like(kept, "left_semi", once).unionByName(like(kept, "left_semi", again))

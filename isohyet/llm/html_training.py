@@ -65,7 +65,7 @@ class Maker:
         if self.odds(0.15):
             parts = out.split(" ")
             i = self.rng.integers(len(parts))
-            parts[i] = f"<{(t := self.one(['b', 'i', 'em', 'strong', 'span']))}>{parts[i]}</{t}>"
+            parts[i] = f"<{(t := self.one(['b', 'i', 'em', 'strong', 'span', 'math', 'object', 'svg']))}>{parts[i]}</{t}>"
             out = " ".join(parts)
         return out
 
@@ -110,8 +110,13 @@ class Maker:
         if self.odds(0.85):
             head = f"<h1>{self.put(title, True)}</h1>"
             out += f"<header>{head}</header>" if self.odds(0.12) else head
-        for _ in range(int(r.integers(0, 4)) if self.odds(0.35) else int(r.integers(1, 16))):
+        again = self.sentence(1, 3, self.style) if self.odds(0.04) else None  # an article that repeats one short line
+        for _ in range(int(r.integers(10, 60)) if again else int(r.integers(0, 4)) if self.odds(0.35) else int(r.integers(1, 16))):
             how, text = r.random(), " ".join(self.sentence(1, 14, self.style) for _ in range(int(r.integers(1, 8)) if self.odds(0.8) else 1))
+            if again or self.odds(0.08):
+                text = again or self.sentence(1, 2, self.style)
+            if again:
+                how *= 0.68
             if how < 0.68:
                 out += f"<p>{self.put(text, True)}" + self.one(["</p>", "</p>", "</p>", ""])
             elif how < 0.76:
@@ -153,6 +158,9 @@ class Maker:
         below = "".join(self.boiler(k) for k in ("comments", "sidebar", "ad", "form", "menu", "notice") if self.odds(0.3))
         if self.odds(0.03):  # nothing but an article
             above, below = "", ""
+        if self.odds(0.1):  # said instead of something else
+            tag = self.one(["noscript", "iframe", "object", "video", "canvas"])
+            above += f"<{tag}>{self.wrap('notice', ['div', 'p'], self.put(self.sentence(2, 14), False))}</{tag}>"
         foot = self.boiler("footer") if self.odds(0.85) else ""
         return head + above + body + below + foot + self.one(["</body></html>", "</body></html>", ""])
 
@@ -207,7 +215,7 @@ def _gradients(x, u, kept, dout):
     return np.einsum("tpi,tpg->ig", x, dz, optimize=True), du, dz.sum(axis=(0, 1))
 
 
-def train(hidden: int = 32, pages: int = 8000, steps: int = 2000, batch: int = 48, rate: float = 0.004, seed: int = 5, report=print) -> dict[str, np.ndarray]:
+def train(hidden: int = 32, pages: int = 9000, steps: int = 2500, batch: int = 48, rate: float = 0.004, seed: int = 5, report=print) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     data = [sample(rng) for _ in range(pages)]
     held, data = data[: pages // 10], data[pages // 10 :]

@@ -15,11 +15,12 @@ the lines alone: they are hashed, proposed and compared as the chunks are. All o
 ignored in comparing, and go with the line before them.
 
 Texts are shuffled twice, by id: once for the comparison and once for the removal. These joins are sort-merge joins at every size,
-as neither side is bounded.
+as neither side is bounded. The occurrences of a chunk or run that very many documents have are spread over many tasks (common.spread_join).
 
 Null text stays null, empty text empty. A document that loses all its chunks keeps its row with an empty text. Rows that
 share an id are told apart by their texts; rows equal in both are one document, so all of them keep a first occurrence. An empty
-table gives an empty result. Other columns are kept; names beginning with `_lc_` are ours.
+table gives an empty result. A very long text is cut by itself, in memory of some 200 bytes a line. Other columns are kept, but for `n_lines_removed` and `n_chunks_removed`, which are the
+operator's (deduplicated_lines() keeps those too); a column whose name begins with `_lc_` is an error.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, written
+from .common import checkpoint, free_name, release, spread_join, written
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -179,8 +180,8 @@ def repeated_chunks(documents: DataFrame, least_lines: int, options: dict) -> Da
     schema = f"doc_id {kind}, content long, place int, high long, low long"
     found = written(rows.mapInArrow(functools.partial(_rows, options=options, least_lines=least_lines, only=False), schema))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content", "place"))
-    many = written(found.groupBy("high", "low").agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1").drop("n"))
-    proposed = written(found.join(many.hint("merge"), ["high", "low"]))
+    many = written(found.groupBy("high", "low").agg(F.count("*").alias("_n"), first.alias("first")).filter("_n > 1"))
+    proposed = written(spread_join(found, many, ["high", "low"], found.count(), hint="merge"))
     # The byte comparison: every proposed chunk's text, from the documents that have one.
     of = proposed.groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.collect_set("place").alias("places"))
     texts = rows.join(of.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))).select("doc_id", "content", "text", "places")
@@ -188,23 +189,36 @@ def repeated_chunks(documents: DataFrame, least_lines: int, options: dict) -> Da
     compared = written(texts.groupBy("high", "low").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).filter("a <> b").select("high", "low"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("content") == F.col("first.content")) & ((F.col("place") == F.col("first.place")) | (F.col("place") < 0))
     extra = proposed.filter(~is_first)
-    if compared.limit(1).count():  # different texts with one hash: their groups are told apart by the texts
+    collided = compared.limit(1).count()
+    if collided:  # different texts with one hash: their groups are told apart by the texts
         own = texts.join(compared, ["high", "low"], "left_semi")
         own = own.withColumn("run", F.col("place") < 0)
         firsts = own.groupBy("chunk", "run").agg(first.alias("first"))
         real = own.join(firsts, ["chunk", "run"]).filter(~is_first)
         extra = extra.join(compared, ["high", "low"], "left_anti").select("doc_id", "content", "place").unionByName(real.select("doc_id", "content", "place"))
-    return checkpoint(extra.groupBy("doc_id", "content").agg(F.collect_set("place").alias("places")))
+    places = checkpoint(extra.groupBy("doc_id", "content").agg(F.collect_set("place").alias("places")))
+    release(found, many, proposed, compared)
+    return places
 
 
 def line_chunk_dedup(documents: DataFrame, least_lines: int = 2, window: int = 2, divisor: int = 2, shortest: int = 2, longest: int = 64, run_words: int | None = None) -> DataFrame:
     """documents with shortened texts, and n_lines_removed, n_chunks_removed (whole chunks). n_chars, if there, is counted anew."""
+    if taken := [c for c in documents.columns if c.lower().startswith("_lc_")]:
+        raise ValueError(f"these names are the operator's own: {taken}")
     options = {"window": window, "divisor": divisor, "shortest": shortest, "longest": longest, "run_words": run_words}
     drop = repeated_chunks(documents, least_lines, options).select(F.col("doc_id").alias("_lc_id"), F.col("content").alias("_lc_content"), F.col("places").alias("_lc_places"))
-    kept = [c for c in documents.columns if c not in ("text", "n_lines_removed", "n_chunks_removed")]
+    kept = [c for c in documents.columns if c != "text"]
     joined = documents.join(drop.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_lc_id")) & (F.xxhash64("text") == F.col("_lc_content")), "left").select("text", "_lc_places", *kept)
     fields = [documents.schema[c] for c in kept] + [T.StructField("_lc_text", T.StringType()), T.StructField("_lc_lines", T.LongType()), T.StructField("_lc_chunks", T.LongType())]
     cut = joined.mapInArrow(functools.partial(_cut, options=options), T.StructType(fields)).withColumnRenamed("_lc_text", "text")
     if "n_chars" in kept:
         cut = cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(documents.schema["n_chars"].dataType))
-    return cut.select(*documents.columns, F.col("_lc_lines").alias("n_lines_removed"), F.col("_lc_chunks").alias("n_chunks_removed"))
+    columns = [c for c in documents.columns if c.lower() not in ("n_lines_removed", "n_chunks_removed")]
+    return cut.select(*columns, F.col("_lc_lines").alias("n_lines_removed"), F.col("_lc_chunks").alias("n_chunks_removed"))
+
+
+def deduplicated_lines(documents: DataFrame, **options) -> DataFrame:
+    """As line_chunk_dedup(), with exactly the columns of documents, whatever their names."""
+    ours = {c: free_name(f"own_{c}", documents) for c in documents.columns if c.lower() in ("n_lines_removed", "n_chunks_removed")}
+    out = line_chunk_dedup(documents.withColumnsRenamed(ours), **options)
+    return out.drop("n_lines_removed", "n_chunks_removed").withColumnsRenamed({v: k for k, v in ours.items()}).select(*documents.columns)

@@ -1,23 +1,27 @@
 """Exact top-k by inner product of integer vectors, by MaxScore.
 
-Terms are signed dimensions: a query's component q_d > 0 matches vectors with v_d > 0 (its posting list), q_d < 0 those with v_d < 0.
-A matching vector gains at most bound_d = |q_d| * (largest |v_d| of that sign in the block), any other gains at most 0. With the
-query's terms in ascending order of bounds, those whose bounds sum to less than the threshold (the k-th best score so far)
-are non-essential: a vector in no other list can't enter. Essential terms are traversed for the whole block; vectors whose partial
+Vectors are read in blocks by all tasks, and a block is indexed by posting lists of signed dimensions: list (d, +) has the vectors with v_d > 0 and their
+components, (d, -) those with v_d < 0. A query's component q_d is a term: vectors in the list of its sign gain by it, at most
+bound_d = |q_d| * (largest |v_d| of that list), vectors in the other list lose, all others get nothing. With the terms in ascending order of bounds, those whose bounds sum to
+less than the threshold (the k-th best score so far) are non-essential: they can't bring a vector in by themselves. Essential terms'
+lists are traversed, which gives each vector's exact score in these terms; vectors whose partial
 score plus the rest's bounds reaches the threshold are then probed in the non-essential terms, strongest first, and dropped as soon as they fall short. Equal
 scores go to smaller ids, so only scores strictly below the threshold are dropped.
 
-Vectors are read in blocks by all tasks; each task keeps k results a query from block to block, and a window merges the tasks'
-results. Queries are broadcast in chunks of about `chunk` (chosen by a hash of the id), each a scan of its own, so that memory is bounded whatever their number.
+Each task keeps k results a query from block to block, and a window merges the tasks' results. Queries are broadcast in chunks of about `chunk` (chosen by a hash of the
+id); with more than one chunk each is a scan of its own whose results are written before its broadcast is released and the next begins, so that neither memory nor the plan grows with their number.
 
-Components: floor(256 * x). Vectors that are null or hold a null or non-finite component take no part; different lengths are
+Components: floor(256 * x). Scores are computed in 64-bit integers where the largest component and the longest vector show that no score leaves them,
+else in integers of any size; the order is then exact too, but a score outside the range of a long is given as the range's end. Vectors that are null or
+hold a null or non-finite component take no part; different lengths are
 padded with zeros. A query's own id is no candidate. Of rows that share an id every one is a candidate, and the smallest vector is the query. An
-empty table gives an empty result. Other columns are ignored.
+empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +29,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import written_parts
 
-def _matrix(column: pa.Array, scale: float, width: int | None = None) -> np.ndarray:
-    """Rows of components; lists of unequal length are padded with zeros or cut to width."""
+LONG = 1 << 63
+
+
+def _whole(x: float, scale: float) -> int:
+    """floor(scale * x), also where the product isn't finite as a double."""
+    return math.floor(scale * x) if math.isfinite(scale * x) else math.floor(x) * int(scale)
+
+
+def _matrix(column: pa.Array, scale: float, width: int | None = None, big: bool = False) -> np.ndarray:
+    """Rows of components; lists of unequal length are padded with zeros or cut to width. big: as Python's integers."""
     sizes = np.diff(column.offsets.to_numpy())
-    flat = np.floor(scale * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if big:
+        flat, real = np.empty(len(flat), object), flat
+        flat[:] = [_whole(x, scale) for x in real.tolist()]
+    else:
+        flat = np.floor(scale * flat).astype(np.int64)
     width = int(sizes.max(initial=0)) if width is None else width
     if len(sizes) and (sizes == width).all():
-        return flat.reshape(-1, width)
-    out = np.zeros((len(sizes), width))
+        return flat.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width), flat.dtype)
     row, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out[row[place < width], place[place < width]] = flat[place < width]
     return out
@@ -42,57 +60,83 @@ def _matrix(column: pa.Array, scale: float, width: int | None = None) -> np.ndar
 class _Best:
     """The k best (score, id) of one query."""
 
-    def __init__(self, k: int):
-        self.k, self.scores, self.ids = k, np.zeros(0), np.zeros(0, np.int64)
+    def __init__(self, k: int, kind):
+        self.k, self.scores, self.ids = k, np.zeros(0, kind), np.zeros(0, np.int64)
 
     @property
-    def threshold(self) -> float:
-        return self.scores[-1] if len(self.scores) == self.k else -np.inf
+    def threshold(self):
+        """None as long as there are fewer than k."""
+        return self.scores[-1] if len(self.scores) == self.k else None
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        if (least := self.threshold) is not None:
+            some = scores >= least
+            scores, ids = scores[some], ids[some]
         scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
-        order = np.lexsort((ids, -scores))[: self.k]
+        order = np.lexsort((ids, -scores))[: self.k] if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[: self.k], dtype=np.int64)
         self.scores, self.ids = scores[order], ids[order]
 
 
-def search_block(best: _Best, query: np.ndarray, own: int, by_term: np.ndarray, ids: np.ndarray, highest: np.ndarray, lowest: np.ndarray) -> None:
-    """Adds a block's vectors, by_term (dimension, vector), to the best of one query."""
-    bounds = np.where(query > 0, query * highest, query * lowest)
+class Postings:
+    """A block's vectors by signed dimension: lists[d] has the places and components of v_d > 0, then those of v_d < 0."""
+
+    def __init__(self, values: np.ndarray, ids: np.ndarray):
+        self.ids, self.by_term = ids, np.ascontiguousarray(values.T)
+        self.lists = []
+        for own in self.by_term:
+            above, below = np.flatnonzero(own > 0), np.flatnonzero(own < 0)
+            self.lists.append(((above, own[above]), (below, own[below])))
+        ends = [(a[1].max(initial=0), b[1].min(initial=0)) for a, b in self.lists]
+        self.highest, self.lowest = (np.array([x[i] for x in ends], self.by_term.dtype) for i in (0, 1))
+
+
+def search_block(best: _Best, query: np.ndarray, own: int, block: Postings) -> None:
+    """Adds a block's vectors to the best of one query."""
+    bounds = np.where(query > 0, query * block.highest, query * block.lowest)
     order = np.argsort(bounds, kind="stable")
-    sums = np.cumsum(bounds[order])
-    n = int(np.searchsorted(sums, best.threshold, "left"))  # so many weakest terms can't reach the threshold by themselves
-    if n == len(order):
+    sums, least = np.cumsum(bounds[order]), best.threshold
+    # So many weakest terms can't reach the threshold by themselves.
+    n = 0 if least is None else int(np.searchsorted(sums, least, "left"))
+    if n == len(order) and n:
         return
-    essential, probed = order[n:], order[:n][::-1]
-    score, at = query[essential] @ by_term[essential], np.flatnonzero(ids != own)
-    score = score[at]
-    rest = sums[n - 1] if n else 0.0
-    for i in range(0, len(probed) + 1, 8):
-        competitive = score + rest >= best.threshold
-        score, at = score[competitive], at[competitive]
-        if i < len(probed) and len(at):
-            terms = probed[i : i + 8]
-            score = score + query[terms] @ by_term[np.ix_(terms, at)]
-            rest = max(0.0, rest - bounds[terms].sum())
-    competitive = score >= best.threshold
-    best.add(score[competitive], ids[at[competitive]])
-
-
-def _search(batches, queries, scale, k, rows):
+    score = np.zeros(len(block.ids), query.dtype)
+    for term in order[n:]:
+        if q := query[term]:
+            for at, values in block.lists[term]:
+                score[at] += q * values
+    at = np.flatnonzero(block.ids != own)
+    score, probed = score[at], order[:n][::-1]
+    rest = sums[n - 1] if n else 0
+    for i in range(0, len(probed), 8):
+        competitive = score + rest >= least
+        score, at, terms = score[competitive], at[competitive], probed[i : i + 8]
+        if not len(at):
+            return
+        score = score + query[terms] @ block.by_term[np.ix_(terms, at)]
+        rest = rest - bounds[terms].sum()
+    best.add(score, block.ids[at])
+
+
+def _key(score: int, bits: int) -> str:
+    """Text of fixed length that sorts as scores below 2 ** bits do."""
+    return f"{score + (1 << bits):0{bits // 4 + 2}x}"
+
+
+def _search(batches, queries, scale, k, rows, bits):
     query_ids, vectors = queries.value
-    width, found = vectors.shape[1], [_Best(k) for _ in query_ids]
+    width, big = vectors.shape[1], bits >= 62
+    found = [_Best(k, vectors.dtype) for _ in query_ids]
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
-            block = batch.slice(i, rows)
-            values = _matrix(block.column(1), scale, width)
-            if np.abs(values).max(initial=0) * np.abs(vectors).max(initial=0) * max(width, 1) >= 2**53:
-                raise OverflowError("scores beyond 2 ** 53 are not exact")
-            ids, by_term = block.column(0).to_numpy(), np.ascontiguousarray(values.T)
-            highest, lowest = np.maximum(by_term.max(axis=1, initial=0), 0), np.minimum(by_term.min(axis=1, initial=0), 0)
+            part = batch.slice(i, rows)
+            block = Postings(_matrix(part.column(1), scale, width, big), part.column(0).to_numpy())
             for own, query, best in zip(query_ids, vectors, found):
-                search_block(best, query, own, by_term, ids, highest, lowest)
+                search_block(best, query, own, block)
     n = [len(x.ids) for x in found]
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate([x.ids for x in found]).astype(np.int64)), pa.array(np.concatenate([x.scores for x in found]).astype(np.int64))], names=["query_id", "vec_id", "score"])
+    scores = [int(x) for own in found for x in own.scores]
+    keys = pa.array([_key(x, bits) for x in scores] if big else [None] * len(scores), pa.string())
+    columns = [pa.array(np.repeat(query_ids, n), pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *(x.ids for x in found)])), pa.array([min(max(x, -LONG), LONG - 1) for x in scores], pa.int64()), keys]
+    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score", "key"])
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -104,17 +148,22 @@ def usable(embeddings: DataFrame) -> DataFrame:
 def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, chunk: int = 4096, rows: int = 4096) -> DataFrame:
     """The k best of each query (vec_id divisible by `every`): query_id, rank (from 1), vec_id, score."""
     spark, vectors = embeddings.sparkSession, usable(embeddings)
-    queries = vectors.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    chunks = max(1, -(-queries.count() // chunk))
-    found = None
-    for i in range(chunks):
+    is_query = F.col("vec_id") % every == 0
+    largest = F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x))))
+    facts = vectors.agg(F.count_if(is_query).alias("n"), largest.alias("most"), F.max(F.size("embedding")).alias("width")).first()
+    # No score has more bits than this.
+    bits = (_whole(facts.most or 0.0, scale) + 1).bit_length() * 2 + (facts.width or 0).bit_length()
+    queries = vectors.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    schema, chunks = "query_id long, vec_id long, score long, key string", -(-facts.n // chunk)
+
+    def results(i: int) -> tuple[DataFrame, object]:
         part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == i).orderBy("vec_id").toArrow()
-        held = spark.sparkContext.broadcast((part["vec_id"].to_numpy(), _matrix(part["embedding"].combine_chunks(), scale)))
-        if not len(held.value[0]):
-            continue
-        own = vectors.mapInArrow(functools.partial(_search, queries=held, scale=scale, k=k, rows=rows), "query_id long, vec_id long, score long")
-        found = own if found is None else found.unionByName(own)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        held = spark.sparkContext.broadcast((part["vec_id"].to_numpy(), _matrix(part["embedding"].combine_chunks(), scale, None, bits >= 62)))
+        return vectors.mapInArrow(functools.partial(_search, queries=held, scale=scale, k=k, rows=rows, bits=bits), schema), held
+
+    if chunks <= 1:
+        found = results(0)[0] if chunks else spark.createDataFrame([], schema)
+    else:
+        found = written_parts(spark, (results(i) for i in range(chunks)))
+    best = Window.partitionBy("query_id").orderBy(F.desc("key"), F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,11 +8,12 @@ a subset-sum dynamic program over the remaining lengths, a bitset of reachable s
 fits beside it; it is removed as often as the counts allow. Each removal leaves some length with fewer pieces than the
 pattern has, so there are at most a few thousand patterns.
 
-Pieces are then numbered within their length (in cells, see common.numbered, as a third of all pieces may be full ones),
+Pieces are then numbered within their length (in cells, see common.numbered, as a third of all pieces may be full ones, and many of those equal),
 and a number is looked up in the plan.
 
-Null text counts as empty: one piece with only the end id. Repeated rows are packed as often as they occur. Null
-ids are kept. An empty table gives an empty result. Other columns are ignored.
+Null text counts as empty: one piece with only the end id. Repeated rows are packed as often as they occur; which of several equal lengths goes into which sequence is a matter of
+their hashes. Very long texts are cut into full pieces, one text at a time (about 40 bytes a word in memory). Null
+ids are kept. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def _bytes_of(ids: list[int]) -> bytes:
 def _cut(batches, path, tag, capacity, end_id, most):
     if tag not in _CACHES:
         _CACHES.clear()
-        _CACHES[tag] = PieceCache(path, _bytes_of, b"", {}, most)
+        _CACHES[tag] = PieceCache(path, _bytes_of, b"", {}, most, size_of=lambda piece, ids: 150 + 4 * len(piece) + len(ids))
     cache, end, step = _CACHES[tag], _bytes_of([end_id]), 4 * capacity
     for batch in batches:
         rows, pieces, starts, lengths, sums = (array("q") for _ in range(5))
@@ -138,10 +139,10 @@ def _place(batches, slots):
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to pieces; sequences are at most capacity long and gapless from 0."""
-    pieces = written(pieces)
+    pieces = written(pieces.withColumn("_part", F.spark_partition_id()))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = pieces.sparkSession.sparkContext.broadcast(_slots(plan_patterns(counts, capacity)))
-    ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], sum(counts.values()))
+    ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], sum(counts.values()), part="_part")
     kind = pieces.schema["doc_id"].dataType.simpleString()
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return ranked.select(*columns, "rank").mapInArrow(functools.partial(_place, slots=slots), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

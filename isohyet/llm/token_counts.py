@@ -1,19 +1,22 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier one is a table of frequent pre-tokens (pieces between white space, in lower case) and their numbers of tokens,
-broadcast to the workers; tier two is each worker's cache, which encodes what the table misses. No pre-token of the
-corpus is shuffled. The table only saves time: whatever it holds, results are the library's.
+broadcast to the workers and kept beside their caches; tier two is each worker's cache, which encodes what the table misses. No pre-token is
+shuffled, neither for counting nor for the table. The table only saves time: whatever it holds, results are the library's.
 
-Size of the broadcast: at most `table_pieces` pieces of at most 32 characters. Its pieces are the most frequent ones of
-a random sample of about `table_documents` documents.
+The table. Each task counts the pieces of its part of a sample of about `table_documents` documents, and gives the driver its most frequent ones of at most 32 characters,
+`table_pieces` / 8 at most. These come one task after the other; the driver adds them up, keeps 8 * `table_pieces` at most and broadcasts the `table_pieces` most frequent ones (32,768 pieces: 1 MB). A worker's cache is bounded
+by pieces and by bytes, and pieces of over 256 characters are not kept.
 
 Null text counts as empty (0 bytes, 0 tokens); rows are neither joined nor grouped, so repeated rows stay repeated and
-an empty table gives an empty result. Other columns of the input are ignored.
+an empty table gives an empty result. Very long texts are counted whole, one at a time. Of equally frequent pieces the first by code point is in the table. Other columns of the input
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import uuid
 from collections import Counter
 
@@ -28,13 +31,17 @@ from .pretokens import UNPLAIN, PieceCache, tokenizer, vocabulary_path
 _CACHES: dict = {}
 
 
-def _frequent(batches):
+def _heaviest(counts: Counter, most: int) -> list[tuple[str, int]]:
+    return heapq.nsmallest(most, counts.items(), key=lambda x: (-x[1], x[0]))
+
+
+def _frequent(batches, most):
     counts: Counter = Counter()
     for batch in batches:
         text = pc.fill_null(batch.column(0), "")
         for x in text.filter(pc.invert(pc.match_substring_regex(text, UNPLAIN))).to_pylist():
-            counts.update(x.lower().split())
-    rows = [(k, n) for k, n in counts.items() if n > 1 and len(k) <= 32]
+            counts.update(w for w in x.lower().split() if len(w) <= 32)
+    rows = _heaviest(Counter({k: n for k, n in counts.items() if n > 1}), most)
     yield pa.RecordBatch.from_pydict({"piece": pa.array([x[0] for x in rows], pa.string()), "n": pa.array([x[1] for x in rows], pa.int64())})
 
 
@@ -42,8 +49,12 @@ def frequent_table(documents: DataFrame, path: str, table_documents: int, table_
     """The first tier: frequent pieces and their numbers of tokens."""
     texts = documents.select("text")
     sample = texts.sample(min(1.0, table_documents / max(1, texts.count())), seed=1)
-    rows = sample.mapInArrow(_frequent, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table_pieces).collect()
-    pieces = [r.piece for r in rows]
+    counts: Counter = Counter()
+    for r in sample.mapInArrow(functools.partial(_frequent, most=max(1024, table_pieces // 8)), "piece string, n long").toLocalIterator():
+        counts[r.piece] += r.n
+        if len(counts) > 8 * table_pieces:
+            counts = Counter(dict(_heaviest(counts, 4 * table_pieces)))
+    pieces = [k for k, _ in _heaviest(counts, table_pieces)]
     return dict(zip(pieces, (len(x.ids) for x in tokenizer(path).encode_batch_fast(pieces, add_special_tokens=False)))) if pieces else {}
 
 
