@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isohyet.llm.common import written
+from isohyet.llm.common import release, written
 from isohyet.llm.entropy_mix import mixed_documents
 from isohyet.llm.golay import one_of_each
 from isohyet.llm.hd_langid import known_language
-from isohyet.llm.line_chunks import line_chunk_dedup
+from isohyet.llm.line_chunks import deduplicated_lines
 from isohyet.llm.slack_packing import slack_packing
 
 
@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Chunks of lines, and runs of lines of over 50 words, that an earlier document has are cut out of the later ones."""
-    return line_chunk_dedup(docs, run_words=50).select(*docs.columns)
+    return deduplicated_lines(docs, run_words=50)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs)
+            release(before)
     return docs
