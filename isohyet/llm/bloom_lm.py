@@ -118,10 +118,10 @@ def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 def run_keys(own: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
     """Keys of the runs of 1, 2, ..., order words that end at each token; texts begin at starts."""
     runs = [own]
-    for _ in range(order - 1):
+    for n in range(1, order):
         before = np.empty_like(own)
         before[1:] = runs[-1][:-1]
-        before[starts] = START
+        before[starts] = np.uint64((START + n) & (1 << 64) - 1)  # n times the start
         runs.append(pair_keys(before, own))
     return runs
 

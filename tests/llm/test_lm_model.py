@@ -54,7 +54,7 @@ def documents(spark):
 @pytest.mark.parametrize("priors", [(100.0,), (100.0, 4.0), (5.0, 2.0, 1.0)])
 def test_scores_like_brute_force(documents, priors):
     want = brute_scores([r.text for r in documents.orderBy("doc_id").collect()], priors)
-    for r in bloom_lm.lm_scores(documents, priors=priors, bits_per_entry=4096).collect():
+    for r in bloom_lm.lm_scores(documents, priors=priors, bits_per_entry=256).collect():
         assert r.score == pytest.approx(want[r.doc_id], rel=1e-9, abs=1e-9), r.doc_id
 
 
