@@ -116,7 +116,7 @@ class Runtime:
             Resampler(resampling.get("resample_colmap"), resampling.get("default_aggfunc", "mean")),
             VerticalModel(**(config.get("vertical_model") or {})),
             None if stations is None else normalize_codes([str(x) for x in stations] if isinstance(stations, list) else str(stations)),
-            general.get("parameters") or ["tair_2m"], general.get("require_stations_in_aoi", True),
+            [own] if isinstance(own := general.get("parameters") or ["tair_2m"], str) else list(own), general.get("require_stations_in_aoi", True),
             LeaveOneOut() if config.get("cross_validation") is not None else None,
             (lambda frame, column: fill_gaps(frame, column, **gaps)) if gaps is not None else None,
             create_writer(output["format"], **(output.get("options") or {})) if output is not None else None,

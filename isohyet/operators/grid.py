@@ -174,25 +174,45 @@ FOOTPRINTS = {
 METHODS = ("nearest", *KERNELS, *FOOTPRINTS)
 
 
-def regrid(cells: DataFrame, source: GridMeta, target: GridMeta, method: str = "bilinear") -> DataFrame:
-    """Values on the target's cells (y_idx, x_idx, y, x, value); cells without any source cell are left out."""
-    if method not in METHODS:
-        raise ValueError(f"unknown resampling method {method!r}; known: {', '.join(METHODS)}")
+def coarsening(source: GridMeta, target: GridMeta) -> tuple[float, float]:
+    """How many source cells a target cell covers in y and x; 1 at least."""
+    if source.crs == target.crs:
+        return max(1.0, target.res[1] / source.res[1]), max(1.0, target.res[0] / source.res[0])
+    from isohyet.operators.aoi import AOI
+
+    minx, miny, maxx, maxy = AOI(*target.bounds, target.crs).to_crs(source.crs, densify=16).bounds
+    return max(1.0, (maxy - miny) / source.res[1] / target.ny), max(1.0, (maxx - minx) / source.res[0] / target.nx)
+
+
+def regrid(cells: DataFrame, source: GridMeta, target: GridMeta, method: str | Sequence[str] = "bilinear", widen: bool = False) -> DataFrame:
+    """Values on the target's cells (y_idx, x_idx, y, x, value); cells without any source cell are left out. With widen, kernels grow
+    by as much as the target is coarser, so that all source cells count, as raster libraries do. Several footprint methods are one aggregation with a column each."""
+    several = [] if isinstance(method, str) else list(method)
+    if unknown := [m for m in several or [method] if m not in METHODS]:
+        raise ValueError(f"unknown resampling method {unknown[0]!r}; known: {', '.join(METHODS)}")
+    if kernels := [m for m in several if m not in FOOTPRINTS]:
+        raise ValueError(f"several methods at once must be footprint methods, not {kernels}")
     values = cells.select(F.col("y_idx").alias("sy"), F.col("x_idx").alias("sx"), F.col("value").alias("v"))
-    if method in FOOTPRINTS:
+    if several or method in FOOTPRINTS:
         placed = cells.select("x", "y", "value") if "x" in cells.columns else with_coordinates(cells, source).select("x", "y", "value")
         own = _source_place(placed, target, source.crs)
         at = own.select(F.floor(F.col("fy") + 0.5).cast("int").alias("y_idx"), F.floor(F.col("fx") + 0.5).cast("int").alias("x_idx"), "value")
         inside = at.filter(F.col("y_idx").between(target.first[0], target.first[0] + target.ny - 1) & F.col("x_idx").between(target.first[1], target.first[1] + target.nx - 1))
-        return with_coordinates(inside.groupBy("y_idx", "x_idx").agg(FOOTPRINTS[method](F.col("value")).alias("value")), target).select("y_idx", "x_idx", "y", "x", "value")
+        found = [FOOTPRINTS[m](F.col("value")).alias(m) for m in several] or [FOOTPRINTS[method](F.col("value")).alias("value")]
+        return with_coordinates(inside.groupBy("y_idx", "x_idx").agg(*found), target).select("y_idx", "x_idx", "y", "x", *(several or ["value"]))
     placed = _source_place(_cell_lattice(cells.sparkSession, target), source, target.crs)
     if method == "nearest":
         near = placed.withColumn("sy", F.floor(F.col("fy") + 0.5).cast("int")).withColumn("sx", F.floor(F.col("fx") + 0.5).cast("int"))
         return near.join(values, ["sy", "sx"]).select("y_idx", "x_idx", "y", "x", F.col("v").alias("value"))
     reach, weight = KERNELS[method]
-    around = lambda f: F.sequence(F.floor(f) - (reach - 1), F.floor(f) + reach)
-    spread = placed.withColumn("sy", F.explode(around(F.col("fy")))).withColumn("sx", F.explode(around(F.col("fx"))))
-    weighed = spread.withColumn("w", weight(F.abs(F.col("fy") - F.col("sy"))) * weight(F.abs(F.col("fx") - F.col("sx")))).filter("w <> 0").withColumn("sy", F.col("sy").cast("int")).withColumn("sx", F.col("sx").cast("int"))
+    by_y, by_x = coarsening(source, target) if widen else (1.0, 1.0)
+
+    def around(f: Column, by: float) -> Column:
+        far = math.ceil(reach * by)
+        return F.explode(F.sequence(F.floor(f) - (far - 1), F.floor(f) + far))
+
+    spread = placed.withColumn("sy", around(F.col("fy"), by_y)).withColumn("sx", around(F.col("fx"), by_x))
+    weighed = spread.withColumn("w", weight(F.abs(F.col("fy") - F.col("sy")) / by_y) * weight(F.abs(F.col("fx") - F.col("sx")) / by_x)).filter("w <> 0").withColumn("sy", F.col("sy").cast("int")).withColumn("sx", F.col("sx").cast("int"))
     joined = weighed.join(values.filter("v is not null"), ["sy", "sx"])
     return joined.groupBy("y_idx", "x_idx").agg(F.first("y").alias("y"), F.first("x").alias("x"), (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("value"))
 
@@ -249,7 +269,7 @@ class BaseGrid:
             if aoi is not None:
                 cells, meta = aoi.filter_grid(cells, meta, buffer_m=aoi_buffer_m)
             target = target_grid(meta, target_crs, target_res)
-            cells, meta = regrid(cells, meta, target, resampling_method), target
+            cells, meta = regrid(cells, meta, target, resampling_method, widen=True), target
         if aoi is not None:
             cells, meta = aoi.filter_grid(cells, meta)
         self.meta, self.cells = meta, require_no_missing(cells, meta)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from isohyet.sinks import files
+
 #: The largest table of fits that is broadcast to the grid's cells: rows of some 50 bytes.
 MOST_BROADCAST_FITS = 200_000
 
@@ -45,29 +47,45 @@ class VerticalModel:
         slope, intercept = self.coefficients(F.col("_x"), F.col("_y"))
         return own.groupBy(*keys).agg(F.count("*").alias("n"), slope.alias("slope"), intercept.alias("intercept"))
 
-    def predict(self, fits: DataFrame, cells: DataFrame, value: str = "value", keep: tuple[str, ...] = ("y_idx", "x_idx")) -> DataFrame:
-        """Each fit on each cell: the fits' keys, the cells' indices, value. Fits are as many as dates times parameters;
-        up to MOST_BROADCAST_FITS they go to the cells, beyond that the cells are joined in blocks of fits by a key."""
+    def value_on(self, value: Column) -> Column:
+        """A fit's value where the elevation is `value`."""
+        return F.col("intercept") + F.col("slope") * value
+
+    def predict(self, fits: DataFrame, cells: DataFrame, value: str = "value", keep: tuple[str, ...] = ("y_idx", "x_idx"), regions: str | None = None) -> DataFrame:
+        """Each fit on each cell (of its region): the fits' keys, the cells' indices, value."""
         keys = [c for c in fits.columns if c not in ("n", "slope", "intercept")]
-        own = cells.select(*keep, F.col(value).cast("double").alias("_e"))
-        formula = (F.col("intercept") + F.col("slope") * F.col("_e")).alias("value")
-        if fits.limit(MOST_BROADCAST_FITS + 1).count() <= MOST_BROADCAST_FITS:
-            return own.crossJoin(F.broadcast(fits)).select(*keys, *keep, formula)
-        blocks = 64
-        left = own.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = fits.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-        return left.join(right, "_b").select(*keys, *keep, formula)
-
-
-def interpolate(samples: DataFrame, cells: DataFrame, model: VerticalModel | None = None, residual_model=None, cross_validator=None, regions=None) -> tuple[DataFrame, DataFrame | None]:
-    """Fields (param, interp_date, y_idx, x_idx, value), and cross-validation scores if a validator is given."""
-    own = model or VerticalModel()
-    fits = own.fit(samples)
-    field = own.predict(fits, cells)
-    scores = cross_validator.scores(samples, own) if cross_validator is not None else None
-    if residual_model is not None:
-        field = residual_model.correct(field, samples, fits, cells)
-    return field, scores
+        own = cells.select(*keep, *([regions] if regions else []), F.col(value).cast("double").alias("_e"))
+        return each_on_each(fits, own, regions).select(*keys, *keep, self.value_on(F.col("_e")).alias("value"))
+
+
+def each_on_each(fits: DataFrame, cells: DataFrame, regions: str | None = None, most: int | None = None) -> DataFrame:
+    """Each fit with each cell. Fits are as many as dates times parameters: up to `most` rows, counted first, they go to the cells. Beyond that
+    both sides are cut into blocks, 32 of fits by 32 of cells, and each pair of blocks is a task's work."""
+    most = MOST_BROADCAST_FITS if most is None else most
+    few = fits.limit(most + 1).count() <= most
+    if regions is not None:
+        return cells.join(F.broadcast(fits) if few else fits, regions)
+    if few:
+        return cells.crossJoin(F.broadcast(fits))
+    blocks = F.sequence(F.lit(0), F.lit(31))
+    left = cells.withColumn("_c", F.pmod(F.xxhash64(*cells.columns), F.lit(32)).cast("int")).withColumn("_f", F.explode(blocks))
+    right = fits.withColumn("_f", F.pmod(F.xxhash64(*fits.columns), F.lit(32)).cast("int")).withColumn("_c", F.explode(blocks))
+    return left.join(right, ["_c", "_f"]).drop("_c", "_f")
+
+
+def interpolate_all(samples: DataFrame, cells: DataFrame, model: VerticalModel | None = None, residual_model=None, cross_validator=None, regions: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Fits, fields (param, interp_date, y_idx, x_idx, value), and cross-validation scores if a validator is given. regions: a column of samples and cells;
+    each region then has fits of its own, and its cells get no others."""
+    own, keys = model or VerticalModel(), ("param", "interp_date", *([regions] if regions else []))
+    fits = files.land(own.fit(samples, keys))
+    scores = cross_validator.scores(samples, own, keys) if cross_validator is not None else None
+    field = own.predict(fits, cells, regions=regions) if residual_model is None else residual_model.corrected(own, samples, fits, cells, keys, regions)
+    return fits, field, scores
+
+
+def interpolate(samples: DataFrame, cells: DataFrame, model: VerticalModel | None = None, residual_model=None, cross_validator=None, regions: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """As interpolate_all(), without the fits."""
+    return interpolate_all(samples, cells, model, residual_model, cross_validator, regions)[1:]
 
 
 class LeaveOneOut:
@@ -98,16 +116,23 @@ class InverseDistance:
 
     power: float = 2.0
 
-    def correct(self, field: DataFrame, samples: DataFrame, fits: DataFrame, cells: DataFrame, keys: tuple[str, ...] = ("param", "interp_date")) -> DataFrame:
-        residual = samples.join(fits, list(keys)).select(*keys, "station_x", "station_y", (F.col("y") - F.col("intercept") - F.col("slope") * F.col("elevation")).alias("r"))
-        per_date = residual.groupBy(*keys).agg(F.collect_list(F.struct("station_x", "station_y", "r")).alias("stations"))
-        placed = field.join(cells.select("y_idx", "x_idx", F.col("x").alias("_x"), F.col("y").alias("_y")), ["y_idx", "x_idx"]).join(per_date, list(keys))
-        def weight(s):
-            d2 = F.pow(s["station_x"] - F.col("_x"), F.lit(2)) + F.pow(s["station_y"] - F.col("_y"), F.lit(2))
-            return 1 / F.pow(F.greatest(d2, F.lit(1e-12)), F.lit(self.power / 2))
-        total = F.aggregate("stations", F.lit(0.0), lambda a, s: a + weight(s))
-        moved = F.aggregate("stations", F.lit(0.0), lambda a, s: a + weight(s) * s["r"])
-        return placed.select(*keys, "y_idx", "x_idx", (F.col("value") + moved / total).alias("value"))
+    def corrected(self, model: VerticalModel, samples: DataFrame, fits: DataFrame, cells: DataFrame, keys: tuple[str, ...] = ("param", "interp_date"), regions: str | None = None) -> DataFrame:
+        """The model's field with the residuals added. Each fit carries its stations (as many as measure on a date) to the cells, so that the field itself is not shuffled."""
+        residual = samples.join(fits, list(keys)).select(*keys, F.col("station_x").cast("double").alias("x"), F.col("station_y").cast("double").alias("y"), (F.col("y") - model.value_on(F.col("elevation"))).alias("r"))
+        stations = files.land(residual.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "r")).alias("_stations")))
+        n = stations.agg(F.sum(F.size("_stations"))).first()[0] or 0
+        own = cells.select("y_idx", "x_idx", *([regions] if regions else []), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("value").cast("double").alias("_e"))
+        # Broadcast only if the stations' places, 24 bytes each, are few too.
+        pairs = each_on_each(fits.join(stations, list(keys)), own, regions, MOST_BROADCAST_FITS if n <= 10 * MOST_BROADCAST_FITS else 0)
+
+        def add(sums: Column, s: Column) -> Column:
+            d2 = F.pow(s["x"] - F.col("_x"), F.lit(2)) + F.pow(s["y"] - F.col("_y"), F.lit(2))
+            weight = 1 / F.pow(F.greatest(d2, F.lit(1e-12)), F.lit(self.power / 2))
+            return F.struct((sums["w"] + weight).alias("w"), (sums["r"] + weight * s["r"]).alias("r"))
+
+        zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("r"))
+        moved = F.aggregate("_stations", zero, add, lambda sums: sums["r"] / sums["w"])
+        return pairs.select(*keys, "y_idx", "x_idx", (model.value_on(F.col("_e")) + moved).alias("value"))
 
 
 def fill_gaps(frame: DataFrame, column: str, datetime_col: str = "datetime", keys: tuple[str, ...] = ("station_id",), most_rows: int = 6) -> DataFrame:

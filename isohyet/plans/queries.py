@@ -8,12 +8,11 @@ orders long resampling inputs, parts points in a plane. Doubles are rounded on b
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.functions import zones
+from isohyet.functions import proj, zones
 from isohyet.operators import grid, model, sensors, stations, tidy, validate
 from isohyet.operators.aoi import AOI
 from isohyet.operators.grid_meta import GridMeta, GridValidator
@@ -24,8 +23,8 @@ from isohyet.sources.chunks import chunk_table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: The rasters' place in the plane: 64 columns, rows as many as the table has.
-RASTER = GridMeta(10.0, 47.0, 0.01, -0.01, 64, 500, 4326)
+#: Rows of the raster, in SQL.
+ROWS = "(SELECT CAST(max(vec_id) + 1 AS BIGINT) FROM embeddings)"
 CODES = ["click", "view", "purchase", "signup", "error"]
 
 
@@ -46,8 +45,13 @@ def rounded(frame: DataFrame, *names: str, digits: int = 4) -> DataFrame:
     return frame.withColumns({n: F.round(n, digits) for n in names})
 
 
-def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.explode_rows(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", RASTER)
+def raster_meta(spark: SparkSession, sf_dir: str) -> GridMeta:
+    """The raster's place in the plane: 64 columns, rows as many as the table has."""
+    return GridMeta(10.0, 47.0, 0.01, -0.01, 64, read(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1, 4326)
+
+
+def raster(spark: SparkSession, sf_dir: str, meta: GridMeta | None = None) -> DataFrame:
+    return grid.explode_rows(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", meta or raster_meta(spark, sf_dir))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,11 +86,11 @@ def resample_median_first_last(spark, sf_dir):
     return rounded(out, "value_median", "value_first", "value_last")
 
 
-@query("""WITH e AS (SELECT * FROM events WHERE user_id % 37 = 5), b AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') AS d, sum(value) AS s, avg(value) AS m, count(value) AS n FROM e GROUP BY 1),
+@query("""WITH b AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') AS d, sum(value) AS s, avg(value) AS m, count(value) AS n FROM events GROUP BY 1),
     r AS (SELECT unnest(generate_series((SELECT min(d) FROM b), (SELECT max(d) FROM b), INTERVAL '6 hours')) AS d)
     SELECT r.d::TIMESTAMP AS datetime, round(coalesce(s, 0.0), 4) AS value_sum, round(m, 4) AS value_mean FROM r LEFT JOIN b USING (d)""")
 def resample_empty_bins(spark, sf_dir):
-    data = events(spark, sf_dir).filter("user_id % 37 = 5").select("datetime", "value")
+    data = events(spark, sf_dir).select("datetime", "value")
     return rounded(Resampler({"value": ["sum", "mean"]}).apply(data, "6h"), "value_sum", "value_mean")
 
 
@@ -142,9 +146,9 @@ def resample_callable(spark, sf_dir):
     return rounded(Resampler({"value": spread}).apply(events(spark, sf_dir).select("datetime", "event_type", "value"), "D", groupby_cols=["event_type"]), "value")
 
 
-@query("""SELECT DISTINCT event_type, ts AS datetime FROM events WHERE user_id < 20""")
+@query("""SELECT DISTINCT event_type, ts AS datetime FROM events""")
 def resample_keys_only(spark, sf_dir):
-    return Resampler({}, None).apply(events(spark, sf_dir).filter("user_id < 20").select("datetime", "event_type", "value"), "D", groupby_cols=["event_type"])
+    return Resampler({}, None).apply(events(spark, sf_dir).select("datetime", "event_type", "value"), "D", groupby_cols=["event_type"])
 
 
 # Tidy transforms (T1-T15), vocabulary
@@ -171,10 +175,10 @@ def pivot_sensors(spark, sf_dir):
 _NAMES = {"click": "tair_2m", "view": "precipitation", "purchase": "wind_speed"}
 
 
-@query("""SELECT ts AS datetime, round(value, 4) AS tair_2m, user_id AS other FROM events WHERE event_type = 'click'""")
+@query("""SELECT ts AS datetime, round(value, 4) AS tair_2m, user_id AS other FROM events""")
 def harmonise_names(spark, sf_dir):
     words = sensors.Vocabulary({"click": "tair_2m", "view": "precipitation"}, {"ts": "datetime"})
-    data = read(spark, sf_dir, "events").filter("event_type = 'click'").select("ts", F.round("value", 4).alias("click"), F.col("user_id").alias("other"))
+    data = read(spark, sf_dir, "events").select("ts", F.round("value", 4).alias("click"), F.col("user_id").alias("other"))
     return words.rename(data)
 
 
@@ -208,21 +212,21 @@ def range_filter(spark, sf_dir):
     return rounded(tidy.range_filter(read(spark, sf_dir, "events"), "ts", "2024-01-05 00:00:00", "2024-01-05 23:59:59").select("event_id", "ts", "value"), "value")
 
 
-_WANTED = "SELECT user_id, event_type FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(['click', 'view', 'purchase', 'signup', 'error']) AS event_type)"
+_WANTED = "SELECT user_id, event_type FROM (SELECT c_custkey AS user_id FROM customer), (SELECT unnest(['click', 'view', 'purchase', 'signup', 'error']) AS event_type)"
 
 
 def _sensor_split(spark, sf_dir):
-    data = events(spark, sf_dir).filter("datetime < timestamp_ntz'2024-01-06'")
-    wanted = events(spark, sf_dir).select("user_id").distinct().withColumn("event_type", F.explode(F.array(*map(F.lit, CODES))))
+    data = events(spark, sf_dir)
+    wanted = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")).withColumn("event_type", F.explode(F.array(*map(F.lit, CODES))))
     return sensors.split_available(wanted, data.select("user_id", "event_type").distinct(), ["user_id", "event_type"])
 
 
-@query(f"""SELECT w.* FROM ({_WANTED}) w SEMI JOIN (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-06') e USING (user_id, event_type)""")
+@query(f"""SELECT w.* FROM ({_WANTED}) w SEMI JOIN events e USING (user_id, event_type)""")
 def available_sensors(spark, sf_dir):
     return _sensor_split(spark, sf_dir)[0]
 
 
-@query(f"""SELECT w.* FROM ({_WANTED}) w ANTI JOIN (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-06') e USING (user_id, event_type)""")
+@query(f"""SELECT w.* FROM ({_WANTED}) w ANTI JOIN events e USING (user_id, event_type)""")
 def missing_sensors(spark, sf_dir):
     return _sensor_split(spark, sf_dir)[1]
 
@@ -346,13 +350,13 @@ def vertical_fit_degenerate(spark, sf_dir):
     return _rounded_fits(model.VerticalModel().fit(data, keys=("param",)))
 
 
-_FITS = f"""{_SAMPLES}, f AS (SELECT param, interp_date, regr_slope(y, elevation) AS b, avg(y) - regr_slope(y, elevation) * avg(elevation) AS a FROM s WHERE param = 'click' GROUP BY ALL)"""
+_FITS = f"""{_SAMPLES}, f AS (SELECT param, interp_date, regr_slope(y, elevation) AS b, avg(y) - regr_slope(y, elevation) * avg(elevation) AS a FROM s GROUP BY ALL)"""
 
 
 @query(f"""WITH {_FITS} SELECT param, interp_date, CAST(s_suppkey // 10 AS INTEGER) AS y_idx, CAST(s_suppkey % 10 AS INTEGER) AS x_idx, round(a + b * s_acctbal, 3) AS value FROM supplier, f""")
 def vertical_predict(spark, sf_dir):
     cells = read(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 10).cast("int").alias("y_idx"), (F.col("s_suppkey") % 10).cast("int").alias("x_idx"), F.col("s_acctbal").alias("value"))
-    field, _ = model.interpolate(daily_samples(spark, sf_dir).filter("param = 'click'"), cells)
+    field, _ = model.interpolate(daily_samples(spark, sf_dir), cells)
     return rounded(field, "value", digits=3)
 
 
@@ -366,14 +370,14 @@ def cross_validation(spark, sf_dir):
     return rounded(scores.select("param", "interp_date", "n", "mae", "rmse"), "mae", "rmse", digits=3)
 
 
-@query(f"""WITH {_SAMPLES}, t AS (SELECT *, CAST(c_custkey % 180 AS DOUBLE) AS sx, CAST(c_custkey % 97 AS DOUBLE) AS sy FROM s WHERE param = 'error' AND interp_date < '2024-01-04'),
-    f AS (SELECT interp_date, regr_slope(y, elevation) AS b, avg(y) - regr_slope(y, elevation) * avg(elevation) AS a FROM t GROUP BY ALL),
-    r AS (SELECT interp_date, sx, sy, y - a - b * elevation AS r FROM t JOIN f USING (interp_date)),
+@query(f"""WITH {_SAMPLES}, t AS (SELECT *, CAST(c_custkey % 180 AS DOUBLE) AS sx, CAST(c_custkey % 97 AS DOUBLE) AS sy FROM s),
+    f AS (SELECT param, interp_date, regr_slope(y, elevation) AS b, avg(y) - regr_slope(y, elevation) * avg(elevation) AS a FROM t GROUP BY ALL),
+    r AS (SELECT param, interp_date, sx, sy, y - a - b * elevation AS r FROM t JOIN f USING (param, interp_date)),
     c AS (SELECT CAST(s_suppkey // 10 AS INTEGER) AS y_idx, CAST(s_suppkey % 10 AS INTEGER) AS x_idx, s_acctbal AS e, s_suppkey % 10 + 0.5 AS x, s_suppkey // 10 + 0.25 AS y FROM supplier),
-    w AS (SELECT interp_date, y_idx, x_idx, sum(r / ((sx - x) ** 2 + (sy - y) ** 2)) / sum(1 / ((sx - x) ** 2 + (sy - y) ** 2)) AS moved FROM r, c GROUP BY ALL)
-    SELECT 'error' AS param, interp_date, y_idx, x_idx, round(a + b * e + moved, 3) AS value FROM c, f JOIN w USING (interp_date, y_idx, x_idx)""".replace("FROM c, f JOIN w USING (interp_date, y_idx, x_idx)", "FROM w JOIN f USING (interp_date) JOIN c USING (y_idx, x_idx)"))
+    w AS (SELECT param, interp_date, y_idx, x_idx, sum(r / ((sx - x) ** 2 + (sy - y) ** 2)) / sum(1 / ((sx - x) ** 2 + (sy - y) ** 2)) AS moved FROM r, c GROUP BY ALL)
+    SELECT param, interp_date, y_idx, x_idx, round(a + b * e + moved, 3) AS value FROM w JOIN f USING (param, interp_date) JOIN c USING (y_idx, x_idx)""")
 def residual_correction(spark, sf_dir):
-    own = daily_samples(spark, sf_dir).filter("param = 'error' AND interp_date < timestamp_ntz'2024-01-04'")
+    own = daily_samples(spark, sf_dir)
     own = own.withColumn("station_x", (F.col("station_id").cast("long") % 180).cast("double")).withColumn("station_y", (F.col("station_id").cast("long") % 97).cast("double"))
     cells = read(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 10).cast("int").alias("y_idx"), (F.col("s_suppkey") % 10).cast("int").alias("x_idx"), F.col("s_acctbal").alias("value"))
     cells = cells.withColumn("x", F.col("x_idx") + 0.5).withColumn("y", F.col("y_idx") + 0.25)
@@ -407,70 +411,118 @@ def grid_explode(spark, sf_dir):
 
 @query(f"""WITH {_RASTER} SELECT y_idx, x_idx, value FROM g WHERE 10.0 + x_idx * 0.01 BETWEEN 10.097 - 0.005 AND 10.143 + 0.005 AND 47.0 - y_idx * 0.01 BETWEEN 46.797 - 0.005 AND 46.893 + 0.005""")
 def aoi_grid(spark, sf_dir):
-    return AOI(10.097, 46.797, 10.143, 46.893).filter(raster(spark, sf_dir), RASTER)[0].select("y_idx", "x_idx", "value")
+    meta = raster_meta(spark, sf_dir)
+    return AOI(10.097, 46.797, 10.143, 46.893).filter(raster(spark, sf_dir, meta), meta)[0].select("y_idx", "x_idx", "value")
+
+
+def _regridded(spark, sf_dir, target: Callable[[GridMeta], GridMeta], method, **options) -> DataFrame:
+    """The whole raster on a target grid made from its own."""
+    meta = raster_meta(spark, sf_dir)
+    return grid.regrid(raster(spark, sf_dir, meta), meta, target(meta), method, **options).drop("y", "x")
+
+
+def _target_sql(x0: float, step: float, columns: str, rows: str) -> str:
+    """Target cells with their places in source indices."""
+    return f"t AS (SELECT i AS y_idx, j AS x_idx, {x0} + i * {step} AS fy, {x0} + j * {step} AS fx FROM (SELECT unnest(range({rows})) AS i), (SELECT unnest(range({columns})) AS j))"
+
+
+def _kernel_sql(weight: str, reach: int, by: int = 1) -> str:
+    """Weights of the source cells around each target cell, by a formula of the distance d."""
+    own = lambda d: f"({weight.format(d=f'({d} / {by}.0)')})"
+    far = reach * by
+    return f"""n AS (SELECT y_idx, x_idx, floor(fy) + dy AS sy, floor(fx) + dx AS sx, abs(fy - floor(fy) - dy) AS ey, abs(fx - floor(fx) - dx) AS ex FROM t, range({1 - far}, {far + 1}) c(dy), range({1 - far}, {far + 1}) d(dx)),
+    w AS (SELECT n.y_idx, n.x_idx, {own("ey")} * {own("ex")} AS w, g.value FROM n JOIN g ON g.y_idx = sy AND g.x_idx = sx)
+    SELECT CAST(y_idx AS INTEGER) AS y_idx, CAST(x_idx AS INTEGER) AS x_idx, round(sum(w * value) / sum(w), 6) AS value FROM w WHERE w <> 0 GROUP BY ALL"""
+
+
+_HALVES = _target_sql(0.25, 0.5, "127", f"2 * {ROWS} - 1")
+_LINEAR = "greatest(0, 1 - {d})"
+_CUBIC = "CASE WHEN {d} < 1 THEN (1.5 * {d} - 2.5) * {d} * {d} + 1 WHEN {d} < 2 THEN ((-0.5 * {d} + 2.5) * {d} - 4) * {d} + 2 ELSE 0 END"
+_SPLINE = "CASE WHEN {d} < 1 THEN 2.0 / 3 - {d} * {d} * (1 - {d} / 2) WHEN {d} < 2 THEN (2 - {d}) ** 3 / 6 ELSE 0 END"
+_LANCZOS = "CASE WHEN {d} = 0 THEN 1 WHEN {d} < 3 THEN 3 * sin(pi() * {d}) * sin(pi() * {d} / 3) / (pi() * {d}) ** 2 ELSE 0 END"
+
+
+def _halved(meta: GridMeta) -> GridMeta:
+    return GridMeta(10.0025, 46.9975, 0.005, -0.005, 127, 2 * meta.ny - 1, 4326)
+
+
+def _quartered(meta: GridMeta) -> GridMeta:
+    return GridMeta(10.015, 46.985, 0.04, -0.04, 16, -(-meta.ny // 4), 4326)
 
 
-@query(f"""WITH {_RASTER}, t AS (SELECT i AS y_idx, j AS x_idx, 0.25 + i * 0.5 AS fy, 0.25 + j * 0.5 AS fx FROM range(13) a(i), range(13) b(j)),
-    n AS (SELECT y_idx, x_idx, fy, fx, floor(fy) + dy AS sy, floor(fx) + dx AS sx FROM t, range(2) c(dy), range(2) d(dx)),
-    w AS (SELECT n.y_idx, n.x_idx, greatest(0, 1 - abs(fy - sy)) * greatest(0, 1 - abs(fx - sx)) AS w, g.value FROM n JOIN g ON g.y_idx = sy AND g.x_idx = sx)
-    SELECT CAST(y_idx AS INTEGER) AS y_idx, CAST(x_idx AS INTEGER) AS x_idx, round(sum(w * value) / sum(w), 6) AS value FROM w WHERE w > 0 GROUP BY ALL""")
+@query(f"WITH {_RASTER}, {_HALVES}, {_kernel_sql(_LINEAR, 1)}")
 def grid_bilinear(spark, sf_dir):
-    target = GridMeta(10.0025, 46.9975, 0.005, -0.005, 13, 13, 4326)
-    return rounded(grid.regrid(raster(spark, sf_dir), RASTER, target, "bilinear").select("y_idx", "x_idx", "value"), "value", digits=6)
+    return rounded(_regridded(spark, sf_dir, _halved, "bilinear"), "value", digits=6)
 
 
-@query(f"""WITH {_RASTER}, t AS (SELECT i AS y_idx, j AS x_idx, CAST(floor(0.33 + i * 0.4 + 0.5) AS INTEGER) AS sy, CAST(floor(0.33 + j * 0.4 + 0.5) AS INTEGER) AS sx FROM range(20) a(i), range(20) b(j))
-    SELECT CAST(t.y_idx AS INTEGER) AS y_idx, CAST(t.x_idx AS INTEGER) AS x_idx, round(value, 6) AS value FROM t JOIN g ON g.y_idx = sy AND g.x_idx = sx""")
+@query(f"WITH {_RASTER}, {_HALVES}, {_kernel_sql(_CUBIC, 2)}")
+def grid_cubic(spark, sf_dir):
+    return rounded(_regridded(spark, sf_dir, _halved, "cubic"), "value", digits=6)
+
+
+@query(f"WITH {_RASTER}, {_HALVES}, {_kernel_sql(_SPLINE, 2)}")
+def grid_cubic_spline(spark, sf_dir):
+    return rounded(_regridded(spark, sf_dir, _halved, "cubic_spline"), "value", digits=6)
+
+
+@query(f"WITH {_RASTER}, {_HALVES}, {_kernel_sql(_LANCZOS, 3)}")
+def grid_lanczos(spark, sf_dir):
+    return rounded(_regridded(spark, sf_dir, _halved, "lanczos"), "value", digits=6)
+
+
+@query(f"WITH {_RASTER}, {_target_sql(0.75, 2, '32', f'{ROWS} // 2')}, {_kernel_sql(_LINEAR, 1, 2)}")
+def grid_bilinear_coarser(spark, sf_dir):
+    return rounded(_regridded(spark, sf_dir, lambda m: GridMeta(10.0075, 46.9925, 0.02, -0.02, 32, m.ny // 2, 4326), "bilinear", widen=True), "value", digits=6)
+
+
+@query(f"""WITH {_RASTER}, {_target_sql(0.33, 0.4, "157", f"CAST(floor(2.5 * {ROWS}) AS BIGINT) - 3")}
+    SELECT CAST(t.y_idx AS INTEGER) AS y_idx, CAST(t.x_idx AS INTEGER) AS x_idx, round(value, 6) AS value FROM t JOIN g ON g.y_idx = CAST(floor(fy + 0.5) AS INTEGER) AND g.x_idx = CAST(floor(fx + 0.5) AS INTEGER)""")
 def grid_nearest(spark, sf_dir):
-    target = GridMeta(10.0033, 46.9967, 0.004, -0.004, 20, 20, 4326)
-    return rounded(grid.regrid(raster(spark, sf_dir), RASTER, target, "nearest").select("y_idx", "x_idx", "value"), "value", digits=6)
+    return rounded(_regridded(spark, sf_dir, lambda m: GridMeta(10.0033, 46.9967, 0.004, -0.004, 157, int(2.5 * m.ny) - 3, 4326), "nearest"), "value", digits=6)
 
 
-_BLOCKS = GridMeta(10.015, 46.985, 0.04, -0.04, 16, 125, 4326)
 _BLOCK_SQL = {"average": "avg(value)", "min": "min(value)", "max": "max(value)", "sum": "sum(value)", "rms": "sqrt(avg(value * value))", "med": "median(value)", "q1": "quantile_cont(value, 0.25)", "q3": "quantile_cont(value, 0.75)"}
+_BLOCK = "CAST(g.y_idx // 4 AS INTEGER) AS y_idx, CAST(g.x_idx // 4 AS INTEGER) AS x_idx"
 
 
-@query(f"""WITH {_RASTER} SELECT CAST(y_idx // 4 AS INTEGER) AS y_idx, CAST(x_idx // 4 AS INTEGER) AS x_idx, {", ".join(f'round({e}, 5) AS "{k}"' for k, e in _BLOCK_SQL.items())} FROM g WHERE y_idx < 500 GROUP BY ALL""".replace("SELECT CAST(y_idx // 4 AS INTEGER) AS y_idx, CAST(x_idx // 4 AS INTEGER) AS x_idx,", "SELECT CAST(g.y_idx // 4 AS INTEGER) AS y_idx, CAST(g.x_idx // 4 AS INTEGER) AS x_idx,").replace("GROUP BY ALL", "GROUP BY 1, 2"))
+@query(f"""WITH {_RASTER} SELECT {_BLOCK}, {", ".join(f'round({e}, 5) AS "{k}"' for k, e in _BLOCK_SQL.items())} FROM g GROUP BY 1, 2""")
 def grid_footprints(spark, sf_dir):
-    one = [grid.regrid(raster(spark, sf_dir), RASTER, _BLOCKS, m).select("y_idx", "x_idx", F.round("value", 5).alias(m)) for m in _BLOCK_SQL]
-    return reduce(lambda a, b: a.join(b, ["y_idx", "x_idx"]), one)
+    return rounded(_regridded(spark, sf_dir, _quartered, list(_BLOCK_SQL)), *_BLOCK_SQL, digits=5)
 
 
-@query(f"""WITH {_RASTER} SELECT CAST(y_idx // 4 AS INTEGER) AS y_idx, CAST(x_idx // 4 AS INTEGER) AS x_idx, round(avg(value), 6) AS value FROM g WHERE y_idx < 500 GROUP BY 1, 2""")
+@query(f"""WITH {_RASTER} SELECT {_BLOCK}, round(avg(value), 6) AS value FROM g GROUP BY 1, 2""")
 def grid_average(spark, sf_dir):
-    return rounded(grid.regrid(raster(spark, sf_dir), RASTER, _BLOCKS, "average").select("y_idx", "x_idx", "value"), "value", digits=6)
-
-
-_CUBIC = "CASE WHEN {d} < 1 THEN (1.5 * {d} - 2.5) * {d} * {d} + 1 WHEN {d} < 2 THEN ((-0.5 * {d} + 2.5) * {d} - 4) * {d} + 2 ELSE 0 END"
+    return rounded(_regridded(spark, sf_dir, _quartered, "average"), "value", digits=6)
 
 
-@query(f"""WITH {_RASTER}, t AS (SELECT i AS y_idx, j AS x_idx, 4.25 + i * 0.5 AS fy, 4.25 + j * 0.5 AS fx FROM range(10) a(i), range(10) b(j)),
-    n AS (SELECT y_idx, x_idx, floor(fy) + dy AS sy, floor(fx) + dx AS sx, abs(fy - floor(fy) - dy) AS ey, abs(fx - floor(fx) - dx) AS ex FROM t, range(-1, 3) c(dy), range(-1, 3) d(dx)),
-    w AS (SELECT n.y_idx, n.x_idx, ({_CUBIC.format(d="ey")}) * ({_CUBIC.format(d="ex")}) AS w, g.value FROM n JOIN g ON g.y_idx = sy AND g.x_idx = sx)
-    SELECT CAST(y_idx AS INTEGER) AS y_idx, CAST(x_idx AS INTEGER) AS x_idx, round(sum(w * value) / sum(w), 6) AS value FROM w WHERE w <> 0 GROUP BY ALL""")
-def grid_cubic(spark, sf_dir):
-    target = GridMeta(10.0425, 46.9575, 0.005, -0.005, 10, 10, 4326)
-    return rounded(grid.regrid(raster(spark, sf_dir), RASTER, target, "cubic").select("y_idx", "x_idx", "value"), "value", digits=6)
+@query(f"""WITH {_RASTER}, c AS (SELECT {_BLOCK}, floor(value * 4) / 4 AS value, count(*) AS n FROM g GROUP BY 1, 2, 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY y_idx, x_idx ORDER BY n DESC, value) AS k FROM c) SELECT y_idx, x_idx, value FROM r WHERE k = 1""")
+def grid_mode(spark, sf_dir):
+    meta = raster_meta(spark, sf_dir)
+    steps = raster(spark, sf_dir, meta).withColumn("value", F.floor(F.col("value") * 4) / 4)
+    return grid.regrid(steps, meta, _quartered(meta), "mode").select("y_idx", "x_idx", "value")
 
 
-@query(f"""WITH {_RASTER}, p AS (SELECT y_idx, x_idx, value, 6378137.0 * radians(10.0 + x_idx * 0.01) AS mx, 6378137.0 * ln(tan(pi() / 4 + radians(47.0 - y_idx * 0.01) / 2)) AS my FROM g)
-    SELECT CAST(floor((5942000.0 - 2500 - my) / 5000 + 0.5) AS INTEGER) AS y_idx, CAST(floor((mx - 1113000.0 - 2500) / 5000 + 0.5) AS INTEGER) AS x_idx, round(avg(value), 5) AS value FROM p GROUP BY 1, 2
-    HAVING CAST(floor((5942000.0 - 2500 - my) / 5000 + 0.5) AS INTEGER) BETWEEN 0 AND 19 AND CAST(floor((mx - 1113000.0 - 2500) / 5000 + 0.5) AS INTEGER) BETWEEN 0 AND 11""".replace("GROUP BY 1, 2\n    HAVING CAST(floor((5942000.0 - 2500 - my) / 5000 + 0.5) AS INTEGER) BETWEEN 0 AND 19 AND CAST(floor((mx - 1113000.0 - 2500) / 5000 + 0.5) AS INTEGER) BETWEEN 0 AND 11", "WHERE floor((5942000.0 - 2500 - my) / 5000 + 0.5) BETWEEN 0 AND 19 AND floor((mx - 1113000.0 - 2500) / 5000 + 0.5) BETWEEN 0 AND 11 GROUP BY 1, 2"))
+@query(f"""WITH {_RASTER}, p AS (SELECT value, 6378137.0 * radians(10.0 + x_idx * 0.01) AS mx, 6378137.0 * ln(tan(pi() / 4 + radians(47.0 - y_idx * 0.01) / 2)) AS my FROM g)
+    SELECT CAST(floor((5944500.0 - my) / 5000 + 0.5) AS INTEGER) AS y_idx, CAST(floor((mx - 1115500.0) / 5000 + 0.5) AS INTEGER) AS x_idx, round(avg(value), 5) AS value FROM p GROUP BY 1, 2""")
 def grid_reproject(spark, sf_dir):
-    target = GridMeta(1115500.0, 5939500.0, 5000.0, -5000.0, 12, 20, 3857)
-    return rounded(grid.regrid(raster(spark, sf_dir), RASTER, target, "average").select("y_idx", "x_idx", "value"), "value", digits=5)
+    def target(meta: GridMeta) -> GridMeta:
+        _, lowest = proj.transform(10.0, meta.ys()[-1], 4326, 3857)
+        return GridMeta(1115500.0, 5944500.0, 5000.0, -5000.0, 15, int((5944500.0 - lowest) / 5000 + 0.5) + 1, 3857)
+
+    return rounded(_regridded(spark, sf_dir, target, "average"), "value", digits=5)
 
 
-@query(f"""WITH {_RASTER}, h AS (SELECT * FROM g WHERE y_idx < 500 AND (y_idx * 64 + x_idx) % 97 <> 0) SELECT y_idx, x_idx FROM g WHERE y_idx < 500 AND (y_idx, x_idx) NOT IN (SELECT (y_idx, x_idx) FROM h)""")
+@query(f"""WITH {_RASTER}, h AS (SELECT * FROM g WHERE (y_idx * 64 + x_idx) % 97 <> 0) SELECT y_idx, x_idx FROM g WHERE (y_idx, x_idx) NOT IN (SELECT (y_idx, x_idx) FROM h)""")
 def grid_missing(spark, sf_dir):
-    holes = raster(spark, sf_dir).filter("(y_idx * 64 + x_idx) % 97 <> 0")
-    return grid.missing_cells(holes, RASTER)
+    meta = raster_meta(spark, sf_dir)
+    return grid.missing_cells(raster(spark, sf_dir, meta).filter("(y_idx * 64 + x_idx) % 97 <> 0"), meta)
 
 
 @query(f"""WITH {_RASTER} SELECT y_idx, x_idx FROM g WHERE y_idx % 50 = 7 AND x_idx < 3""")
 def grid_validate(spark, sf_dir):
-    GridValidator.from_grid(RASTER).validate(GridMeta(10.0, 47.0, 0.01, -0.01, 64, 500, 4326))
-    own = raster(spark, sf_dir)
+    own, meta = raster(spark, sf_dir), raster_meta(spark, sf_dir)
+    GridValidator.from_grid(meta).validate(raster_meta(spark, sf_dir))
     moved = own.withColumn("x", F.when((F.col("y_idx") % 50 == 7) & (F.col("x_idx") < 3), F.col("x") + 1e-6).otherwise(F.col("x")))
     return grid.grid_differences(own, moved).select("y_idx", "x_idx")
 
@@ -495,7 +547,7 @@ def cube_encode_roundtrip(spark, sf_dir):
 
 @query("""SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS time FROM events WHERE date_trunc('day', ts) NOT BETWEEN TIMESTAMP '2024-01-04' AND TIMESTAMP '2024-01-20' OR dayofyear(ts) % 2 = 1""")
 def cube_time_check(spark, sf_dir):
-    axis = Manifest("2024-01-04", "2024-01-20", "2D", ("tas",), RASTER).axis(spark)
+    axis = Manifest("2024-01-04", "2024-01-20", "2D", ("tas",), raster_meta(spark, sf_dir)).axis(spark)
     data = events(spark, sf_dir).select("event_id", F.date_trunc("day", "datetime").cast("timestamp_ntz").alias("time"))
     return unknown_times(data, axis).select("event_id", "time")
 
@@ -506,11 +558,14 @@ def date_chunks(spark, sf_dir):
     return chunk_table(spark, "2024-01-01 00:00:00", "2024-01-30 23:50:00", "10min", 7)
 
 
-@query(f"""WITH {_FITS}, t AS (SELECT interp_date, CAST(s_suppkey // 10 AS INTEGER) AS y_idx, CAST(s_suppkey % 10 AS INTEGER) AS x_idx, a + b * s_acctbal AS v FROM supplier, f)
-    SELECT 'click_' || strftime(interp_date, '%Y_%m_%d_%H%M%S') || '.tif' AS name, count(*) AS cells FROM t GROUP BY 1""")
+@query(f"""WITH {_FITS}, t AS (SELECT param, interp_date, CAST(s_suppkey // 10 AS INTEGER) AS y_idx, CAST(s_suppkey % 10 AS INTEGER) AS x_idx, a + b * s_acctbal AS v FROM supplier, f)
+    SELECT param || '_' || strftime(interp_date, '%Y_%m_%d_%H%M%S') || '.tif' AS name, count(*) AS cells FROM t GROUP BY 1""")
 def tiff_export(spark, sf_dir):
     from isohyet.sinks.tiff import tiff_files
 
     field = vertical_predict(spark, sf_dir).select(F.col("param").alias("var"), F.col("interp_date").alias("time"), "y_idx", "x_idx", "value")
     rows = read(spark, sf_dir, "supplier").agg(F.floor(F.max("s_suppkey") / 10) + 1).first()[0]
     return tiff_files(field, GridMeta(10.0, 47.0, 0.01, -0.01, 10, int(rows), 4326)).select("name", "cells")
+
+
+from isohyet.plans import service_queries  # noqa: E402, F401  (it adds the queries of sources, sinks and configuration)

@@ -8,6 +8,7 @@ joined with what is there.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
@@ -182,16 +183,20 @@ class CubeWriter(Writer, key="zarr"):
         if found["time"] is not None:
             raise ValueError(f"time {found['time']} is not on the cube's axis")
         fresh = data.select("var", "time", F.col("y_idx").cast("int").alias("y_idx"), F.col("x_idx").cast("int").alias("x_idx"), F.col("value").cast("double").alias("value"))
+        aside = None
         if found["least"] is not None and found["least"] < meta.nx * meta.ny and files.exists(spark, f"{self.path}/cells"):
-            fresh = self._merged(spark, fresh)
+            # A folder of this write's own: partitions can't be replaced while they are read.
+            aside = f"{self.path}/pending-{uuid.uuid4().hex}"
+            fresh = self._merged(spark, fresh, aside)
         stored = fresh.withColumn("value", own.encoding.encode(F.col("value"))).withColumn("time_key", F.date_format("time", "yyyy-MM-dd'T'HHmmss")).drop("time")
         # One file per slice: all its cells go to one task, whose size is the grid's.
         stored.repartition("var", "time_key").sortWithinPartitions("y_idx", "x_idx").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("var", "time_key").parquet(f"{self.path}/cells")
+        if aside is not None:
+            files.delete(spark, aside)
         return own
 
-    def _merged(self, spark: SparkSession, fresh: DataFrame) -> DataFrame:
-        """Old and new cells of the slices that fresh touches, in a table beside the cube: partitions can't be replaced while they are read."""
-        aside = f"{self.path}/pending"
+    def _merged(self, spark: SparkSession, fresh: DataFrame, aside: str) -> DataFrame:
+        """Old and new cells of the slices that fresh touches, as a table beside the cube."""
         upsert(self.read(spark).join(fresh.select("var", "time").distinct(), ["var", "time"], "left_semi"), fresh).write.mode("overwrite").parquet(aside)
         return spark.read.parquet(aside)
 

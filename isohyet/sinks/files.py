@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _at(spark: SparkSession, path: str):
@@ -36,3 +39,24 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, deleted when the application ends: below spark.checkpoint.dir, on a single machine below a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="isohyet-")
+    path = f"{base}/scratch-{uuid.uuid4().hex}"
+    system, own = _at(spark, path)
+    system.mkdirs(own)
+    system.deleteOnExit(own)
+    return path
+
+
+def land(frame: DataFrame) -> DataFrame:
+    """The frame, computed once and stored in a scratch folder."""
+    path = f"{scratch_folder(frame.sparkSession)}/rows"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)

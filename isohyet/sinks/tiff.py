@@ -18,32 +18,40 @@ from isohyet.sinks import files
 from isohyet.sinks.registry import Writer
 
 
+#: Bytes of cells up to which offsets of 32 bits reach.
+SMALL_TIFF = (1 << 32) - (1 << 12)
+
+
 def encode_tiff(values: bytes, width: int, height: int, x_edge: float, y_edge: float, dx: float, dy: float, epsg: int) -> bytes:
-    """An uncompressed little-endian TIFF of 64-bit floats, one strip, with pixel scale, tie point and CRS."""
+    """An uncompressed little-endian TIFF of 64-bit floats, one strip, with pixel scale, tie point and CRS; a BigTIFF where 32-bit offsets don't reach."""
+    big = len(values) > SMALL_TIFF
+    whole, head, entry = (16, 16, "<HHQQ") if big else (4, 8, "<HHII")
     geographic = epsg == 4326
     keys = [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, epsg]
     blobs = {33550: struct.pack("<3d", dx, dy, 0.0), 33922: struct.pack("<6d", 0, 0, 0, x_edge, y_edge, 0), 34735: struct.pack(f"<{len(keys)}H", *keys)}
     # TIFF tags (number, type, count, value; None: stored behind the entries).
     entries = [
-        (256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, 64), (259, 3, 1, 1), (262, 3, 1, 1), (273, 4, 1, None), (277, 3, 1, 1),
-        (278, 4, 1, height), (279, 4, 1, len(values)), (339, 3, 1, 3), (33550, 12, 3, None), (33922, 12, 6, None), (34735, 3, len(keys), None),
+        (256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, 64), (259, 3, 1, 1), (262, 3, 1, 1), (273, whole, 1, None), (277, 3, 1, 1),
+        (278, 4, 1, height), (279, whole, 1, len(values)), (339, 3, 1, 3), (33550, 12, 3, None), (33922, 12, 6, None), (34735, 3, len(keys), None),
     ]
-    places, at = {}, 8 + 2 + 12 * len(entries) + 4
+    places, at = {}, head + (8 + 20 * len(entries) + 8 if big else 2 + 12 * len(entries) + 4)
     for tag, blob in blobs.items():
         places[tag] = at
         at += len(blob)
     places[273] = at
-    out = struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(entries))
+    out = struct.pack("<2sHHHQQ", b"II", 43, 8, 0, 16, len(entries)) if big else struct.pack("<2sHIH", b"II", 42, 8, len(entries))
     for tag, kind, count, value in entries:
-        out += struct.pack("<HHII", tag, kind, count, places[tag] if value is None else value)
-    return out + struct.pack("<I", 0) + b"".join(blobs.values()) + values
+        out += struct.pack(entry, tag, kind, count, places[tag] if value is None else value)
+    return b"".join([out, struct.pack("<Q" if big else "<I", 0), *blobs.values(), values])
 
 
 def read_tiff(blob: bytes) -> tuple[int, int, list[float], dict[int, tuple]]:
     """Width, height, values by row, and all tags of a file of encode_tiff()."""
-    n, tags = struct.unpack_from("<H", blob, 8)[0], {}
+    big = blob[2] == 43
+    (n,), first, step, entry = (struct.unpack_from("<Q", blob, 16), 24, 20, "<HHQQ") if big else (struct.unpack_from("<H", blob, 8), 10, 12, "<HHII")
+    tags = {}
     for i in range(n):
-        tag, kind, count, value = struct.unpack_from("<HHII", blob, 10 + 12 * i)
+        tag, kind, count, value = struct.unpack_from(entry, blob, first + step * i)
         tags[tag] = struct.unpack_from(f"<{count}d", blob, value) if kind == 12 else struct.unpack_from(f"<{count}H", blob, value) if kind == 3 and count > 2 else (value,)
     width, height = tags[256][0], tags[257][0]
     return width, height, list(struct.unpack_from(f"<{width * height}d", blob, tags[273][0])), tags
@@ -79,13 +87,17 @@ def tiff_files(data: DataFrame, meta: GridMeta) -> DataFrame:
 
 
 def _put(batches, folder: str):
-    """Writes files on the workers' side, into a folder that all share; a file gets its name when it is whole."""
+    """Writes files on the workers' side, into a folder of any store that pyarrow knows; a file gets its name when it is whole."""
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{os.path.abspath(folder)}")
+    store.create_dir(place)
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            part = f"{folder}/.{name}.{uuid.uuid4().hex}"
-            with open(part, "wb") as f:
+            part = f"{place}/.{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
                 f.write(content)
-            os.replace(part, f"{folder}/{name}")
+            store.move(part, f"{place}/{name}")
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["name", "cells"])
 
 
@@ -100,6 +112,5 @@ class TiffWriter(Writer, key="tiff"):
         names = [r.name for r in data.select(file_name(data).alias("name")).distinct().orderBy("name").toLocalIterator()]
         if not overwrite and (there := [n for n in names if files.exists(data.sparkSession, f"{self.path}/{n}")]):
             raise ValueError(f"files that exist already: {there[:3]}")
-        os.makedirs(self.path, exist_ok=True)
         tiff_files(data, meta).mapInArrow(functools.partial(_put, folder=self.path), "name string, cells long").write.format("noop").mode("overwrite").save()
         return names

@@ -14,6 +14,7 @@ import urllib.request
 import warnings
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,8 @@ class ProvinceSeries(DataSource):
 
 class ProvinceSource(Source):
     name = "province_api"
+    #: Fixed value: the zone in which the service's requests and answers name times.
+    zone = "Europe/Rome"
     freq = "10min"
     inclusive = "both"
 
@@ -143,15 +146,17 @@ class ProvinceSource(Source):
             self._sensors[station_id] = sorted({x["TYPE"] for x in fetch(self.address("sensors", station_code=station_id), self.timeout) or []})
         return self._sensors[station_id]
 
-    def requests(self, spark: SparkSession, station_ids: Sequence[str] | None, start: datetime, end: datetime, sensors=None) -> tuple[list[dict], list[tuple[str, str]]]:
-        """All requests, and (station, sensor) pairs that were asked for and aren't there."""
+    def requests(self, spark: SparkSession, station_ids: Sequence[str] | None, start: datetime, end: datetime, sensors=None, split_years: bool = True) -> tuple[list[dict], list[tuple[str, str]]]:
+        """All requests, and (station, sensor) pairs that were asked for and aren't there. Times are turned into the service's zone (naive ones are of
+        it); no request crosses a year's end there unless split_years is false."""
+        start, end = (x if x.tzinfo is None else x.astimezone(ZoneInfo(self.zone)) for x in (start, end))
         known = self.station_codes(spark)
         ids = known if station_ids is None else normalize_codes(station_ids)
         if unknown := [x for x in ids if x not in known]:
             raise ValueError(f"unknown stations: {unknown}")
         wanted = PROVINCE.resolve(sensors) if sensors is not None else None
         last = end - timedelta(seconds=Frequency.parse(self.freq).seconds) if self.inclusive in ("right", "both") else end
-        chunks, out, missing = date_chunks(start, last, self.freq, self.chunk_size_days), [], []
+        chunks, out, missing = date_chunks(start, last, self.freq, self.chunk_size_days, split_years), [], []
         for station in ids:
             there = self.sensor_codes(station)
             own = there if wanted is None else [x for x in wanted if x in there]
@@ -177,4 +182,4 @@ class ProvinceSource(Source):
         return raw.filter("_error is not null").select("station_id", "sensor", "_error")
 
     def transform(self, raw: DataFrame) -> DataFrame:
-        return tidy_province(raw.filter("_error is null"), self.target_zone, step=self.freq)
+        return tidy_province(raw.filter("_error is null"), self.target_zone, self.zone, step=self.freq)

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from isohyet.operators.validate import validate_observations
+from isohyet.sinks import files
 
 
 class Source(ABC):
@@ -17,6 +18,7 @@ class Source(ABC):
     name: str | None = None
     freq = "10min"
     inclusive = "both"
+    landed: DataFrame | None = None
 
     def __init_subclass__(cls, **kwargs):
         super().__init_subclass__(**kwargs)
@@ -33,9 +35,14 @@ class Source(ABC):
     def transform(self, raw: DataFrame) -> DataFrame | None:
         return raw
 
+    def errors(self, raw: DataFrame) -> DataFrame | None:
+        """Requests that failed, if the source reports them."""
+        return None
+
     def observations(self, spark: SparkSession, station_ids: Sequence[str] | None, start, end, sensors: Sequence[str] | None = None) -> DataFrame | None:
-        """raw, then transform, then validate; None if there is nothing."""
+        """raw, then transform, then validate; None if there is nothing. Answers are fetched once and kept as `landed`."""
         raw = self.raw(spark, station_ids, start, end, sensors)
+        self.landed = raw = files.land(raw) if raw is not None else None
         tidy = self.transform(raw) if raw is not None else None
         return validate_observations(tidy) if tidy is not None else None
 

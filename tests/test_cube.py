@@ -144,3 +144,28 @@ def test_tiff(spark, tmp_path):
         w.write(data, META)
     w.write(data, META, overwrite=True)
     assert TiffWriter(str(tmp_path / "u")).write(data.filter("var = 'tas' AND time = timestamp_ntz'2025-01-01'").drop("time", "var"), META) == ["var.tif"]
+
+
+def test_large_files_have_long_offsets(monkeypatch):
+    from isohyet.sinks import tiff
+
+    values = np.arange(12, dtype="<f8")
+    small = tiff.encode_tiff(values.tobytes(), 4, 3, 10.0, 47.0, 0.5, 0.5, 4326)
+    monkeypatch.setattr(tiff, "SMALL_TIFF", 10)
+    big = tiff.encode_tiff(values.tobytes(), 4, 3, 10.0, 47.0, 0.5, 0.5, 4326)
+    assert (small[2], big[2]) == (42, 43)
+    for blob in (small, big):
+        width, height, cells, tags = tiff.read_tiff(blob)
+        assert (width, height, cells) == (4, 3, values.tolist()) and tags[33550] == (0.5, 0.5, 0.0) and tags[34735][-1] == 4326
+
+
+def test_partial_writes_leave_nothing_beside(spark, tmp_path):
+    import os
+
+    meta = GridMeta(10.0, 47.0, 1.0, -1.0, 4, 3, 4326)
+    own = CubeWriter(str(tmp_path / "c"), "2025-01-01", "2025-01-02", "D", ["tas"])
+    cells = spark.range(12).selectExpr("timestamp_ntz'2025-01-01' AS time", "CAST(id DIV 4 AS INT) AS y_idx", "CAST(id % 4 AS INT) AS x_idx", "CAST(id AS DOUBLE) AS value")
+    own.write(cells, meta)
+    own.write(cells.filter("x_idx = 1").withColumn("value", cells["value"] + 100), meta)
+    assert sorted(r.value for r in own.read(spark).collect()) == sorted(float(i + 100 * (i % 4 == 1)) for i in range(12))
+    assert sorted(os.listdir(tmp_path / "c")) == [".manifest.json.crc", "cells", "manifest.json"]

@@ -116,3 +116,13 @@ def test_observation_schema(spark):
         validate.validate_observations(good.withColumn("tair_2m", F.lit("x")))
     with pytest.raises(ValueError, match="missing values"):
         validate.validate_observations(good.withColumn("datetime", F.lit("soon")))
+
+
+def test_blocks_of_fits_and_cells(spark):
+    """Beyond the broadcast bound both sides are cut, and every pair is still there once."""
+    fits = spark.range(70).selectExpr("concat('p', id % 2) AS param", "id AS interp_date", "1 AS n", "CAST(id AS DOUBLE) AS slope", "1.0D AS intercept")
+    cells = spark.range(40).selectExpr("CAST(id AS INT) AS y_idx", "0 AS x_idx", "CAST(id AS DOUBLE) AS value")
+    pairs = model.each_on_each(fits, cells, most=5)
+    assert "Broadcast" not in pairs._jdf.queryExecution().analyzed().toString()
+    got = sorted((r.param, r.interp_date, r.y_idx) for r in pairs.collect())
+    assert got == sorted((f"p{i % 2}", i, c) for i in range(70) for c in range(40))

@@ -140,3 +140,67 @@ def test_stream(spark, tmp_path):
     fields = events.filter("v % 144 = 0 AND v < 289").select(F.lit("v").alias("var"), F.col("datetime").cast("timestamp_ntz").alias("time"), F.lit(0).alias("y_idx"), F.explode(F.array(F.lit(0), F.lit(1))).alias("x_idx"), F.col("v").alias("value"))
     append_to_cube(fields, writer, meta, str(tmp_path / "check")).awaitTermination()
     assert sorted((str(r.time)[:10], r.x_idx, r.value) for r in writer.read(spark).collect()) == [(f"2025-01-0{d + 1}", x, 144.0 * d) for d in range(3) for x in range(2)]
+
+
+class _Counted:
+    """The saved answers of a folder by HTTP, and how often each was asked for."""
+
+    def __init__(self, address):
+        import threading
+        import urllib.parse
+        from collections import Counter
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+        asked = self.asked = Counter()
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):
+                what, _, query = self.path[1:].partition("?")
+                path = address(what, **dict(urllib.parse.parse_qsl(query))).removeprefix("file://")
+                asked[self.path] += 1
+                try:
+                    with open(path, "rb") as f:
+                        body = f.read()
+                except OSError:
+                    self.send_error(404)
+                    return
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(body)
+
+            def log_message(self, *_):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.server.server_port}"
+
+
+def test_every_answer_is_fetched_once(spark, service, tmp_path):
+    rows = [(10.0 + 0.5 * x, 47.0 - 0.5 * y, 100.0 * (x + y)) for y in range(3) for x in range(5)]
+    spark.createDataFrame(rows, "lon double, lat double, orog double").write.parquet(str(tmp_path / "dem"))
+    served = _Counted(service)
+    config = {
+        "general": {"timezone": "UTC", "start": "31.12.2024 23:00", "end": "02.01.2025 23:00", "parameters": "tair_2m"}, "aoi": {"minx": 10.0, "miny": 46.0, "maxx": 12.0, "maxy": 47.0},
+        "base_grid": {"path": str(tmp_path / "dem"), "crs": 4326, "cache": False}, "meteo_input": {"handler": "province_api", "sleep_time": 0, "chunk_size_days": 1, "base_url": served.url, "elevation_url": None},
+        "output": {"format": "tiff", "options": {"path": str(tmp_path / "tif")}}, "cross_validation": {},
+    }
+    with pytest.warns(UserWarning, match="1 requests failed"):
+        result = run_workflow(Runtime.from_config(spark, config), min_samples=2)
+    # Requests name the service's own wall time, an hour ahead of the configuration's.
+    series = {k: n for k, n in served.asked.items() if k.startswith("/timeseries")}
+    assert len(series) == 20 and set(series.values()) == {1}
+    assert all("date_from=20250101" in k or "date_from=20250102" in k for k in series)
+    assert [(r.station_id, r.sensor) for r in result.errors.collect()] == [("S4", "N")]
+    assert result.fits.count() == 2 and result.scores.count() == 2 and len(result.written) == 2
+    assert set(series.values()) == {1} and sum(k.startswith("/timeseries") for k in served.asked) == 20
+    served.server.shutdown()
+
+
+def test_requests_of_years_and_zones(spark, service):
+    own = ProvinceSource(address=service, chunk_size_days=365)
+    first = lambda *a: [r["url"].rpartition("/")[2].split("_")[-2:] for r in own.requests(spark, ["S0"], *a, ["tair_2m"])[0]]
+    utc = __import__("datetime").timezone.utc
+    assert first(datetime(2024, 12, 1, tzinfo=utc), datetime(2025, 7, 1, tzinfo=utc)) == [["202412010100", "202412312350.json"], ["202501010000", "202507010150.json"]]
+    assert first(datetime(2024, 12, 1), datetime(2025, 2, 1)) == [["202412010000", "202412312350.json"], ["202501010000", "202501312350.json"]]
+    assert len(own.requests(spark, ["S0"], datetime(2024, 12, 1), datetime(2025, 2, 1), ["tair_2m"], split_years=False)[0]) == 1
