@@ -192,7 +192,7 @@ def test_every_answer_is_fetched_once(spark, service, tmp_path):
     assert len(series) == 20 and set(series.values()) == {1}
     assert all("date_from=20250101" in k or "date_from=20250102" in k for k in series)
     assert [(r.station_id, r.sensor) for r in result.errors.collect()] == [("S4", "N")]
-    assert result.fits.count() == 2 and result.scores.count() == 2 and len(result.written) == 2
+    assert result.fits.count() == 3 and result.scores.count() == 3 and len(result.written) == 3  # days of UTC, the first of which has an hour
     assert set(series.values()) == {1} and sum(k.startswith("/timeseries") for k in served.asked) == 20
     served.server.shutdown()
 
