@@ -229,7 +229,7 @@ def simhash_classes(documents: DataFrame, words: int = 3, most: int = 3, crowd:
     return spread_join(rows, of, ["fp"], total[1] or 0).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(documents: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
+def one_of_each(documents: DataFrame, words: int = 5, most: int = 3) -> DataFrame:
     """The documents without near copies: of each class the row with the smallest id stays (null last, then by the text's hash; of repeated
     rows one). Null and empty texts are one class. An empty table gives an empty one. Extra columns are kept, whatever their names."""
     id_, content, order = (free_name(x, documents) for x in ("gs_id", "gs_content", "gs_order"))
