@@ -57,40 +57,36 @@ def _parts(path: str):
 class PieceCache(dict):
     """Piece -> value of its ids, for pieces of plain lower-case text; empty + one value is that value.
 
-    Bounded by `most` pieces and `most_bytes` (pieces and values as `size_of` counts them) since the last turnover, and as much from before it, so that pieces in use stay.
-    Pieces of more than `longest` characters are encoded each time. `table`, shared by all tasks of a worker, is looked up first and never turned over.
+    `table` is always there, beside it at most `most` pieces and `most_bytes` (of pieces and values that are bytes) since the last turnover, and as much from before it, so
+    that pieces in use stay. Pieces of more than `longest` characters are encoded each time.
     """
 
-    def __init__(self, path: str, value, empty, table: dict, most: int, most_bytes: int = 1 << 26, longest: int = 256, size_of=lambda piece, value: 120 + 4 * len(piece)):
-        super().__init__()
-        self.path, self.value, self.empty, self.table, self.most, self.most_bytes, self.longest, self.size_of = path, value, empty, table, most, most_bytes, longest, size_of
-        self.old, self.bytes = {}, 0
+    def __init__(self, path: str, value, empty, table: dict, most: int, most_bytes: int = 96 << 20, longest: int = 256):
+        super().__init__(table)
+        self.path, self.value, self.empty, self.table, self.most, self.most_bytes, self.longest = path, value, empty, table, most + len(table), most_bytes, longest
+        self.old, self.bytes, self.of_bytes = {}, 0, isinstance(empty, bytes)
         self.matches, self.encoder = _parts(path)
 
     def __missing__(self, piece: str):
-        found = self.table.get(piece)
-        if found is not None:
-            return found
         found = self.old.get(piece)
         if found is None:
             if piece.isalpha() or len(own := self.matches(piece)) == 1 and own[0] == piece:
                 found = self.value(self.encoder.encode(piece, add_special_tokens=False).ids)
+            elif self.of_bytes:
+                found = b"".join([self[x] for x in own])
             else:
-                found = self.join([self[x] for x in own])
+                found = sum([self[x] for x in own], self.empty)
         if len(piece) <= self.longest:
             self[piece] = found
-            self.bytes += self.size_of(piece, found)
+            self.bytes += 150 + 4 * len(piece) + (len(found) if self.of_bytes else 0)
             if len(self) > self.most or self.bytes > self.most_bytes:
                 self.turn_over()
         return found
 
-    def join(self, values: list):
-        """The sum of values, in time that grows with their size only."""
-        return b"".join(values) if isinstance(self.empty, bytes) else sum(values, self.empty)
-
     def turn_over(self) -> None:
         self.old, self.bytes = dict(self), 0
         self.clear()
+        self.update(self.table)
 
     def values_of(self, texts: pa.Array, join):
         """join() of the values of each text's pieces. A text that is not plain is encoded whole."""

@@ -44,7 +44,7 @@ def _bytes_of(ids: list[int]) -> bytes:
 def _cut(batches, path, tag, capacity, end_id, most):
     if tag not in _CACHES:
         _CACHES.clear()
-        _CACHES[tag] = PieceCache(path, _bytes_of, b"", {}, most, size_of=lambda piece, ids: 150 + 4 * len(piece) + len(ids))
+        _CACHES[tag] = PieceCache(path, _bytes_of, b"", {}, most)
     cache, end, step = _CACHES[tag], _bytes_of([end_id]), 4 * capacity
     for batch in batches:
         rows, pieces, starts, lengths, sums = (array("q") for _ in range(5))
@@ -61,7 +61,7 @@ def _cut(batches, path, tag, capacity, end_id, most):
         yield pa.RecordBatch.from_arrays([ids, pa.array(np.asarray(pieces, dtype=np.int32)), *(pa.array(np.asarray(x, dtype=np.int64)) for x in (starts, lengths, sums))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def cut_documents(documents: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 0, cache_pieces: int = 300_000) -> DataFrame:
+def cut_documents(documents: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 0, cache_pieces: int = 450_000) -> DataFrame:
     """The pieces of all documents: doc_id, piece, start, length, ids_crc32."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     cut = functools.partial(_cut, path=vocabulary_path(vocabulary), tag=uuid.uuid4().hex, capacity=capacity, end_id=end_id, most=cache_pieces)

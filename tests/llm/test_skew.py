@@ -248,3 +248,15 @@ def test_released_tables_go(spark):
     assert os.path.exists(path)
     common.release(frame)
     assert not os.path.exists(path)
+
+
+def test_caches_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from isohyet.llm.pretokens import PieceCache, vocabulary_path
+
+    cache = PieceCache(vocabulary_path("word_bpe_49k.json"), len, 0, {"the": 1}, 10**6, most_bytes=20_000)
+    texts = pa.array(["the " + "x" * 20_000, *(" ".join(f"w{i}{'ab' * 50}{j}" for j in range(40)) for i in range(50))])
+    counts = list(cache.values_of(texts, sum))
+    assert len(counts) == 51 and cache.bytes <= 20_000 and max(map(len, cache)) <= 256 and cache["the"] == 1
+    assert sum(map(len, cache)) <= 20_000 and sum(map(len, cache.old)) <= 21_000
