@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, written
+from .common import id_remainder, sliced, written
 
 #: A key's segment is its leading 16 bits.
 SEGMENTS, SEGMENT_SHIFT = 1 << 16, np.uint64(48)
@@ -176,7 +176,7 @@ def _unpacked(blob: bytes, bucket: int, bits: int, counted: bool) -> tuple[np.nd
 
 def _count(batches, order, bits):
     """Of each block and bucket: the words with their counts, and the longer runs."""
-    for batch in batches:
+    for batch in sliced(batches, 4096):
         for _, block in _in_blocks(batch.column(0).to_pylist(), 1 << 19):
             runs = run_keys(np.concatenate(block), _starts(block)[1], order)
             words, w = _counted(runs[0])
@@ -430,7 +430,7 @@ def _score(batches, model, parts, priors):
     """Scores by the broadcast filter."""
     filter_, *table, below = model.value
     row = _partition() << 33
-    for batch in batches:
+    for batch in sliced(batches, 4096):
         for first, block in _in_blocks(batch.column(2).to_pylist(), 1 << 19):
             key, places = probes(block, len(priors) + 1)
             # All different keys of the block at once, as each call reads all shards.
@@ -443,7 +443,7 @@ def _score(batches, model, parts, priors):
 def _blocks(batches, bits, order):
     """Blocks of texts as they are scored, each one row (kind 0), and their keys, one row per bucket (kind 1)."""
     at = _partition() << 33
-    for batch in batches:
+    for batch in sliced(batches, 4096):
         for first, block in _in_blocks(batch.column(2).to_pylist(), 1 << 19):
             key, _ = probes(block, order)
             cut = _by_bucket(key, bits)

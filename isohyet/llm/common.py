@@ -93,6 +93,13 @@ def free_name(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def sliced(batches, rows: int = 1024):
+    """Smaller batches of the same rows: what a worker makes Python objects of at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def id_remainder(column: str, modulus: int):
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, classes, free_name, spread_join, written
+from .common import checkpoint, classes, free_name, sliced, spread_join, written
 
 #: The Golay code's generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -110,7 +110,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def _fingerprints(batches, words):
-    for batch in batches:
+    for batch in sliced(batches):
         own = np.fromiter((fingerprint(x, words) for x in batch.column(batch.num_columns - 1).to_pylist()), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, id_remainder
+from .common import free_name, id_remainder, sliced
 
 #: Languages that can be learned: more than the world has.
 MOST_LANGUAGES = 8192
@@ -62,6 +62,14 @@ def bound(grams: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
     return first[grams >> 12] * second[grams >> 6 & 63] * third[grams & 63]
 
 
+def bundled(counts: np.ndarray, grams: np.ndarray, dimensions: int, seed: int, most: int = 4096) -> np.ndarray:
+    """Sums of n-grams' vectors, each as often as counts (text, n-gram) say; `most` n-grams are bound at a time."""
+    total = np.zeros((len(counts), dimensions), np.float32)
+    for i in range(0, len(grams), most):
+        total += counts[:, i : i + most].astype(np.float32) @ bound(grams[i : i + most], dimensions, seed).astype(np.float32)
+    return total
+
+
 def grams_of(text: str) -> np.ndarray:
     """A text's n-grams, boundaries at its ends included; none if it has no letter."""
     ids = _alphabet()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
@@ -94,13 +102,13 @@ def _blocks(texts: list[str | None], rows: int = 256, characters: int = 1 << 20)
 
 def _learn(batches, dimensions, seed):
     sums: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in sliced(batches):
         langs = np.array(batch.column(1).to_pylist(), dtype=object)
         for at, grams, counts, sizes in _blocks(batch.column(0).to_pylist()):
             weighed = counts / np.maximum(sizes, 1)[:, None]
             names = sorted(set(langs[at]))
             if len(grams):
-                total = np.stack([weighed[langs[at] == x].sum(axis=0) for x in names]).astype(np.float32) @ bound(grams, dimensions, seed).astype(np.float32)
+                total = bundled(np.stack([weighed[langs[at] == x].sum(axis=0) for x in names]), grams, dimensions, seed)
                 for name, one in zip(names, total):
                     sums[name] = sums.get(name, 0.0) + one.astype(np.float64)
     names = sorted(sums)
@@ -120,12 +128,12 @@ def prototypes(labelled: DataFrame, dimensions: int, seed: int) -> dict[str, np.
 def _predict(batches, model, dimensions, seed, keep, fields):
     """The columns at the places `keep`, then language and score of the last column's texts; named `fields`."""
     names, vectors = model.value
-    for batch in batches:
+    for batch in sliced(batches):
         best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
         for at, grams, counts, sizes in _blocks(batch.column(batch.num_columns - 1).to_pylist()):
             if not len(grams) or not len(names):
                 continue
-            own = counts @ bound(grams, dimensions, seed).astype(np.float32)
+            own = bundled(counts, grams, dimensions, seed)
             norm = np.linalg.norm(own, axis=1)
             cosine = own @ vectors.T / np.maximum(norm, 1e-9)[:, None]
             some = sizes > 0

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, free_name, release, spread_join, written
+from .common import checkpoint, free_name, release, sliced, spread_join, written
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,7 +114,7 @@ def _rows(batches, options, least_lines, only):
 
     options = dict(options)
     run_words = options.pop("run_words", None)
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column(2).to_pylist()
         wanted = batch.column(3).to_pylist() if only else [None] * len(texts)
         row, place, high, low, body = [], [], [], [], []
@@ -163,7 +163,7 @@ def _without(text: str, drop: set, options: dict, run_words: int | None) -> tupl
 def _cut(batches, options):
     options = dict(options)
     run_words = options.pop("run_words", None)
-    for batch in batches:
+    for batch in sliced(batches):
         texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out, lines, gone = [], [], []
         for text, own in zip(texts, wanted):

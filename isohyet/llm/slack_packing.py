@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, written
+from .common import numbered, sliced, written
 from .pretokens import PieceCache, vocabulary_path
 
 #: Of this worker: the cache of the call that it last had a task of.
@@ -46,7 +46,7 @@ def _cut(batches, path, tag, capacity, end_id, most):
         _CACHES.clear()
         _CACHES[tag] = PieceCache(path, _bytes_of, b"", {}, most)
     cache, end, step = _CACHES[tag], _bytes_of([end_id]), 4 * capacity
-    for batch in batches:
+    for batch in sliced(batches):
         rows, pieces, starts, lengths, sums = (array("q") for _ in range(5))
         for row, ids in enumerate(cache.values_of(pc.fill_null(batch.column(1), ""), b"".join)):
             ids += end

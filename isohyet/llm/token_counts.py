@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
 from .pretokens import UNPLAIN, PieceCache, tokenizer, vocabulary_path
 
 #: Of this worker: the cache of the call that it last had a task of.
@@ -63,7 +64,7 @@ def _count(batches, path, table, tag, most):
         _CACHES.clear()
         _CACHES[tag] = PieceCache(path, len, 0, table.value, most)
     cache = _CACHES[tag]
-    for batch in batches:
+    for batch in sliced(batches):
         text = pc.fill_null(batch.column(1), "")
         sizes = pc.binary_length(text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary()))
         counts = pa.array(list(cache.values_of(text, sum)), pa.int64())
