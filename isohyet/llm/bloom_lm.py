@@ -521,7 +521,7 @@ def _scores_by_shuffle(rows: DataFrame, built: DataFrame, bits: int, model, prio
     sent = written(rows.mapInArrow(functools.partial(_blocks, bits=bits, order=len(priors) + 1), "block long, bucket int, kind int, blob binary"))
     segments = built.filter("segment >= 0").select(F.lit(-1).cast("long").alias("block"), "bucket", F.lit(0).alias("kind"), "segment", F.col("bits").alias("blob"))
     keys = sent.filter("kind = 1").select("block", "bucket", "kind", F.lit(-1).alias("segment"), "blob")
-    answers = segments.unionByName(keys).repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(functools.partial(_answer, bits=bits), "block long, bucket int, blob binary")
+    answers = _by_task(segments.unionByName(keys), n).sortWithinPartitions("bucket", "kind").mapInArrow(functools.partial(_answer, bits=bits), "block long, bucket int, blob binary")
     texts = sent.filter("kind = 0").select("block", "bucket", "blob")
     together = texts.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "bucket")
     return together.mapInArrow(functools.partial(_score_answered, model=model, priors=priors), _SCORED.format(kind=kind))
@@ -551,10 +551,15 @@ def _partitions(spark: SparkSession, bits: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << bits >> 2, 100_000))
 
 
+def _by_task(frame: DataFrame, n: int) -> DataFrame:
+    """Buckets dealt to n tasks in turn: they are of equal size, which a hash of their numbers would not share out evenly."""
+    return frame.repartitionById(n, F.pmod("bucket", F.lit(n)))
+
+
 def _built(texts: DataFrame, bits: int, order: int, bits_per_entry: int, segment_bits: int | None) -> DataFrame:
     """Rows of words (segment -1: key, n) and of segments (segment, bits), with their bucket."""
     counted = texts.select("text").mapInArrow(functools.partial(_count, order=order, bits=bits), "bucket int, words binary, runs binary")
-    ordered = counted.repartition(_partitions(texts.sparkSession, bits), "bucket").sortWithinPartitions("bucket")
+    ordered = _by_task(counted, _partitions(texts.sparkSession, bits)).sortWithinPartitions("bucket")
     return written(ordered.mapInArrow(functools.partial(_build, bits=bits, bits_per_entry=bits_per_entry, segment_bits=segment_bits), "bucket int, segment int, key long, n long, bits binary"))
 
 
