@@ -26,9 +26,11 @@ from isohyet.sinks.cube import CubeWriter
 from isohyet.sinks.registry import Writer, create_writer
 from isohyet.sinks.scores import ScoreStore
 from isohyet.sinks.tiff import TiffWriter, read_tiff, tiff_files
+from isohyet.sinks.zarr import export_zarr
 from isohyet.sources.province import ProvinceSource
 from isohyet.sources.raster import open_raster
 from isohyet.sources.registry import Source, create_source
+from isohyet.sources.zarr import read_cube
 
 # Sources (S1-S15)
 
@@ -395,6 +397,28 @@ def cube_packed(spark, sf_dir):
     return rounded(own.read(spark, ["tas"]), "value", digits=6)
 
 
+@query(f"WITH {_CUBE} SELECT 'tas' AS var, {_CUBE_TIME}, y_idx, x_idx, value FROM c")
+def zarr_exported(spark, sf_dir):
+    """A cube as a Zarr store, read back chunk by chunk."""
+    (cells, meta), own = cube_cells(spark, sf_dir), cube(spark, chunks={"y": 16, "x": 40})
+    own.write(cells, meta)
+    path = f"{files.scratch_folder(spark)}/cube.zarr"
+    export_zarr(spark, own, path)
+    return read_cube(spark, path)
+
+
+@query(q.ORACLE_SQL["grid_explode"])
+def zarr_raster(spark, sf_dir):
+    """The whole raster as a Zarr store of one day, opened as a base grid."""
+    meta = GridMeta(10.0, 47.0, 0.01, -0.01, 64, q.raster_meta(spark, sf_dir).ny, 4326)
+    path = files.scratch_folder(spark)
+    own = CubeWriter(f"{path}/cube", "2025-01-01", "2025-01-01", "D", ["orog"], chunks={"y": 100, "x": 64})
+    own.write(q.raster(spark, sf_dir).select(F.lit("2025-01-01").cast("timestamp_ntz").alias("time"), "y_idx", "x_idx", "value"), meta)
+    export_zarr(spark, own, f"{path}/orog.zarr")
+    cells, _ = open_raster(spark, f"{path}/orog.zarr", "orog")
+    return rounded(cells, "x", "y", digits=6)
+
+
 @query(f"""SELECT * FROM (VALUES ('steps', '31'), ('crs', '4326'), ('variables', 'tas,pr'), ('chunks x', '40,24'), ('title', 'first'), ('cells', '0')) t(name, value) UNION ALL SELECT 'rows', CAST({q.ROWS} // {_DAYS} AS VARCHAR)""")
 def cube_created(spark, sf_dir):
     """A cube that is created without data; creating it again changes nothing, nor do later attributes."""

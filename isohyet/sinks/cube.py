@@ -211,13 +211,18 @@ class CubeWriter(Writer, key="zarr"):
     def read(self, spark: SparkSession, variables: Sequence[str] | None = None) -> DataFrame:
         """Decoded cells (var, time, y_idx, x_idx, value). Filters on var and time prune partitions."""
         own = self.manifest(spark)
+        return self.stored(spark, variables).withColumn("value", own.encoding.decode(F.col("value")))
+
+    def stored(self, spark: SparkSession, variables: Sequence[str] | None = None) -> DataFrame:
+        """The cells of read() with the values as they are stored."""
+        own = self.manifest(spark)
         kind = {"byte": T.ByteType(), "short": T.ShortType(), "int": T.IntegerType(), "float": T.FloatType(), "double": T.DoubleType()}[DTYPES[own.encoding.dtype or "float64"]]
         schema = T.StructType([T.StructField("y_idx", T.IntegerType()), T.StructField("x_idx", T.IntegerType()), T.StructField("value", kind), T.StructField("var", T.StringType()), T.StructField("time_key", T.StringType())])
         cells = spark.read.schema(schema).parquet(f"{self.path}/cells")
         if variables is not None:
             cells = cells.filter(F.col("var").isin(*variables))
         time = F.to_timestamp_ntz("time_key", F.lit("yyyy-MM-dd'T'HHmmss"))
-        return cells.select("var", time.alias("time"), "y_idx", "x_idx", own.encoding.decode(F.col("value")).alias("value"))
+        return cells.select("var", time.alias("time"), "y_idx", "x_idx", "value")
 
 
 def _same(a: Sequence[Sequence[float]], b: Sequence[Sequence[float]]) -> bool:

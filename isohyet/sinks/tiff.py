@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import functools
-import os
 import struct
-import uuid
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,21 +83,6 @@ def tiff_files(data: DataFrame, meta: GridMeta) -> DataFrame:
     return own.groupBy("name").applyInPandas(one, "name string, content binary, cells long")
 
 
-def _put(batches, folder: str):
-    """Writes files on the workers' side, into a folder of any store that pyarrow knows; a file gets its name when it is whole."""
-    from pyarrow import fs
-
-    store, place = fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{os.path.abspath(folder)}")
-    store.create_dir(place)
-    for batch in batches:
-        for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            part = f"{place}/.{name}.{uuid.uuid4().hex}"
-            with store.open_output_stream(part) as f:
-                f.write(content)
-            store.move(part, f"{place}/{name}")
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["name", "cells"])
-
-
 class TiffWriter(Writer, key="tiff"):
     def __init__(self, path: str):
         self.path = path
@@ -112,5 +94,5 @@ class TiffWriter(Writer, key="tiff"):
         names = [r.name for r in data.select(file_name(data).alias("name")).distinct().orderBy("name").toLocalIterator()]
         if not overwrite and (there := [n for n in names if files.exists(data.sparkSession, f"{self.path}/{n}")]):
             raise ValueError(f"files that exist already: {there[:3]}")
-        tiff_files(data, meta).mapInArrow(functools.partial(_put, folder=self.path), "name string, cells long").write.format("noop").mode("overwrite").save()
+        tiff_files(data, meta).mapInArrow(functools.partial(files.put_files, folder=self.path), "name string, size long").write.format("noop").mode("overwrite").save()
         return names

@@ -1,4 +1,4 @@
-"""Rasters: Parquet in long form or with one array per row; NetCDF and Zarr by optional libraries."""
+"""Rasters: Parquet in long form or with one array per row; Zarr chunk by chunk; NetCDF by an optional library."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isohyet.operators.grid import find_dims, with_coordinates
 from isohyet.operators.grid_meta import GridMeta
 from isohyet.sinks import files
+from isohyet.sources import zarr
 
 
 def choose_variable(names: Sequence[str], var: str | None, warnings: list[str] | None = None) -> str:
@@ -32,8 +33,10 @@ def _axis(frame: DataFrame, name: str) -> list[float]:
 
 def open_raster(spark: SparkSession, path: str, var: str | None = None, squeeze: bool = True, x_dim: str | None = None, y_dim: str | None = None, warnings: list[str] | None = None) -> tuple[DataFrame, GridMeta]:
     """Cells (y_idx, x_idx, y, x, value) and metadata. path: Parquet in long form, one row per cell with coordinate
-    columns and one column per variable; a file `<path>.json` may hold {"crs": EPSG}. `.nc` and `.zarr` need xarray."""
-    if path.endswith((".zarr", ".nc")):
+    columns and one column per variable; a file `<path>.json` may hold {"crs": EPSG}. `.nc` needs xarray."""
+    if path.endswith(".zarr"):
+        return _open_zarr(spark, path, var, squeeze, x_dim, y_dim, warnings)
+    if path.endswith(".nc"):
         return _open_array(spark, path, var, squeeze, x_dim, y_dim, warnings)
     frame = spark.read.parquet(path)
     x, y, found = find_dims(frame.columns, x_dim, y_dim)
@@ -54,12 +57,29 @@ def open_raster(spark: SparkSession, path: str, var: str | None = None, squeeze:
     return with_coordinates(cells, meta).select("y_idx", "x_idx", "y", "x", "value"), meta
 
 
+def _open_zarr(spark: SparkSession, path: str, var: str | None, squeeze: bool, x_dim: str | None, y_dim: str | None, warnings: list[str] | None) -> tuple[DataFrame, GridMeta]:
+    arrays, attributes = zarr.open_group(spark, path)
+    own = arrays[choose_variable([n for n, a in arrays.items() if n not in a.dims and len(a.dims) > 1], var, warnings)]
+    long = [d for d, n in zip(own.dims, own.shape) if n > 1 or not squeeze]
+    x, y, found = find_dims(list(own.dims), x_dim, y_dim)
+    if warnings is not None:
+        warnings += found
+    if extra := [d for d in long if d not in (x, y)]:
+        raise ValueError(f"dimensions {extra} have more than one value")
+    xs, ys = (zarr.read_axis(spark, arrays[d]) if d in arrays else [float(i) for i in range(own.shape[own.dims.index(d)])] for d in (x, y))
+    step = lambda v: (v[-1] - v[0]) / (len(v) - 1) if len(v) > 1 else 1.0
+    crs = attributes.get("crs", own.attributes.get("crs"))
+    meta = GridMeta(xs[0], ys[0], step(xs), step(ys), len(xs), len(ys), None if crs is None else int(crs), x, y)
+    cells = zarr.read_cells(spark, own).select(F.col(f"i{own.dims.index(y)}").alias("y_idx"), F.col(f"i{own.dims.index(x)}").alias("x_idx"), "value")
+    return with_coordinates(cells, meta).select("y_idx", "x_idx", "y", "x", "value"), meta
+
+
 def _open_array(spark: SparkSession, path: str, var: str | None, squeeze: bool, x_dim: str | None, y_dim: str | None, warnings: list[str] | None) -> tuple[DataFrame, GridMeta]:
     try:
         import xarray
     except ImportError as e:
-        raise ImportError("reading NetCDF or Zarr needs xarray; convert the raster to Parquet instead") from e
-    data = xarray.open_zarr(path) if path.endswith(".zarr") else xarray.open_dataset(path)
+        raise ImportError("reading NetCDF needs xarray; convert the raster to Parquet instead") from e
+    data = xarray.open_dataset(path)
     own = data[choose_variable(list(data.data_vars), var, warnings)]
     own = own.squeeze() if squeeze else own
     x, y, found = find_dims(list(own.dims), x_dim, y_dim)
