@@ -6,12 +6,14 @@ Words are everywhere the runs of characters that match ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import weakref
 from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,11 +95,20 @@ def free_name(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def give_back() -> None:
+    """On a worker, which lives on after a task: returns the memory that its allocators keep but don't use to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU library's
+        trim(0)
+
+
 def sliced(batches, rows: int = 1024):
-    """Smaller batches of the same rows: what a worker makes Python objects of at a time."""
+    """Smaller batches of the same rows: what a worker makes Python objects of at a time. Memory goes back when they end."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        del batch
+    give_back()
 
 
 def id_remainder(column: str, modulus: int):
