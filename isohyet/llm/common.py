@@ -102,8 +102,23 @@ def give_back() -> None:
         trim(0)
 
 
-def sliced(batches, rows: int = 1024):
-    """Smaller batches of the same rows: what a worker makes Python objects of at a time. Memory goes back when they end."""
+#: Of this worker: what the call that it last had a task of keeps between tasks, by the call's tag.
+_KEPT: dict[str, object] = {}
+
+
+def kept(tag: str, make):
+    """On a worker: what make() gave in this call's first task here. It goes with the first task of another call."""
+    if tag not in _KEPT:
+        _KEPT.clear()
+        _KEPT[tag] = make()
+    return _KEPT[tag]
+
+
+def sliced(batches, rows: int = 1024, tag: str | None = None):
+    """Smaller batches of the same rows: what a worker makes Python objects of at a time. Memory goes back when they end; what calls
+    other than `tag` have kept goes at once."""
+    if tag not in _KEPT:
+        _KEPT.clear()
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)

@@ -30,23 +30,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, sliced, written
+from .common import kept, numbered, sliced, written
 from .pretokens import PieceCache, vocabulary_path
 
-#: Of this worker: the cache of the call that it last had a task of.
-_CACHES: dict = {}
-
-
 def _bytes_of(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _cut(batches, path, tag, capacity, end_id, most):
-    if tag not in _CACHES:
-        _CACHES.clear()
-        _CACHES[tag] = PieceCache(path, _bytes_of, b"", {}, most)
-    cache, end, step = _CACHES[tag], _bytes_of([end_id]), 4 * capacity
-    for batch in sliced(batches):
+    cache, end, step = kept(tag, lambda: PieceCache(path, _bytes_of, b"", {}, most)), _bytes_of([end_id]), 4 * capacity
+    for batch in sliced(batches, tag=tag):
         rows, pieces, starts, lengths, sums = (array("q") for _ in range(5))
         for row, ids in enumerate(cache.values_of(pc.fill_null(batch.column(1), ""), b"".join)):
             ids += end

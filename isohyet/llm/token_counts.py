@@ -25,13 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import kept, sliced
 from .pretokens import UNPLAIN, PieceCache, tokenizer, vocabulary_path
 
-#: Of this worker: the cache of the call that it last had a task of.
-_CACHES: dict = {}
-
-
 def _heaviest(counts: Counter, most: int) -> list[tuple[str, int]]:
     return heapq.nsmallest(most, counts.items(), key=lambda x: (-x[1], x[0]))
 
@@ -60,11 +56,8 @@ def frequent_table(documents: DataFrame, path: str, table_documents: int, table_
 
 
 def _count(batches, path, table, tag, most):
-    if tag not in _CACHES:
-        _CACHES.clear()
-        _CACHES[tag] = PieceCache(path, len, 0, table.value, most)
-    cache = _CACHES[tag]
-    for batch in sliced(batches):
+    cache = kept(tag, lambda: PieceCache(path, len, 0, table.value, most))
+    for batch in sliced(batches, tag=tag):
         text = pc.fill_null(batch.column(1), "")
         sizes = pc.binary_length(text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary()))
         counts = pa.array(list(cache.values_of(text, sum)), pa.int64())
