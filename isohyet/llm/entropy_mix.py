@@ -23,7 +23,7 @@ and equal hashes of their ids the smaller id comes first. An empty table gives a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,14 +98,14 @@ def tilts(histogram: DataFrame, targets: DataFrame, most: float, tolerance: floa
 
 
 def _round(most: int):
-    def whole(classes: pd.DataFrame) -> pd.DataFrame:
-        classes = classes.sort_values("size", ascending=False, kind="stable")
+    def whole(classes: pa.Table) -> pa.Table:
+        classes = classes.sort_by([("size", "descending")])
         copies, wanted, taken = [], 0.0, 0
-        for size, n, rate in zip(classes["size"], classes["n"], classes["rate"]):
+        for size, n, rate in zip(*(classes[x].to_pylist() for x in ("size", "n", "rate"))):
             wanted += n * size * rate
             copies.append(int(min(most * n, max(0, np.floor((wanted - taken) / size + 0.5)))))
-            taken += copies[-1] * int(size)
-        return classes.assign(copies=np.array(copies, dtype=np.int64))[["source_key", "size", "n", "rate", "copies"]]
+            taken += copies[-1] * size
+        return classes.select(["source_key", "size", "n", "rate"]).append_column("copies", pa.array(copies, pa.int64()))
 
     return whole
 
@@ -123,7 +123,7 @@ def entropy_mix(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.
     tilt = tilts(positive, targets.filter("source_size > 0"), most)
     rate = F.when(F.col("target") <= 0, 0.0).when(F.col("tilt").isNull(), float(most)).otherwise(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(np.log(most)))))
     rated = positive.join(tilt, "source_key").join(targets.select("source_key", "target"), "source_key").select("source_key", "size", "n", rate.alias("rate"))
-    classes = rated.groupBy("source_key").applyInPandas(_round(most), "source_key string, size long, n long, rate double, copies long")
+    classes = rated.groupBy("source_key").applyInArrow(_round(most), "source_key string, size long, n long, rate double, copies long")
     dealt = histogram.select("source_key", "size", F.col("n").alias("n_all")).join(classes, ["source_key", "size"], "left").join(targets.select("source_key", "source_size", "target"), "source_key")
     ranked = numbered(sized.withColumn("_mixed", F.xxhash64("doc_id")), ["source_key", "size"], ["_mixed", "doc_id"], n_rows, part="_part")
     copies = F.coalesce(F.floor(F.col("copies") / F.col("n")) + F.when(F.col("rank") < F.col("copies") % F.col("n"), 1).otherwise(0), F.lit(0)).cast("long")
