@@ -53,12 +53,24 @@ def _file_system(spark: SparkSession, path: str):
 _WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def written(frame: DataFrame) -> DataFrame:
+#: With it, the shuffles of a query are deleted when the query ends (Spark 4.1).
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(frame: DataFrame, lean: bool = False) -> DataFrame:
     """As checkpoint(), but as Parquet: for many rows. The table goes when release() says so, at the latest when the application
-    ends, as results are lazy."""
+    ends, as results are lazy. lean: the shuffles that it took go at once, not when the driver happens to collect its garbage, and the table is
+    compressed more."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if lean:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.parquet(path, compression="zstd" if lean else None)
+    finally:
+        if lean:
+            spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     system, place = _file_system(spark, path)
     system.deleteOnExit(place)
     stored = spark.read.parquet(path)
