@@ -295,6 +295,12 @@ def _summed_buckets(batches, bits):
         yield done()
 
 
+def _trimmed(make, batches, **options):
+    """What make gives; then, when nothing of it is held any more, the worker's free memory goes back to the system."""
+    yield from make(batches, **options)
+    give_back()
+
+
 def _word_columns(bucket: int, key: np.ndarray, n: np.ndarray):
     """Bucket, key and n of the summed words, some at a time."""
     for i in range(0, len(key), 1 << 18):
@@ -545,16 +551,15 @@ def _score_answered(batches, model, priors):
                 of_runs.append(runs)
     if now is not None:
         yield from done()
-    give_back()
 
 
 def _answered(blocks: DataFrame, bits: int, order: int, bits_per_entry: int, segment_bits: int | None, rounds: int) -> DataFrame:
     """Rows of words (block null: key, n) and of quantised counts by block and bucket (words, runs). One part of the buckets after the other, as the disk must hold a round's keys."""
     n, parts = _partitions(blocks.sparkSession, bits), []
     for i in range(rounds):
-        counted = blocks.mapInArrow(functools.partial(_count_all, order=order, bits=bits, part=(i, rounds)), "bucket int, words binary, runs binary, block long")
+        counted = blocks.mapInArrow(functools.partial(_trimmed, _count_all, order=order, bits=bits, part=(i, rounds)), "bucket int, words binary, runs binary, block long")
         ordered = _by_task(counted, n).sortWithinPartitions("bucket")
-        parts.append(written(ordered.mapInArrow(functools.partial(_answer, bits=bits, bits_per_entry=bits_per_entry, segment_bits=segment_bits), "bucket int, key long, n long, block long, words binary, runs binary"), lean=True))
+        parts.append(written(ordered.mapInArrow(functools.partial(_trimmed, _answer, bits=bits, bits_per_entry=bits_per_entry, segment_bits=segment_bits), "bucket int, key long, n long, block long, words binary, runs binary"), lean=True))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -562,7 +567,7 @@ def _scores_by_block(blocks: DataFrame, answers: DataFrame, bits: int, model, pr
     """Texts and the quantised counts of their keys meet by block."""
     texts = blocks.select("block", F.lit(-1).alias("bucket"), F.col("texts").alias("words"), F.lit(None).cast("binary").alias("runs"))
     together = texts.unionByName(answers).repartition(_partitions(blocks.sparkSession, bits), "block").sortWithinPartitions("block", "bucket")
-    return together.mapInArrow(functools.partial(_score_answered, model=model, priors=priors), _SCORED.format(kind=kind))
+    return together.mapInArrow(functools.partial(_trimmed, _score_answered, model=model, priors=priors), _SCORED.format(kind=kind))
 
 
 def least_frequent(words: DataFrame, most: int) -> int:
@@ -599,9 +604,9 @@ def _by_task(frame: DataFrame, n: int) -> DataFrame:
 
 def _built(texts: DataFrame, bits: int, order: int, bits_per_entry: int, segment_bits: int | None) -> DataFrame:
     """Rows of words (segment -1: key, n) and of segments (segment, bits), with their bucket."""
-    counted = texts.select("text").mapInArrow(functools.partial(_count, order=order, bits=bits), "bucket int, words binary, runs binary")
+    counted = texts.select("text").mapInArrow(functools.partial(_trimmed, _count, order=order, bits=bits), "bucket int, words binary, runs binary")
     ordered = _by_task(counted, _partitions(texts.sparkSession, bits)).sortWithinPartitions("bucket")
-    return written(ordered.mapInArrow(functools.partial(_build, bits=bits, bits_per_entry=bits_per_entry, segment_bits=segment_bits), "bucket int, key long, n long, segment int, bits binary"), lean=True)
+    return written(ordered.mapInArrow(functools.partial(_trimmed, _build, bits=bits, bits_per_entry=bits_per_entry, segment_bits=segment_bits), "bucket int, key long, n long, segment int, bits binary"), lean=True)
 
 
 def _broadcast_filter(built: DataFrame, shard_bytes: int) -> ShardedFilter:
