@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from isohyet.sinks import files
 
 #: The largest table of fits that is broadcast to the grid's cells: rows of some 50 bytes.
 MOST_BROADCAST_FITS = 200_000
+#: Blocks of residuals that a task holds: cells, fits and places of fits (32 bytes each). Blocks of cells are smaller where tasks would be few.
+MOST_CELLS, LEAST_CELLS, MOST_FITS, MOST_PLACES = 8_192, 1_024, 384, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -117,22 +124,67 @@ class InverseDistance:
     power: float = 2.0
 
     def corrected(self, model: VerticalModel, samples: DataFrame, fits: DataFrame, cells: DataFrame, keys: tuple[str, ...] = ("param", "interp_date"), regions: str | None = None) -> DataFrame:
-        """The model's field with the residuals added. Each fit carries its stations (as many as measure on a date) to the cells, so that the field itself is not shuffled."""
+        """The model's field with the residuals added. Weights follow from places alone, so a fit's stations of one place are summed first, and a block of cells
+        has its weights made once for all fits of a block: a product of matrices. Stations without a place or a value count nowhere."""
         residual = samples.join(fits, list(keys)).select(*keys, F.col("station_x").cast("double").alias("x"), F.col("station_y").cast("double").alias("y"), (F.col("y") - model.value_on(F.col("elevation"))).alias("r"))
-        stations = files.land(residual.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "r")).alias("_stations")))
-        n = stations.agg(F.sum(F.size("_stations"))).first()[0] or 0
-        own = cells.select("y_idx", "x_idx", *([regions] if regions else []), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("value").cast("double").alias("_e"))
-        # Broadcast only if the stations' places, 24 bytes each, are few too.
-        pairs = each_on_each(fits.join(stations, list(keys)), own, regions, MOST_BROADCAST_FITS if n <= 10 * MOST_BROADCAST_FITS else 0)
-
-        def add(sums: Column, s: Column) -> Column:
-            d2 = F.pow(s["x"] - F.col("_x"), F.lit(2)) + F.pow(s["y"] - F.col("_y"), F.lit(2))
-            weight = 1 / F.pow(F.greatest(d2, F.lit(1e-12)), F.lit(self.power / 2))
-            return F.struct((sums["w"] + weight).alias("w"), (sums["r"] + weight * s["r"]).alias("r"))
-
-        zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("r"))
-        moved = F.aggregate("_stations", zero, add, lambda sums: sums["r"] / sums["w"])
-        return pairs.select(*keys, "y_idx", "x_idx", (model.value_on(F.col("_e")) + moved).alias("value"))
+        places = residual.filter("x <> double('NaN') AND y <> double('NaN') AND r IS NOT NULL").groupBy(*keys, "x", "y").agg(F.count("*").cast("double").alias("n"), F.sum("r").alias("r"))
+        stations = files.land(places.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "n", "r")).alias("_stations")))
+        whole = fits.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+        n_fits, n_places = stations.agg(F.count("*"), F.coalesce(F.sum(F.size("_stations")), F.lit(0))).first()
+        kept = ("y_idx", "x_idx")
+        own = cells.select(*kept, *([regions] if regions else []), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"), F.col("value").cast("double").alias("_e"))
+        n_cells, at_once = own.count(), 2 * cells.sparkSession.sparkContext.defaultParallelism
+        by_cell = max(1, -(-n_cells // MOST_CELLS), min(-(-n_cells // LEAST_CELLS), at_once))
+        by_fit = max(1, -(-n_fits // MOST_FITS), -(-n_places // MOST_PLACES))
+        at = ([regions] if regions else []) + ["_c", "_f"]
+        cut = lambda names, n: F.pmod(F.xxhash64(*names), F.lit(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = own.withColumn("_c", cut(kept, by_cell)).withColumn("_f", each(by_fit))
+        fitted = whole.select(*keys, "slope", "intercept").join(stations, list(keys), "left")
+        right = fitted.withColumn("_f", cut(keys, by_fit)).withColumn("_c", each(by_cell))
+        parts = 2 * by_cell * by_fit
+        left, right = (side.repartition(parts, *at).groupBy(*at) for side in (left, right))
+        names = [*keys, *kept, "_e", "slope", "intercept"]
+        types = {f.name: f.dataType for f in [*own.schema, *fitted.schema]}
+        schema = T.StructType([*(T.StructField(k, types[k]) for k in names), T.StructField("_moved", T.DoubleType())])
+        moved = left.cogroup(right).applyInArrow(functools.partial(_moved, power=self.power, keys=tuple(keys), kept=kept), schema)
+        return moved.select(*keys, *kept, (model.value_on(F.col("_e")) + F.col("_moved")).alias("value"))
+
+
+def _moved(cells: pa.Table, fits: pa.Table, power: float, keys: tuple[str, ...], kept: tuple[str, ...]) -> pa.Table:
+    """Each fit of a block on each cell of a block, with the residuals' weighted mean there: a batch a fit."""
+    names = [*keys, *kept, "_e", "slope", "intercept", "_moved"]
+    if not cells.num_rows or not fits.num_rows:
+        types = {f.name: f.type for f in [*cells.schema, *fits.schema]} | {"_moved": pa.float64()}
+        return pa.table([pa.array([], types[k]) for k in names], names=names)
+    cells = cells.combine_chunks()
+    lists = fits.column("_stations").combine_chunks()
+    of = np.repeat(np.arange(fits.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    x, y, n, r = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
+    place, which = np.unique(x + 1j * y, return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    of, n, r, which = of[order], n[order], r[order], which[order]
+    cx, cy = (cells.column(k).to_numpy() for k in ("_x", "_y"))
+    sums = np.zeros((cells.num_rows, 2 * fits.num_rows))
+    for s in range(0, len(place), 1024):
+        some = place[s : s + 1024]
+        a, b = np.searchsorted(which, [s, s + len(some)])
+        stations = np.zeros((len(some), 2 * fits.num_rows))
+        np.add.at(stations, (which[a:b] - s, of[a:b]), n[a:b])
+        np.add.at(stations, (which[a:b] - s, fits.num_rows + of[a:b]), r[a:b])
+        for c in range(0, cells.num_rows, 2048):
+            d2 = np.maximum((some.real - cx[c : c + 2048, None]) ** 2 + (some.imag - cy[c : c + 2048, None]) ** 2, 1e-12)
+            sums[c : c + 2048] += (1 / d2 if power == 2 else d2 ** (-power / 2)) @ stations
+    nowhere = pc.or_(pc.is_null(cells.column("_x")), pc.is_null(cells.column("_y"))).to_numpy()
+    batches = []
+    for i in range(fits.num_rows):
+        w, r = sums[:, i], sums[:, fits.num_rows + i]
+        lacking = nowhere | (w == 0)
+        moved = pa.array(r / np.where(lacking, 1, w), mask=lacking)
+        one = lambda k: pa.repeat(fits.column(k)[i], cells.num_rows)  # noqa: B023, E731
+        columns = [*map(one, keys), *(cells.column(k).chunk(0) for k in (*kept, "_e")), one("slope"), one("intercept"), moved]
+        batches.append(pa.RecordBatch.from_arrays(columns, names=names))
+    return pa.Table.from_batches(batches)
 
 
 def fill_gaps(frame: DataFrame, column: str, datetime_col: str = "datetime", keys: tuple[str, ...] = ("station_id",), most_rows: int = 6) -> DataFrame:

@@ -126,3 +126,24 @@ def test_blocks_of_fits_and_cells(spark):
     assert "Broadcast" not in pairs._jdf.queryExecution().analyzed().toString()
     got = sorted((r.param, r.interp_date, r.y_idx) for r in pairs.collect())
     assert got == sorted((f"p{i % 2}", i, c) for i in range(70) for c in range(40))
+
+
+def test_residuals_by_blocks(spark, monkeypatch):
+    """Stations of one place are summed, blocks of every size give the plain sums, and stations or cells without a place move nothing."""
+    for name, n in (("MOST_CELLS", 7), ("MOST_FITS", 2), ("MOST_PLACES", 50)):
+        monkeypatch.setattr(model, name, n)
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"param": rng.choice(list("abcde"), 300), "interp_date": 1, "elevation": rng.uniform(0, 3000, 300), "y": rng.normal(10, 5, 300), "station_x": rng.integers(0, 9, 300).astype(float), "station_y": rng.integers(0, 9, 300).astype(float)})
+    data = spark.createDataFrame(frame).withColumn("station_x", F.when(F.col("station_x") < 8, F.col("station_x")))
+    cells = spark.range(31).selectExpr("int(id) AS y_idx", "int(id % 3) AS x_idx", "CASE WHEN id < 30 THEN id % 8 + 0.5D END AS x", "id / 4 + 0.25D AS y", "id * 100.0D AS value")
+    field, _ = model.interpolate(data, cells, residual_model=model.InverseDistance())
+    assert "aggregate(" not in field._jdf.queryExecution().analyzed().toString()
+    got = {(r.param, r.y_idx): r.value for r in field.collect()}
+    assert len(got) == 5 * 31
+    for r in cells.collect():
+        for param, own in frame.groupby("param"):
+            slope, intercept = np.polyfit(own.elevation, own.y, 1)
+            there = own[own.station_x < 8]
+            w = 1 / ((there.station_x - r.x) ** 2 + (there.station_y - r.y) ** 2) if r.x is not None else None
+            want = None if w is None else intercept + slope * r.value + (w * (there.y - intercept - slope * there.elevation)).sum() / w.sum()
+            assert got[param, r.y_idx] == (None if want is None else pytest.approx(want, abs=1e-6))
