@@ -176,12 +176,16 @@ class CubeWriter(Writer, key="zarr"):
         if given and kept and any(given[k] != kept[k] for k in given if k in kept):
             raise ValueError(f"chunks do not match: {given} and {dict(kept)}")
         data = data.withColumn("time", F.col("time").cast("timestamp_ntz"))
-        slices = data.groupBy("var", "time").agg(F.count("*").alias("n")).join(own.axis(spark).withColumn("_known", F.lit(True)), "time", "left")
-        found = slices.agg(F.collect_set(F.when(~F.col("var").isin(*own.variables), F.col("var"))).alias("vars"), F.min(F.when(F.col("_known").isNull(), F.col("time"))).alias("time"), F.min("n").alias("least")).first()
+        (y, ny), (x, nx) = zip(own.grid.first, own.grid.shape)
+        inside = F.col("y_idx").between(y, y + ny - 1) & F.col("x_idx").between(x, x + nx - 1)
+        slices = data.groupBy("var", "time").agg(F.count("*").alias("n"), F.count_if(~F.coalesce(inside, F.lit(False))).alias("out")).join(own.axis(spark).withColumn("_known", F.lit(True)), "time", "left")
+        found = slices.agg(F.collect_set(F.when(~F.col("var").isin(*own.variables), F.col("var"))).alias("vars"), F.min(F.when(F.col("_known").isNull(), F.col("time"))).alias("time"), F.min("n").alias("least"), F.sum("out").alias("out")).first()
         if found["vars"]:
             raise ValueError(f"unknown variables: {sorted(found['vars'])}")
         if found["time"] is not None:
             raise ValueError(f"time {found['time']} is not on the cube's axis")
+        if found["out"]:
+            raise ValueError(f"{found['out']} cells are outside the cube's grid of {own.grid.shape}")
         fresh = data.select("var", "time", F.col("y_idx").cast("int").alias("y_idx"), F.col("x_idx").cast("int").alias("x_idx"), F.col("value").cast("double").alias("value"))
         aside = None
         if found["least"] is not None and found["least"] < meta.nx * meta.ny and files.exists(spark, f"{self.path}/cells"):
