@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from isohyet.operators.model import VerticalModel
 from isohyet.plans.queries import ORACLE_SQL, QUERIES
 from tests.compare import rows, tables
 from tests.test_cube import DAYS, META, dataset, writer
@@ -32,3 +33,11 @@ def test_cells_outside_the_grid(spark, tmp_path):
         with pytest.raises(ValueError, match="2 cells are outside"):
             cube.write(data.filter("y_idx = 0 AND x_idx = 0").withColumns({"y_idx": F.lit(y).cast("int"), "x_idx": F.lit(x).cast("int")}), META)
     assert cube.read(spark).count() == 2 * META.nx * META.ny
+
+
+def test_equal_elevations_in_many_parts(spark):
+    """Averages of equal values that are merged from parts need not be equal; the slope is 0 all the same."""
+    data = spark.range(0, 300_000, 1, 97).selectExpr("'a' AS param", "500.1D + 0.2D AS elevation", "CAST(hash(id) % 1000 AS DOUBLE) AS y")
+    fit = VerticalModel().fit(data, ("param",))
+    slope = fit.first().slope
+    assert slope == 0.0 and "var_pop" not in fit._jdf.queryExecution().analyzed().toString()
