@@ -5,13 +5,17 @@ A cell's coordinates follow from its indices, so joins are on integers only; coo
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import math
 import os
 from collections.abc import Sequence
 from dataclasses import replace
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,59 +116,67 @@ def _source_place(target: DataFrame, source: GridMeta, crs: int | None) -> DataF
     return target.withColumn("fx", (x - source.x0) / source.dx).withColumn("fy", (y - source.y0) / source.dy)
 
 
-def _lonlat_columns(x: Column, y: Column, crs: int) -> tuple[Column, Column]:
+#: The functions that projections use, for arrays.
+NUMPY = SimpleNamespace(
+    pi=lambda: np.pi, degrees=np.degrees, radians=np.radians, exp=np.exp, log=np.log, hypot=np.hypot, sin=np.sin, cos=np.cos, tan=np.tan, asin=np.arcsin, atan=np.arctan, atan2=np.arctan2,
+    sinh=np.sinh, cosh=np.cosh, tanh=np.tanh, asinh=np.arcsinh, atanh=np.arctanh,
+)
+
+
+def _lonlat_columns(x: Column, y: Column, crs: int, m=F) -> tuple[Column, Column]:
+    """m: the functions, of columns or (NUMPY) of arrays."""
     if crs == 4326:
         return x, y
     if crs == 3857:
-        return F.degrees(x / proj.AXIS), F.degrees(2 * F.atan(F.exp(y / proj.AXIS)) - F.pi() / 2)
+        return m.degrees(x / proj.AXIS), m.degrees(2 * m.atan(m.exp(y / proj.AXIS)) - m.pi() / 2)
     zone, scale = crs % 100, proj.UTM_SCALE * proj._RADIUS
     xi, eta = (y - (proj.FALSE_NORTHING if crs >= 32700 else 0.0)) / scale, (x - proj.FALSE_EASTING) / scale
     own_xi, own_eta = xi, eta
     for j, b in enumerate(proj._BETA, 1):
-        own_xi = own_xi - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        own_eta = own_eta - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    sine = F.sin(own_xi) / F.cosh(own_eta)
+        own_xi = own_xi - b * m.sin(2 * j * xi) * m.cosh(2 * j * eta)
+        own_eta = own_eta - b * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
+    sine = m.sin(own_xi) / m.cosh(own_eta)
     ecc = proj._ECC2**0.5
-    step = lambda s: F.tanh(F.atanh(sine) + ecc * F.atanh(ecc * s))
-    return 6 * zone - 183 + F.degrees(F.atan2(F.sinh(own_eta), F.cos(own_xi))), F.degrees(F.asin(step(step(step(step(sine))))))
+    step = lambda s: m.tanh(m.atanh(sine) + ecc * m.atanh(ecc * s))
+    return 6 * zone - 183 + m.degrees(m.atan2(m.sinh(own_eta), m.cos(own_xi))), m.degrees(m.asin(step(step(step(step(sine))))))
 
 
-def _from_lonlat_columns(lon: Column, lat: Column, crs: int) -> tuple[Column, Column]:
+def _from_lonlat_columns(lon: Column, lat: Column, crs: int, m=F) -> tuple[Column, Column]:
     if crs == 4326:
         return lon, lat
     if crs == 3857:
-        return proj.AXIS * F.radians(lon), proj.AXIS * F.log(F.tan(F.pi() / 4 + F.radians(lat) / 2))
+        return proj.AXIS * m.radians(lon), proj.AXIS * m.log(m.tan(m.pi() / 4 + m.radians(lat) / 2))
     zone, scale = crs % 100, proj.UTM_SCALE * proj._RADIUS
     ecc = 2 * proj._N**0.5 / (1 + proj._N)
-    s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - ecc * F.atanh(ecc * s))
-    d = F.radians(lon - (6 * zone - 183))
-    xi, eta = F.atan2(t, F.cos(d)), F.asinh(F.sin(d) / F.hypot(t, F.cos(d)))
+    s = m.sin(m.radians(lat))
+    t = m.sinh(m.atanh(s) - ecc * m.atanh(ecc * s))
+    d = m.radians(lon - (6 * zone - 183))
+    xi, eta = m.atan2(t, m.cos(d)), m.asinh(m.sin(d) / m.hypot(t, m.cos(d)))
     east, north = eta, xi
     for j, a in enumerate(proj._ALPHA, 1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        east = east + a * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
+        north = north + a * m.sin(2 * j * xi) * m.cosh(2 * j * eta)
     return proj.FALSE_EASTING + scale * east, scale * north + (proj.FALSE_NORTHING if crs >= 32700 else 0.0)
 
 
-def _cubic(d: Column) -> Column:
+def _cubic(d: np.ndarray) -> np.ndarray:
     """Cubic convolution with a = -0.5."""
-    return F.when(d < 1, (1.5 * d - 2.5) * d * d + 1).when(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2).otherwise(0.0)
+    return np.where(d < 1, (1.5 * d - 2.5) * d * d + 1, np.where(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2, 0.0))
 
 
-def _spline(d: Column) -> Column:
+def _spline(d: np.ndarray) -> np.ndarray:
     """Cubic B-spline."""
-    return F.when(d < 1, 2 / 3 - d * d * (1 - d / 2)).when(d < 2, F.pow(2 - d, F.lit(3)) / 6).otherwise(0.0)
+    return np.where(d < 1, 2 / 3 - d * d * (1 - d / 2), np.where(d < 2, (2 - d) ** 3 / 6, 0.0))
 
 
-def _lanczos(d: Column) -> Column:
+def _lanczos(d: np.ndarray) -> np.ndarray:
     """Lanczos window of three cells."""
-    a = F.pi() * d
-    return F.when(d == 0, 1.0).when(d < 3, 3 * F.sin(a) * F.sin(a / 3) / (a * a)).otherwise(0.0)
+    a = np.pi * np.where(d == 0, 1.0, d)
+    return np.where(d == 0, 1.0, np.where(d < 3, 3 * np.sin(a) * np.sin(a / 3) / (a * a), 0.0))
 
 
 #: Kernel methods: cells on each side that count, weight by distance in cells.
-KERNELS = {"bilinear": (1, lambda d: F.greatest(F.lit(0.0), 1 - d)), "cubic": (2, _cubic), "cubic_spline": (2, _spline), "lanczos": (3, _lanczos)}
+KERNELS = {"bilinear": (1, lambda d: np.maximum(0.0, 1 - d)), "cubic": (2, _cubic), "cubic_spline": (2, _spline), "lanczos": (3, _lanczos)}
 
 #: Footprint methods: an aggregate of the source cells whose centres fall in a target cell.
 FOOTPRINTS = {
@@ -204,17 +216,111 @@ def regrid(cells: DataFrame, source: GridMeta, target: GridMeta, method: str | S
     if method == "nearest":
         near = placed.withColumn("sy", F.floor(F.col("fy") + 0.5).cast("int")).withColumn("sx", F.floor(F.col("fx") + 0.5).cast("int"))
         return near.join(values, ["sy", "sx"]).select("y_idx", "x_idx", "y", "x", F.col("v").alias("value"))
-    reach, weight = KERNELS[method]
-    by_y, by_x = coarsening(source, target) if widen else (1.0, 1.0)
-
-    def around(f: Column, by: float) -> Column:
-        far = math.ceil(reach * by)
-        return F.explode(F.sequence(F.floor(f) - (far - 1), F.floor(f) + far))
-
-    spread = placed.withColumn("sy", around(F.col("fy"), by_y)).withColumn("sx", around(F.col("fx"), by_x))
-    weighed = spread.withColumn("w", weight(F.abs(F.col("fy") - F.col("sy")) / by_y) * weight(F.abs(F.col("fx") - F.col("sx")) / by_x)).filter("w <> 0").withColumn("sy", F.col("sy").cast("int")).withColumn("sx", F.col("sx").cast("int"))
-    joined = weighed.join(values.filter("v is not null"), ["sy", "sx"])
-    return joined.groupBy("y_idx", "x_idx").agg(F.first("y").alias("y"), F.first("x").alias("x"), (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("value"))
+    by = coarsening(source, target) if widen else (1.0, 1.0)
+    return _by_tiles(values, placed, source, target, method, by)
+
+
+#: Kernels: length of a target tile in cells of its source or its own, whichever is larger; source cells that a task holds at once.
+TILE, MOST_HELD = 256, 1 << 20
+#: Most tiles whose places are broadcast.
+MOST_TILES = 50_000
+
+
+def _by_tiles(values: DataFrame, placed: DataFrame, source: GridMeta, target: GridMeta, method: str, by: tuple[float, float]) -> DataFrame:
+    """Kernels, by tiles of the target: each gets the source cells of the box that it needs, so that these are shuffled once or little more, and target cells never."""
+    far = [math.ceil(KERNELS[method][0] * b) for b in by]
+    coarse = coarsening(source, target) if source.crs == target.crs else by
+    ty, tx = (max(1, int(TILE // c)) for c in coarse)
+    n = -(-target.ny // ty) * -(-target.nx // tx)
+    tile = [F.floor((F.col(f"{d}_idx") - first) / size).cast("int").alias(f"t{d}") for d, first, size in (("y", target.first[0], ty), ("x", target.first[1], tx))]
+    there = placed.filter(F.col("fy").between(-2e9, 2e9) & F.col("fx").between(-2e9, 2e9))
+    # One cell more on each side, as workers may round a place otherwise.
+    ends = [f(F.floor(F.col(f"f{d}"))) + F.lit(sign * (reach + 1)) for d, reach in zip("yx", far) for f, sign in ((F.min, -1), (F.max, 1))]
+    boxes = there.groupBy(*tile).agg(*(e.alias(k) for e, k in zip(ends, ("y0", "y1", "x0", "x1"))))
+    block = lambda c: F.floor(c / TILE)
+    boxes = boxes.withColumn("by", F.explode(F.sequence(block(F.col("y0")), block(F.col("y1"))))).withColumn("bx", F.explode(F.sequence(block(F.col("x0")), block(F.col("x1")))))
+    own = values.filter("v is not null").withColumn("by", block(F.col("sy"))).withColumn("bx", block(F.col("sx")))
+    joined = own.join(F.broadcast(boxes) if n <= MOST_TILES else boxes, ["by", "bx"]).filter("sy BETWEEN y0 AND y1 AND sx BETWEEN x0 AND x1").select("ty", "tx", "sy", "sx", "v")
+    parts = max(1, min(n, max(2 * values.sparkSession.sparkContext.defaultParallelism, n // 32)))
+    work = functools.partial(_tiles, source=source, target=target, method=method, by=by, size=(ty, tx))
+    return joined.repartition(parts, "ty", "tx").sortWithinPartitions("ty", "tx", "sy").mapInArrow(work, "y_idx int, x_idx int, y double, x double, value double")
+
+
+def _tiles(batches, **options):
+    """On a worker: rows (ty, tx, sy, sx, v) in the order of tiles and source rows; a tile's cells are given out when its last row has come."""
+    tile, held, n = None, [], 0
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        ends = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1
+        for a, b in zip([0, *ends], [*ends, batch.num_rows]):
+            if a == b:
+                continue
+            at = int(columns[0][a]), int(columns[1][a])
+            if tile is None or tile.at != at:
+                if tile is not None:
+                    tile.add(held)
+                    yield tile.batch()
+                tile, held, n = Tile(at, **options), [], 0
+            held.append([c[a:b] for c in columns[2:]])
+            n += b - a
+            if n > MOST_HELD:
+                tile.add(held)
+                held, n = [], 0
+    if tile is not None:
+        tile.add(held)
+        yield tile.batch()
+
+
+class Tile:
+    """Weighted sums of a tile of the target, to which source cells are added in parts."""
+
+    def __init__(self, at: tuple[int, int], source: GridMeta, target: GridMeta, method: str, by: tuple[float, float], size: tuple[int, int]):
+        self.at, self.target, self.by = at, target, by
+        reach, self.weight = KERNELS[method]
+        self.far = [math.ceil(reach * b) for b in by]
+        own = [np.arange(i * s, min((i + 1) * s, m)) + first for i, s, m, first in zip(at, size, target.shape, target.first)]
+        self.y, self.x = (v.reshape(-1) for v in np.meshgrid(*own, indexing="ij"))
+        if source.crs == target.crs:
+            # By indices, not coordinates: these are less exact the farther a cell is, and decimal steps differ from binary ones.
+            place = lambda i, a, b, da, db: round((a - b) / db, 9) + i * (da / db)
+            self.fy, self.fx = place(self.y, target.y0, source.y0, target.dy, source.dy), place(self.x, target.x0, source.x0, target.dx, source.dx)
+        else:
+            with np.errstate(all="ignore"):
+                x, y = _from_lonlat_columns(*_lonlat_columns(target.x0 + self.x * target.dx, target.y0 + self.y * target.dy, target.crs, NUMPY), source.crs, NUMPY)
+                self.fy, self.fx = (y - source.y0) / source.dy, (x - source.x0) / source.dx
+            nowhere = ~(np.isfinite(self.fy) & np.isfinite(self.fx))
+            self.fy[nowhere] = self.fx[nowhere] = -4e9
+        self.row, self.col = (np.floor(f).astype("int64") for f in (self.fy, self.fx))
+        self.cols = self.col[:, None] + np.arange(1 - self.far[1], self.far[1] + 1)
+        self.wx = self.weight(np.abs(self.fx[:, None] - self.cols) / by[1])
+        self.sum, self.weights, self.any = np.zeros(self.y.size), np.zeros(self.y.size), np.zeros(self.y.size, bool)
+
+    def add(self, held: list) -> None:
+        if not held:
+            return
+        sy, sx, v = (np.concatenate(c) for c in zip(*held))
+        a, b, c, d = int(sy.min()), int(sy.max()), int(sx.min()), int(sx.max())
+        width = d - c + 1
+        place = (sy.astype("int64") - a) * width + (sx - c)
+        n, s = np.bincount(place, minlength=(b - a + 1) * width), np.bincount(place, v, (b - a + 1) * width)
+        for dy in range(max(1 - self.far[0], a - int(self.row.max())), min(self.far[0], b - int(self.row.min())) + 1):
+            row = self.row + dy
+            wy = self.weight(np.abs(self.fy - row) / self.by[0])
+            at = np.flatnonzero((row >= a) & (row <= b) & (wy != 0))
+            if not at.size:
+                continue
+            col, w = self.cols[at], wy[at, None] * self.wx[at]
+            p = (row[at, None] - a) * width + np.clip(col - c, 0, width - 1)
+            used = (col >= c) & (col <= d) & (w != 0) & (n[p] > 0)
+            self.sum[at] += np.where(used, w * s[p], 0.0).sum(1)
+            self.weights[at] += np.where(used, w * n[p], 0.0).sum(1)
+            self.any[at] |= used.any(1)
+
+    def batch(self) -> pa.RecordBatch:
+        y, x, w = self.y[self.any], self.x[self.any], self.weights[self.any]
+        value = pa.array(self.sum[self.any] / np.where(w == 0, 1, w), mask=w == 0)
+        columns = [pa.array(y.astype("int32")), pa.array(x.astype("int32")), pa.array(self.target.y0 + y * self.target.dy), pa.array(self.target.x0 + x * self.target.dx), value]
+        return pa.RecordBatch.from_arrays(columns, names=["y_idx", "x_idx", "y", "x", "value"])
 
 
 def missing_cells(cells: DataFrame, meta: GridMeta) -> DataFrame:

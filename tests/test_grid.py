@@ -141,3 +141,28 @@ def test_base_grid(spark, tmp_path):
         BaseGrid(spark, path, resampling_method="magic")
     with pytest.raises(ValueError, match="not found"):
         BaseGrid(spark, path, var="slope", crs=4326, cache=False)
+
+
+@pytest.mark.parametrize("method,by", [("bilinear", 1), ("lanczos", 1), ("cubic", 3), ("cubic_spline", 300)])
+def test_kernels_by_tiles(spark, monkeypatch, method, by):
+    """Tiles of every size give the plain sums, with holes, repeated cells and few cells at once; source cells are shuffled, not their weights."""
+    monkeypatch.setattr(grid, "TILE", 8)
+    monkeypatch.setattr(grid, "MOST_HELD", 30)
+    meta = GridMeta(10.0, 47.0, 0.1, -0.1, 23, 19, 4326)
+    source = cells(spark, meta, "CASE WHEN (y_idx * 23 + x_idx) % 7 > 0 THEN sin(y_idx * 3 + x_idx) END")
+    source = source.unionByName(source.filter("y_idx = 5"))
+    n = {1: (40, 30), 3: (8, 6), 300: (1, 1)}[by]
+    target = GridMeta(10.03, 46.96, 0.1 * (by if by > 1 else 0.6), -0.1 * (by if by > 1 else 0.6), *n, 4326)
+    out = grid.regrid(source, meta, target, method, widen=by > 1)
+    assert "MapInArrow" in out._jdf.queryExecution().analyzed().toString()
+    got = {(r.y_idx, r.x_idx): r.value for r in out.collect()}
+    there = [r for r in source.collect() if r.value is not None]
+    sy, sx, v = (np.array([getattr(r, k) for r in there]) for k in ("y_idx", "x_idx", "value"))
+    weight, want = grid.KERNELS[method][1], {}
+    for y in range(target.ny):
+        for x in range(target.nx):
+            fy, fx = (target.y0 + y * target.dy - meta.y0) / meta.dy, (target.x0 + x * target.dx - meta.x0) / meta.dx
+            w = weight(np.abs(sy - fy) / by) * weight(np.abs(sx - fx) / by)
+            if (w != 0).any():
+                want[y, x] = (w * v).sum() / w.sum()
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-6) for k in want)
