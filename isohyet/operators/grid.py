@@ -118,7 +118,7 @@ def _source_place(target: DataFrame, source: GridMeta, crs: int | None) -> DataF
 
 #: The functions that projections use, for arrays.
 NUMPY = SimpleNamespace(
-    pi=lambda: np.pi, degrees=np.degrees, radians=np.radians, exp=np.exp, log=np.log, hypot=np.hypot, sin=np.sin, cos=np.cos, tan=np.tan, asin=np.arcsin, atan=np.arctan, atan2=np.arctan2,
+    when=lambda there, v: np.where(there, v, np.nan), abs=np.abs, pi=lambda: np.pi, degrees=np.degrees, radians=np.radians, exp=np.exp, log=np.log, hypot=np.hypot, sin=np.sin, cos=np.cos, tan=np.tan, asin=np.arcsin, atan=np.arctan, atan2=np.arctan2,
     sinh=np.sinh, cosh=np.cosh, tanh=np.tanh, asinh=np.arcsinh, atanh=np.arctanh,
 )
 
@@ -144,6 +144,7 @@ def _lonlat_columns(x: Column, y: Column, crs: int, m=F) -> tuple[Column, Column
 def _from_lonlat_columns(lon: Column, lat: Column, crs: int, m=F) -> tuple[Column, Column]:
     if crs == 4326:
         return lon, lat
+    lat = m.when(m.abs(lat) <= 90, lat)  # beyond the poles there is no place, though the formulas would go on
     if crs == 3857:
         return proj.AXIS * m.radians(lon), proj.AXIS * m.log(m.tan(m.pi() / 4 + m.radians(lat) / 2))
     zone, scale = crs % 100, proj.UTM_SCALE * proj._RADIUS

@@ -507,7 +507,8 @@ def grid_mode(spark, sf_dir):
     SELECT CAST(floor((5944500.0 - my) / 5000 + 0.5) AS INTEGER) AS y_idx, CAST(floor((mx - 1115500.0) / 5000 + 0.5) AS INTEGER) AS x_idx, round(avg(value), 5) AS value FROM p GROUP BY 1, 2""")
 def grid_reproject(spark, sf_dir):
     def target(meta: GridMeta) -> GridMeta:
-        _, lowest = proj.transform(10.0, meta.ys()[-1], 4326, 3857)
+        # Rows beyond the pole have no place, so the grid ends before it.
+        _, lowest = proj.transform(10.0, min(y for y in meta.ys() if y > -90), 4326, 3857)
         return GridMeta(1115500.0, 5944500.0, 5000.0, -5000.0, 15, int((5944500.0 - lowest) / 5000 + 0.5) + 1, 3857)
 
     return rounded(_regridded(spark, sf_dir, target, "average"), "value", digits=5)

@@ -166,3 +166,18 @@ def test_kernels_by_tiles(spark, monkeypatch, method, by):
             if (w != 0).any():
                 want[y, x] = (w * v).sum() / w.sum()
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-6) for k in want)
+
+
+def test_rows_beyond_the_pole(spark, tmp_path):
+    """They have no place in another system: left out, neither an error nor wrapped around the earth."""
+    from isohyet.plans.queries import QUERIES
+
+    for n, folder in ((13_700, "a"), (45_000, "b")):
+        (tmp_path / folder).mkdir()
+        spark.range(n).selectExpr("id AS vec_id", "transform(sequence(1, 64), i -> CAST(id + i AS FLOAT)) AS embedding").write.parquet(str(tmp_path / folder / "embeddings.parquet"))
+    within, beyond = (sorted(map(tuple, QUERIES["grid_reproject"](spark, str(tmp_path / f)).collect())) for f in "ab")
+    assert beyond == within and len(within) > 10_000
+    for epsg in (3857, 32632):
+        with pytest.raises(ValueError, match="latitude"):
+            proj.transform(10, -313, 4326, epsg)
+        assert spark.range(1).select(*grid._from_lonlat_columns(F.lit(10.0), F.lit(-313.0), epsg)).first()[1] is None
