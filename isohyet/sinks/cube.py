@@ -23,6 +23,8 @@ from isohyet.sinks.registry import Writer
 
 #: Numeric types that cells may be stored as.
 DTYPES = {"int8": "byte", "int16": "short", "int32": "int", "float32": "float", "float64": "double"}
+#: Cells of a slice that go to one task.
+MOST_CELLS = 1 << 20
 RANGES = {"int8": 2**7, "int16": 2**15, "int32": 2**31}
 
 
@@ -193,8 +195,10 @@ class CubeWriter(Writer, key="zarr"):
             aside = f"{self.path}/pending-{uuid.uuid4().hex}"
             fresh = self._merged(spark, fresh, aside)
         stored = fresh.withColumn("value", own.encoding.encode(F.col("value"))).withColumn("time_key", F.date_format("time", "yyyy-MM-dd'T'HHmmss")).drop("time")
-        # One file per slice: all its cells go to one task, whose size is the grid's.
-        stored.repartition("var", "time_key").sortWithinPartitions("y_idx", "x_idx").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("var", "time_key").parquet(f"{self.path}/cells")
+        # A slice's rows go to tasks by blocks, so that a task's size doesn't follow the grid's.
+        block = F.floor((F.col("y_idx") - y) / max(1, MOST_CELLS // nx))
+        order = ("var", "time_key", "y_idx", "x_idx")
+        stored.repartition("var", "time_key", block).sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("var", "time_key").parquet(f"{self.path}/cells")
         if aside is not None:
             files.delete(spark, aside)
         return own

@@ -169,3 +169,20 @@ def test_partial_writes_leave_nothing_beside(spark, tmp_path):
     own.write(cells.filter("x_idx = 1").withColumn("value", cells["value"] + 100), meta)
     assert sorted(r.value for r in own.read(spark).collect()) == sorted(float(i + 100 * (i % 4 == 1)) for i in range(12))
     assert sorted(os.listdir(tmp_path / "c")) == [".manifest.json.crc", "cells", "manifest.json"]
+
+
+def test_slices_by_blocks(spark, tmp_path, monkeypatch):
+    """A slice's rows are several tasks' work, also where a part of it is replaced."""
+    from isohyet.sinks import cube as module
+
+    monkeypatch.setattr(module, "MOST_CELLS", 5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    whole, data = writer(tmp_path / "c"), dataset(spark, DAYS[:2])
+    try:
+        whole.write(data, META)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "c/cells").glob("var=tas/time_key=2025-01-01*/*.parquet"))) > 1
+    changed = data.filter("y_idx = 3 AND var = 'pr'").withColumn("value", F.lit(9.0))
+    whole.write(changed, META)
+    assert values(whole.read(spark)) == {**values(data), **values(changed)}
